@@ -30,7 +30,6 @@ MEMTABLE_ROWS = 200_000
 FILTER_BITS = 2**23
 HASHES = 4
 SLICE = 2**17
-ROWS_PER_SALT = 2_000
 
 
 def _binary(column) -> list[bytes]:
@@ -185,7 +184,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", whole: bool = False) ->
     tagged = tagged.filter("hn IS NOT NULL").select("uid", "doc_id", "digest", F.col("hk").alias("keep_id"), F.col("hn").alias("n")).unionByName(tagged.filter("hn IS NULL").select("uid", "doc_id", "digest").join(light, "digest", "left"))
     tagged = staged(tagged, "tagged")
     salted = hits.join(F.broadcast(heavy.select("digest", F.col("n").alias("hn"))), "digest", "left")
-    salted = salted.withColumn("salt", F.when(F.col("hn").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("uid"), F.ceil(F.col("hn") / ROWS_PER_SALT))).cast("long"))
+    salted = salted.withColumn("salt", F.when(F.col("hn").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("uid"), F.ceil(F.col("hn") * HEAVY_SHARE / F.lit(total)))).cast("long"))
     wrong = staged(_false_hits(salted), "collisions")
     bad = wrong.count()
     one, is_best = F.col("n").isNull(), F.col("n").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -7,8 +7,10 @@ from importlib import import_module
 #: query -> module that defines it (and, where SQL can express it, ORACLE).
 MODULES = {
     "op1_mix_sources": "mixing",
+    "op5_pack_sequences": "packing",
     "op8_exact_dedup": "exact_dedup",
     "op9_quality_rules": "quality",
+    "op10_token_files": "token_files",
 }
 
 
