@@ -31,8 +31,10 @@ from gridloom.llm.tokens import byte_batches, encoder
 SEQUENCE = 1024
 END_ID = 0
 DTYPE = "<u2"
-#: Column generation ends when the bound on what is left to gain is below this share of the sequences.
-GAP = 1e-3
+#: Column generation ends when the sequences are within this share of the lower bound, or after so many pricing rounds;
+#: what the patterns then leave over goes to the stream.
+GAP = 5e-3
+ROUNDS = 50
 
 
 def tokenised(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -59,66 +61,69 @@ def tokenised(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int
     return pick(docs, doc_id="long", text="string").mapInArrow(run, kind)
 
 
-def _price(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
-    """Best pattern for the duals ``worth``: value and {index: copies}."""
+def _price(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over all capacities: best value per room, and the item that reached it (-1: none)."""
     best, last = np.zeros(size + 1), np.full(size + 1, -1)
-    order = np.argsort(lengths)
-    ls, ws = lengths[order], worth[order]
     for room in range(1, size + 1):
-        k = np.searchsorted(ls, room, side="right")
         best[room] = best[room - 1]
+        k = int(np.searchsorted(lengths, room, side="right"))
         if k:
-            gains = best[room - ls[:k]] + ws[:k]
+            gains = best[room - lengths[:k]] + worth[:k]
             j = int(np.argmax(gains))
             if gains[j] > best[room] + 1e-12:
-                best[room], last[room] = gains[j], order[j]
-    found, room = defaultdict(int), size
+                best[room], last[room] = gains[j], j
+    return best, last
+
+
+def _pattern(lengths: np.ndarray, last: np.ndarray, size: int, first: int) -> dict[int, int]:
+    """The best pattern that holds item ``first``: {index: copies}."""
+    found, room = defaultdict(int), size - int(lengths[first])
+    found[first] = 1
     while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            found[int(last[room])] += 1
-            room -= int(lengths[last[room]])
-    return float(best[size]), dict(found)
+        j = int(last[room])
+        room -= int(lengths[j]) if j >= 0 else 1
+        if j >= 0:
+            found[j] += 1
+    return dict(found)
 
 
 def patterns(histogram: dict[int, int], size: int = SEQUENCE, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
-    """The linear program's patterns ({length: copies}, uses). Driver work over at most ``size`` - 1 lengths."""
+    """The linear program's patterns ({length: copies}, uses). Driver work over at most ``size`` - 1 lengths.
+
+    Every pricing yields a pattern for each length, and those that pay under the present duals enter the basis. Duals are
+    kept in a box around length / size that widens from round to round, with a little seeded noise against ties."""
     lengths = np.array(sorted(histogram))
     if not len(lengths):
         return []
     need = np.array([histogram[x] for x in lengths.tolist()], dtype=float)
-    m = len(lengths)
+    m, ideal, rng = len(lengths), lengths / size, np.random.default_rng(size)
     basis = [{i: size // int(x)} for i, x in enumerate(lengths)]
     inverse = np.diag([1.0 / b[i] for i, b in enumerate(basis)])
     uses = inverse @ need
-    for step in range(40 * m):
-        worth = inverse.sum(axis=0)  # every pattern costs one sequence
-        value, entering = _price(lengths, worth, size)
-        if value <= 1 + 1e-9 or 1 - 1 / value <= gap:  # need @ worth / value bounds the optimum from below
-            break
-        column = np.zeros(m)
-        for i, k in entering.items():
-            column[i] = k
-        direction = inverse @ column
-        ratio = np.where(direction > 1e-9, uses / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
+    bound = need @ ideal
+    for turn in range(ROUNDS):
+        box = 0.02 + 0.3 * turn / ROUNDS
+        worth = np.clip(inverse.sum(axis=0), ideal * (1 - box), ideal * (1 + box)) * (1 + 0.01 * rng.standard_normal(m))
+        best, last = _price(lengths, worth, size)
+        bound = max(bound, need @ worth / max(1.0, best[size]))
+        for first in range(m - 1, -1, -1):
+            entering = _pattern(lengths, last, size, first)
+            at, copies = np.array(list(entering)), np.array(list(entering.values()), dtype=float)
+            if inverse[:, at].sum(axis=0) @ copies <= 1 + 1e-7:
+                continue
+            direction = inverse[:, at] @ copies
+            ratio = np.where(direction > 1e-9, uses / np.where(direction > 1e-9, direction, 1), np.inf)
+            out = int(np.argmin(ratio))
+            if not np.isfinite(ratio[out]):
+                continue
+            uses = np.maximum(0.0, uses - ratio[out] * direction)
+            uses[out] = ratio[out]
+            row = inverse[out] / direction[out]
+            inverse -= np.outer(direction, row)
+            inverse[out] = row
+            basis[out] = entering
+        if uses.sum() <= bound * (1 + gap):
             break
-        theta = max(0.0, ratio[out])
-        uses = np.maximum(0.0, uses - theta * direction)
-        uses[out] = theta
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        basis[out] = entering
-        if step % 200 == 199:  # fresh factors against drift
-            full = np.zeros((m, m))
-            for j, b in enumerate(basis):
-                for i, k in b.items():
-                    full[i, j] = k
-            inverse = np.linalg.inv(full)
-            uses = np.maximum(0.0, inverse @ need)
     return [({int(lengths[i]): k for i, k in b.items()}, float(u)) for b, u in zip(basis, uses, strict=True) if u > 0]
 
 
