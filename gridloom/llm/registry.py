@@ -9,6 +9,7 @@ MODULES = {
     "op1_mix_sources": "mixing",
     "op3_format_chat": "chat",
     "op5_pack_sequences": "packing",
+    "op7_secret_scan": "secrets",
     "op8_exact_dedup": "exact_dedup",
     "op9_quality_rules": "quality",
     "op10_token_files": "token_files",
