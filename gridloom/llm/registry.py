@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_mix_sources": "mixing",
     "op3_format_chat": "chat",
+    "op4_extract_html": "html_text",
     "op5_pack_sequences": "packing",
     "op7_secret_scan": "secrets",
     "op8_exact_dedup": "exact_dedup",
