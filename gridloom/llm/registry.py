@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module that defines it (and, where SQL can express it, ORACLE).
 MODULES = {
     "op1_mix_sources": "mixing",
+    "op2_jaccard_join": "jaccard",
     "op3_format_chat": "chat",
     "op4_extract_html": "html_text",
     "op5_pack_sequences": "packing",
