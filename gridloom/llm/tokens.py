@@ -10,9 +10,10 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond it the memo starts anew.
-MEMO = 600_000
+#: Pieces in each of the two generations that a worker remembers; a full one replaces the older.
+MEMO = 450_000
 #: White space other than single blanks and line feeds: such texts go to the tokenizer whole.
 _RARE = re.compile(r"[^\S\n\x20]")
 _loaded: dict[tuple[str, str], PieceEncoder] = {}
@@ -26,23 +27,22 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.keeps_blanks = dtype, keeps_blanks
+        self.dtype, self.keeps_blanks, self.code = dtype, keeps_blanks, {"<u2": "H", "<u4": "I"}[dtype]
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def fill(self, pieces: set[str]) -> None:
-        """Encode unseen pieces in one call."""
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > MEMO:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            text = " " + piece if self.keeps_blanks else piece
+            ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-            new = list(pieces)
-        code = {"<u2": "H", "<u4": "I"}[self.dtype]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            texts = [" " + p for p in part] if self.keeps_blanks else part
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self[p] = array(code, e.ids).tobytes()
+        self[piece] = ids
+        return ids
 
     def pieces(self, text: str) -> list[str] | None:
         """None: the text must be encoded as a whole."""
@@ -53,22 +53,15 @@ class PieceEncoder(dict):
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        out, get, lo = [], self.__getitem__, 0
-        while lo < len(texts):  # fill the memo for a stretch of texts, then look up
-            hi, seen = lo, set()
-            while hi < len(texts) and len(seen) < MEMO // 4:
-                seen.update(cut[hi] or ())
-                hi += 1
-            self.fill(seen)
-            for t, pieces in zip(texts[lo:hi], cut[lo:hi], strict=True):
-                if pieces is None:
-                    out.append(self.whole(t))
-                elif self.keeps_blanks:
-                    out.append((self.whole(pieces[0]) if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
-                else:
-                    out.append(b"".join(map(get, pieces)))
-            lo = hi
+        out, get = [], self.__getitem__
+        for text in texts:
+            pieces = self.pieces(text)
+            if pieces is None:
+                out.append(self.whole(text))
+            elif self.keeps_blanks:
+                out.append((self.whole(pieces[0]) if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
+            else:
+                out.append(b"".join(map(get, pieces)))
         return out
 
 
@@ -88,7 +81,7 @@ def byte_batches(batches, text_column: int, most: int = 8 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(text_column).to_pylist()])
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // most
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for lo, hi in zip(edges, edges[1:], strict=False):
