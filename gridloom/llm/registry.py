@@ -11,6 +11,7 @@ MODULES = {
     "op3_format_chat": "chat",
     "op4_extract_html": "html_text",
     "op5_pack_sequences": "packing",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_secret_scan": "secrets",
     "op8_exact_dedup": "exact_dedup",
     "op9_quality_rules": "quality",
