@@ -1,11 +1,58 @@
-"""The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing sources, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
+documents. ``run`` applies them to documents, each stage's result written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import exact_dedup, jaccard, mixing, packing, quality
+from gridloom.llm.common import staged
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or a certified rule go."""
+    return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by five-word shingles at a similarity of 0.8 the smallest id stays."""
+    return jaccard.one_per_component(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    import public_tokenizers
+
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("jaccard_join", jaccard_stage),
+    ("mix_sources", mixing_stage),
+    ("pack_sequences", packing_stage),
+]
+
+#: Hash-ranked sampling and tokenisation are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

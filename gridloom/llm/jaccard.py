@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRE
 
 
 def one_per_component(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; of rows that repeat that id, all stay only if alone in it."""
+    """The rows of ``docs`` whose id is the smallest of their component; rows that repeat that id stay together."""
     keep = jaccard_components(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
 

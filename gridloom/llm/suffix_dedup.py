@@ -38,6 +38,9 @@ FILTER_BITS = 2**27
 HASHES = 3
 SALTS = 32
 BUCKET_KEYS = 1_000_000
+#: Units of whole groups that are compared in one go, and windows held at once.
+UNITS = 2_000
+WINDOWS = 200_000
 _TABLE = [_mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s)) for s in (1, 2)]
 _BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -124,23 +127,37 @@ def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def key_filter(blobs: DataFrame) -> bytes:
     """Bloom filter over packed keys (column 0), FILTER_BITS bits, built and merged by slices."""
-    slices = 512
+    slices = 64
+    width = FILTER_BITS // slices
 
     def fill(batches):
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        held, size = [], 0
+
+        def flush():
+            slot = np.unique(np.concatenate(held))
+            cut = np.searchsorted(slot, np.arange(slices + 1, dtype=np.int64) * width)
+            rows = [(i, (slot[lo:hi] - i * width).astype(np.int32).tobytes()) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
+            return pa.RecordBatch.from_pydict({"slice": pa.array([i for i, _ in rows], pa.int64()), "slots": pa.array([x for _, x in rows], pa.binary())})
+
         for batch in batches:
-            bits[_slots(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64)).ravel()] = True
-        packed = np.packbits(bits).reshape(slices, -1)
-        for i in np.flatnonzero(packed.any(axis=1)):
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int64()), "bits": pa.array([packed[i].tobytes()], pa.binary())})
+            for blob in batch.column(0).to_pylist():
+                held.append(_slots(np.frombuffer(blob, dtype=np.uint64)).ravel())
+                size += len(held[-1])
+                if size > 3_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()])
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    kind, out = "slice long, bits binary", np.zeros((slices, FILTER_BITS // 8 // slices), dtype=np.uint8)
-    for row in blobs.mapInArrow(fill, kind).groupBy("slice").applyInArrow(merge, kind).toLocalIterator():  # FILTER_BITS / 8 bytes
-        out[row["slice"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
+        bits = np.zeros(width, dtype=bool)
+        for blob in table.column("slots").to_pylist():
+            bits[np.frombuffer(blob, dtype=np.int32)] = True
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros((slices, width // 8), dtype=np.uint8)
+    for row in blobs.mapInArrow(fill, "slice long, slots binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect():  # FILTER_BITS / 8 bytes
+        out[row["slice"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.tobytes()
 
 
@@ -271,31 +288,31 @@ def _compare(length: int):
     """A bucket's units, sorted by their anchors' leading bytes: windows that some other unit has as well."""
 
     def spans(rows: list[dict]):
-        units = {}
-        for r in rows:  # equal units count once: those that repeat are covered already
-            units.setdefault((r["unit"], r["offset"]), []).append(r)
-        if len(units) < 2:
+        """``rows`` of whole groups; equal units count once, since those that repeat are covered already."""
+        units: dict = {}
+        for r in rows:
+            units.setdefault((r["lead"], r["salt"], r["salts"], r["unit"], r["offset"]), []).append(r)
+        kinds = list(units)
+        leads: dict = {}
+        lead = np.array([leads.setdefault(k[:2], len(leads)) for k in kinds])
+        shared = np.bincount(lead)[lead] > 1
+        if not shared.any():
             return
-        kinds, salt, salts = list(units), rows[0]["salt"], rows[0]["salts"]
-        for lo in range(0, length, 16):  # offsets of the anchor in the window, some at a time
-            at, place = [], []
-            for i, (unit, offset) in enumerate(kinds):
-                j = np.arange(len(unit) - length + 1)
-                p = offset - j
-                j = j[(p >= lo) & (p < lo + 16) & (p % salts == salt)]
-                at.append(np.full(len(j), i))
-                place.append(j)
-            at, place = np.concatenate(at), np.concatenate(place)
+        kinds, lead = [k for k, yes in zip(kinds, shared, strict=True) if yes], lead[shared]
+        salt, salts, size, offset = (np.array(x) for x in zip(*((k[1], k[2], len(k[3]) - length + 1, k[4]) for k in kinds), strict=True))
+        blob = np.frombuffer(b"".join(k[3] for k in kinds), dtype=np.uint8)
+        begin = np.cumsum(size + length - 1) - (size + length - 1)
+        step = max(1, WINDOWS // len(kinds))
+        for first in range(0, length, step):  # offsets of the anchor in the window, some at a time
+            p = np.arange(first, min(length, first + step))
+            j = offset[:, None] - p[None, :]
+            at, column = np.nonzero((j >= 0) & (j < size[:, None]) & (p[None, :] % salts[:, None] == salt[:, None]))
             if len(at) < 2:
                 continue
-            blob = np.frombuffer(b"".join(u for u, _ in kinds), dtype=np.uint8)
-            begin = np.cumsum([0, *(len(u) for u, _ in kinds)])[:-1]
-            size = -(-length // 8) * 8
-            for a in range(0, 1):
-                window = np.zeros((len(at), size), dtype=np.uint8)
-                window[:, :length] = blob[(begin[at] + place)[:, None] + np.arange(length)]
-            offsets = np.array([o for _, o in kinds])[at] - place
-            for k in equal_windows(window.view(np.uint64), offsets):
+            place = j[at, column]
+            window = np.zeros((len(at), -(-length // 8) * 8), dtype=np.uint8)
+            window[:, :length] = blob[(begin[at] + place)[:, None] + np.arange(length)]
+            for k in equal_windows(window.view(np.uint64), lead[at] * length + p[column]):
                 for r in units[kinds[at[k]]]:
                     yield r["tkey"], r["n_bytes"], r["lo"] + int(place[k]), r["lo"] + int(place[k]) + length
 
@@ -320,9 +337,10 @@ def _compare(length: int):
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["lead"], r["salt"]) != key:
-                    if group:
+                    if len(group) > UNITS:
                         yield close()
-                    group, key = [], (r["lead"], r["salt"])
+                        group.clear()
+                    key = (r["lead"], r["salt"])
                 group.append(r)
         if group:
             yield close()
