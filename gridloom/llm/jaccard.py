@@ -9,9 +9,10 @@ sets form one node. The order is cut into fragments twice:
   below. Fragment keys travel packed, many to a row.
 * Counting. Candidate pairs count their partial overlaps in each of COUNTING fragments separately; the sum per pair decides.
 
-A key shared by up to ALL_PAIRS sets gives all its pairs. A longer list first gives a star to its smallest set; what is then
-still in different components within a list is paired in a second pass, so no link is lost while copies of one text never
-meet in all pairs. Components come from label propagation with pointer jumping over staged edges.
+A key shared by up to ALL_PAIRS sets gives all its pairs. Grams that only one candidate set has can be in no overlap; they are
+counted range by range, and pairs (and whole sets) whose shared grams cannot reach the threshold any more are dropped, which
+is exact; so is the bound that parity bitmaps of the sets give. A longer list first gives a star to its hub, the set with the least of its own; what is then still in different
+components within a list is paired in a second pass, so no link is lost while copies of one text never meet in all pairs. Components come from label propagation with pointer jumping over staged edges.
 
 Cases: null text and text without words have no set, n_shingles 0 and link with nothing (a component each); fewer words than
 ``size`` give the whole sequence as one shingle; repeated rows share a node; a null id is the smallest of its component only
@@ -137,7 +138,7 @@ def _packed_keys(size: int, percent: int, buckets: int):
 
 
 def _lists(percent: int):
-    """One bucket: pairs of short lists and stars of long ones; members of long lists with their key."""
+    """One bucket: all pairs of short lists; members of long lists with their key."""
 
     def run(table: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
@@ -157,9 +158,6 @@ def _lists(percent: int):
             a.append(at)
             b.append(at + gap)
         long = np.flatnonzero(of > ALL_PAIRS)
-        star = long[rank[long] > 0]
-        a.append(np.repeat(start, length)[star])
-        b.append(star)
         a, b = np.concatenate(a), np.concatenate(b)
         fits = 100 * n[a].astype(np.int64) >= percent * n[b].astype(np.int64)
         pairs = np.unique(np.sort(np.stack([node[a[fits]], node[b[fits]]], axis=1), axis=1), axis=0) if fits.any() else np.zeros((0, 2), dtype=np.int64)
@@ -211,13 +209,65 @@ def _segments(size: int, bits):
                 if yes and node not in seen:
                     seen.add(node)
                     cut = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-                    rows += [(node, len(s), g, s[lo:hi].tobytes()) for g, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))]
+                    rows += [(node, len(s), g, s[lo:hi].tobytes(), parity(s) if g == 0 else None) for g, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["node", "n", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["node", "n", "fragment", "grams", "bits"])
 
     return run
 
 
+def _packed_grams(ranges: int):
+    """Grams of segments by range of the hash order, packed per batch."""
+    edges = (np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**64).astype(np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            grams = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
+            if not grams:
+                continue
+            gram, row = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+            order = np.argsort(gram)
+            gram, row = gram[order], row[order]
+            cut = np.concatenate([[0], np.searchsorted(gram, edges), [len(gram)]])
+            nodes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
+                if hi > lo:
+                    some, at = np.unique(row[lo:hi], return_inverse=True)
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([i], pa.int32()), "grams": pa.array([gram[lo:hi].tobytes()], pa.binary()), "rows": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "nodes": pa.array([nodes[some].tobytes()], pa.binary())})
+
+    return run
+
+
+def _unshared(table: pa.Table) -> pa.Table:
+    """Per node the grams of this range that no other node has."""
+    grams, nodes = [], []
+    for g, r, n in zip(*(table.column(c).to_pylist() for c in ("grams", "rows", "nodes")), strict=True):
+        grams.append(np.frombuffer(g, dtype=np.uint64))
+        nodes.append(np.frombuffer(n, dtype=np.int64)[np.frombuffer(r, dtype=np.int32)])
+    gram, node = np.concatenate(grams), np.concatenate(nodes)
+    _, first, count = np.unique(gram, return_index=True, return_counts=True)
+    found, alone = np.unique(node[first[count == 1]], return_counts=True)
+    return pa.table({"node": pa.array(found, pa.int64()), "alone": pa.array(alone, pa.int64())})
+
+
+PARITY = 8
+
+
+def parity(found: np.ndarray) -> list[int]:
+    """Parity bitmap of a set: bit i tells whether an odd number of its grams falls to i. Two bitmaps differ in at most as
+    many bits as the sets differ in grams."""
+    odd = np.bincount((found & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _can_link(x: str, y: str, percent: int):
+    """Exact bounds: sizes, grams that some other candidate has too, and bitmaps still allow the threshold."""
+    at = lambda side, c: F.col(side + c)
+    both = at(x, "n") + at(y, "n")
+    differ = sum((F.bit_count(at(x, f"b{i}").bitwiseXOR(at(y, f"b{i}"))) for i in range(PARITY)), F.lit(0))
+    return ((100 + percent) * F.least(at(x, "shared"), at(y, "shared")) >= percent * both) & (differ * (100 + percent) <= both * (100 - percent))
+
+
 def _overlaps(batches):
     """Partial overlap of a pair in one fragment."""
     for batch in batches:
@@ -272,22 +322,37 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRE
     keys = src.mapInArrow(_packed_keys(size, percent, buckets), "bucket int, keys binary, nodes binary, sizes binary")
     found = staged(keys.groupBy("bucket").applyInArrow(_lists(percent), "a long, b long, key long, size long"), "lists")
     pairs = staged(found.filter("key IS NULL").select("a", "b").distinct(), "pairs")
-    members = found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key", "size")
+    members = found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key")
 
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(members.select(F.col("node").alias("a"))).distinct()
     bits = spark.sparkContext.broadcast(node_filter(wanted))
-    segments = src.mapInArrow(_segments(size, bits), "node long, n long, fragment int, grams binary")
+    segments = src.mapInArrow(_segments(size, bits), "node long, n long, fragment int, grams binary, bits array<long>")
     segments = staged(segments.dropDuplicates(["node", "fragment"]), "segments")
+    packed = segments.select("node", "grams").mapInArrow(_packed_grams(buckets), "range int, grams binary, rows binary, nodes binary")
+    alone = packed.groupBy("range").applyInArrow(_unshared, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    own = segments.filter("fragment = 0").select("node", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)))
+    stats = own.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    stats = staged(stats.filter(100 * F.col("shared") >= percent * F.col("n")), "stats")  # the others link with nothing
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        sa, sb = (stats.select(*(F.col(c).alias(side + c) for c in stats.columns)) for side in ("a_", "b_"))
+        both = pairs.join(sa, F.col("a") == F.col("a_node")).join(sb, F.col("b") == F.col("b_node"))
+        return both.filter(_can_link("a_", "b_", percent)).select("a", "b")
+
+    members = staged(members.join(stats, "node"), "members")
+    hubs = members.groupBy("key").agg(F.min_by("node", F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "node")).alias("hub"))  # the set with the least of its own
+    stars = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = staged(allowed(pairs.unionByName(stars).distinct()), "pairs")
     edges = staged(verify(pairs, segments, percent), "links")
     labels = components(edges)
 
     # long lists whose sets are not all in one component yet: the pairs between components
-    placed = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     left = staged(placed.join(open_keys, "key", "left_semi"), "open")
     if left.take(1):
         x, y = left.alias("x"), left.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")))
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _can_link("x.", "y.", percent))
         more = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         edges = staged(edges.unionByName(verify(more, segments, percent)), "links")
