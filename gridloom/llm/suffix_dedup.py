@@ -39,8 +39,8 @@ HASHES = 3
 SALTS = 32
 BUCKET_KEYS = 1_000_000
 #: Units of whole groups that are compared in one go, and windows held at once.
-UNITS = 2_000
-WINDOWS = 200_000
+UNITS = 1_000
+WINDOWS = 60_000
 _TABLE = [_mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s)) for s in (1, 2)]
 _BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -164,7 +164,8 @@ def key_filter(blobs: DataFrame) -> bytes:
 def _text_key(text: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(text, seed=len(text)) - 2**63
+    h = xxhash.xxh64_intdigest(text, seed=42)  # the same as the SQL function xxhash64
+    return h - 2**64 if h >= 2**63 else h
 
 
 def _texts(batches, column: int = 0):
@@ -311,7 +312,7 @@ def _compare(length: int):
                 continue
             place = j[at, column]
             window = np.zeros((len(at), -(-length // 8) * 8), dtype=np.uint8)
-            window[:, :length] = blob[(begin[at] + place)[:, None] + np.arange(length)]
+            window[:, :length] = np.lib.stride_tricks.sliding_window_view(blob, length)[begin[at] + place]
             for k in equal_windows(window.view(np.uint64), lead[at] * length + p[column]):
                 for r in units[kinds[at[k]]]:
                     yield r["tkey"], r["n_bytes"], r["lo"] + int(place[k]), r["lo"] + int(place[k]) + length
@@ -397,11 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = staged(repeated_spans(src.select("text"), length), "spans")
     per = spans.groupBy("tkey", "n_bytes").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
-    @F.pandas_udf("long")
-    def text_key(texts):
-        return texts.map(lambda x: _text_key((x or "").encode("utf-8", "surrogatepass")))
-
-    keyed = src.withColumn("tkey", text_key("text")).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    keyed = src.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tkey", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     keyed = keyed.withColumn("key", F.struct("tkey", "n_bytes"))
     rows = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "texts")
     total = max(1, src.count())
@@ -409,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = grouped_join(keyed.select("doc_id", "text", "n_bytes", "key"), staged(table, "by_text"), "key", total)
 
     def cut(batches):
-        for batch in batches:
+        for batch in byte_batches(batches, 1):
             removed, kept = [], []
             for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text, runs = text or b"", _runs(spans or [])
