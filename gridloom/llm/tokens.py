@@ -29,6 +29,7 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.keeps_blanks, self.code = dtype, keeps_blanks, {"<u2": "H", "<u4": "I"}[dtype]
         self.old: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -36,7 +37,9 @@ class PieceEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.pop(piece, None)
         if ids is None:
-            text = " " + piece if self.keeps_blanks else piece
+            ids = self._parts(piece)
+        if ids is None:
+            text = " " + piece if self.keeps_blanks and not piece.startswith("\n") else piece
             ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) >= MEMO:
             self.old = dict(self)
@@ -44,11 +47,29 @@ class PieceEncoder(dict):
         self[piece] = ids
         return ids
 
+    def _parts(self, piece: str) -> bytes | None:
+        """A piece from smaller ones: at its last inner line feed, before a closing stop or comma, or in lower case.
+        The pre-tokenizers cut at all these places; None where that is not certain."""
+        if len(piece) < 2 or "<|" in piece:
+            return None
+        if self.keeps_blanks:
+            at = piece.rfind("\n", 1, len(piece) - 1)
+            if at > 0:
+                return self[piece[:at]] + self[piece[at:]]
+        elif piece.isascii() and (low := piece.lower()) != piece:
+            return self[low]
+        if piece[-1] in ".," and piece[-2].isalpha():
+            stop = piece[-1]
+            if stop not in self.stops:
+                self.stops[stop] = self.whole(stop)
+            return self[piece[:-1]] + self.stops[stop]
+        return None
+
     def pieces(self, text: str) -> list[str] | None:
         """None: the text must be encoded as a whole."""
         if not self.keeps_blanks:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if "  " in text or " \n" in text or "\n " in text or _RARE.search(text):
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == "\n" or _RARE.search(text):
             return None
         return text.split(" ")
 
