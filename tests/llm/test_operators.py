@@ -1,0 +1,358 @@
+"""The ten operators against brute force, on small tables with nulls, empty and repeated rows and clashing extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from gridloom.llm import chat, exact_dedup, html_text, jaccard, mixing, packing, quality, secrets, suffix_dedup, token_files
+from gridloom.llm.common import new_folder
+
+WORDS = ["river", "stone", "Cloud", "apple,", "night.", "paper", "été", "straße", "token", "hill"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, copies int, target double, _row string"
+
+
+def rows():
+    """Texts with copies, near copies, shared passages, nulls and an id that occurs twice."""
+    rng = random.Random(5)
+    base = " ".join(rng.choices(WORDS, k=150))
+    passage = " ".join(rng.choices(WORDS, k=60))
+    texts = [None, "", " \n\t ", "one two three", base, base.upper(), base.replace("river", "lake", 1), base + " tail end.", "Aa bB", "aA Bb", "x" * 450, "same line\nsame line\nother\n"]
+    texts += [" ".join(rng.choices(WORDS, k=rng.randint(5, 120))) + ("\n" + passage if i % 4 == 0 else "") for i in range(40)]
+    texts += [" ".join(w if rng.random() > 0.02 else "edit%d" % i for w in base.split()) for i in range(15)]
+    out = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None, ""]), 0, 7, 9, 1.5, "clash") for i, t in enumerate(texts)]
+    return out + [(3, "one two three", "en", "a", 0, 7, 9, 1.5, "clash"), (None, "lonely null id " * 9, "en", "b", 0, 7, 9, 1.5, "clash")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_mixing_meets_targets(spark, docs, empty):
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows())
+    per = {}
+    for r in found:
+        assert 0 <= r["copies"] <= 2 and r["size"] >= 0
+        s = per.setdefault(r["source"], [r["source_size"], r["target"], 0, 0])
+        s[2] += r["size"]
+        s[3] += r["size"] * r["copies"]
+    total = sum(s[0] for s in per.values())
+    for size, target, seen, taken in per.values():
+        assert size == seen and target <= 2 * size + 1e-6 and abs(taken - target) <= max(40, 0.1 * target)
+    assert abs(sum(s[1] for s in per.values()) - 1.5 * total) < 1e-6
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in found)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_jaccard_components(docs, empty):
+    data = [(r[0], r[1]) for r in rows()]
+    sets = []
+    for _, text in data:
+        w = words(lower(text))
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    label = list(range(len(data)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                label[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(data):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    want = sorted((str(d), len(s), str(low.get(find(i)))) for i, ((d, _), s) in enumerate(zip(data, sets, strict=True)))
+    got = jaccard.jaccard_components(docs, 4, 85).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+    assert jaccard.jaccard_components(empty, 4, 85).count() == 0
+
+
+def test_jaccard_long_lists(spark):
+    """Many near copies of one text, some beyond the threshold of the hub."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    data = [(k, " ".join(w if rng.random() > (k % 9) / 100 else f"e{k}_{i}" for i, w in enumerate(base))) for k in range(60)]
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(197)} for _, t in data]
+    label = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
+
+
+def test_fragment_keys_meet():
+    """Any two sets at the threshold share a key."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 6, 11, 40, 300):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            drop = int(rng.integers(0, len(a) * 15 // 100 + 1))
+            b = np.delete(a, rng.choice(len(a), drop, replace=False))
+            if 100 * len(b) >= 85 * len(a):
+                assert set(jaccard.fragment_keys(a, 85).tolist()) & set(jaccard.fragment_keys(b, 85).tolist())
+
+
+def test_chat_round_trip(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rng = random.Random(1)
+    turns = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", " ".join(rng.choices(WORDS, k=90))) for i in range(1, 40)]
+    turns += [(2, 0, "user", said), (2, 1, "assistant", said), (3, 0, "assistant", None), (3, 1, None, "<\\|x <|y"), (None, 0, "user", "a"), (4, 5, "us\ner\\", "long " * 3000), (4, None, "assistant", "last")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    samples = chat.format_chat(table, public_tokenizers.path("byte_bpe_50k.json"), budget=600, history=200).collect()
+    convs = {}
+    for s in sorted(samples, key=lambda s: (s["conv_id"] or -9, s["window"])):
+        parsed = chat.parse(s["text"])
+        c = convs.setdefault(s["conv_id"], [[], []])
+        c[0] += parsed[s["n_context"] :]
+        c[1] += [chat.unescape(s["text"][x["start"] : x["end"]]) for x in s["loss"]]
+        if s["conv_id"] == 1:
+            assert parsed[0] == ("system", "be kind")
+    assert sum(s["conv_id"] == 1 for s in samples) > 3 and any(s["n_context"] > 1 for s in samples)
+    for conv, (found, loss) in convs.items():
+        want = [(r or "", t or "") for c, n, r, t in sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is None, t[1]))]
+        assert found == want and loss == [t for r, t in want if r == "assistant"]
+    for text in ("<|", "<\\|", "<\\\\|im_end|>", "\\<|<|"):
+        assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+    assert chat.format_chat(table.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_html_text(spark):
+    field = html_text.trained()
+    right = total = 0
+    for page in html_text.labelled_pages(60, 99):
+        found = [b for b in html_text.blocks(page) if b.label is not None]
+        guess = field.decode(html_text.features(found))
+        right += sum(int(b.label) == y for b, y in zip(found, guess, strict=True))
+        total += len(found)
+    assert right >= 0.98 * total
+    page = '<html><head><title>t</title><script>x="</p>"</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy.</div><article><h1>Head &amp; tail</h1><p><b>One\n two<br><p>Three.</p></article><section class="comments"><p>Nice!</p></section><footer>&copy; x</footer>'
+    table = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (1, "u", page)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract_text(table, field).collect())
+    assert got == [(1, "Head & tail\n\nOne two\n\nThree.")] * 2 + [(2, ""), (3, "")]
+
+
+def test_packing(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    want = Counter((r[0], zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u2").tobytes())) for r in rows())
+    got = packing.pack(docs, path, size=64).collect()
+    pieces, sequences = {}, {}
+    for r in got:
+        assert len(r["ids"]) == 2 * r["length"] and 0 < r["length"] <= 64
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert sum(64 - sum(n for _, n in s) for s in sequences.values()) < 64
+    once = Counter()
+    for (d, _), parts in pieces.items():
+        if len({s for s, _ in parts}) == len(parts):
+            once[d, zlib.crc32(b"".join(x for _, x in sorted(parts)))] += 1
+    assert all(want[k] for k in once) and len(once) >= len(want) - 2
+    assert sum(r["length"] for r in got) == sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows())
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_cutting_stock():
+    found = packing.patterns({300: 100, 400: 50, 324: 100, 700: 10})
+    assert all(sum(x * k for x, k in p.items()) <= 1024 for p, _ in found)
+    for length, need in {300: 100, 400: 50, 324: 100, 700: 10}.items():
+        assert abs(sum(p.get(length, 0) * u for p, u in found) - need) < 1e-6
+    assert sum(u for _, u in found) < 10 + 75 + 10
+
+
+def test_suffix_dedup(docs, empty):
+    data = [(r[0], (r[1] or "").encode()) for r in rows()]
+    seen = Counter(t[i : i + 200] for _, t in data for i in range(len(t) - 199))
+    want = []
+    for d, t in data:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want.append((str(d), len(t), sum(gone), bytes(x for x, g in zip(t, gone, strict=True) if not g)))
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], sum(x["hi"] - x["lo"] for x in r["removed"]), bytes(r["kept"])) for r in got) == sorted(want)
+    assert sum(w[2] for w in want) > 1000
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_equal_windows():
+    rows = np.array([[1, 2], [1, 3], [1, 2], [9, 9]], dtype=np.uint64)
+    assert sorted(suffix_dedup.equal_windows(rows, np.zeros(4, dtype=int)).tolist()) == [0, 2]
+    assert suffix_dedup.equal_windows(rows, np.array([0, 0, 1, 1])).tolist() == []
+
+
+def test_secrets(spark, empty):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = " ".join("".join(rng.choices(["ta", "re", "on", "li", "ver", "ing"], k=3)) for _ in range(4000))
+    hidden = ["".join(rng.choices(alphabet, k=40)) for _ in range(12)]
+    texts = ["PassWord = 'hunter2hunter2' and ſecret=abcdefgh1", "AKIA" + "Q" * 16 + " AKIAX", "f" * 31 + " " + "0a" * 16, None, ""]
+    texts += [prose[i * 500 : i * 500 + 3000] + " " + h + " end" for i, h in enumerate(hidden)] + ["reverreverreverreverta " * 5]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[(x["start"], x["kind"], x["end"]) for x in got[i]["base"]] for i in range(5)] == [[(0, 0, 26)], [(0, 1, 20)], [(32, 2, 64)], [], []]
+    caught = sum(any(texts[5 + i][x["start"] : x["end"]] == h for x in got[5 + i]["found"]) for i, h in enumerate(hidden))
+    assert caught >= 10 and not got[17]["found"]
+    assert secrets.scan_secrets(empty).count() == 0
+
+
+def test_exact_dedup(docs, empty):
+    groups = {}
+    for r in rows():
+        groups.setdefault(lower(r[1]), []).append(r[0])
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == len(rows()) and sum(r["kept"] for r in got) == len(groups)
+    by_digest = {hashlib.sha256(t.encode()).digest(): ids for t, ids in groups.items()}
+    for r in got:
+        ids = by_digest[bytes(r["digest"])]
+        known = [i for i in ids if i is not None]
+        assert r["group_size"] == len(ids) and r["keep_id"] == (max(known) if known else None)
+    kept = exact_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4, 60)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(docs, labels).collect()
+    want = []
+    for r in rows():
+        text, w = r[1] or "", words(r[1])
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+        lines = [x for x in text.split("\n") if words(x)]
+        want.append((str(r[0]), len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == sorted(want)
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)  # too few labels certify nothing
+    assert quality.passing(docs, labels).columns == docs.columns
+    assert quality.quality_rules(empty, labels).count() == 0
+
+
+def test_quality_certifies(spark):
+    good = [(i, "plain words and more of them " * 6, "en") for i in range(3000)]
+    bad = [(10_000 + i, "### %%% $$$ *** words && " * 8, "en") for i in range(30)]
+    table = spark.createDataFrame([(i, f"{t} {' '.join(str(i * 31 + k) for k in range(60))}", g) for i, t, g in good + bad], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10_000)) for i, *_ in good + bad], "doc_id long, quality int")
+    got = quality.quality_rules(table, labels).collect()
+    assert all(r["kept"] for r in got if r["doc_id"] < 10_000)
+    assert all(not r["kept"] for r in got if r["doc_id"] >= 10_000)
+
+
+def test_token_files(spark, docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    manifest = token_files.write_token_files(docs, path, new_folder(spark, "shards"), shard_tokens=500)
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert manifest.count() > 3
+    want = Counter((r[0], np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], dtype="<u2").tobytes()) for r in rows())
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += len(r["ids"]) // 2
+    ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert ids == sorted(ids) and got[0]["doc_id"] is None
+    assert token_files.write_token_files(empty, path, new_folder(spark, "none")).count() == 0
+
+
+def test_wavelet_shard():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 40, 3000).astype("<u2") * 1201
+    shard = token_files.WaveletShard(token_files.encode_shard(ids, [1, None], [2000, 1000]))
+    assert (shard.tokens() == ids).all() and shard.documents()[0] == [1, None]
+    for i in (0, 1, 777, 2999):
+        assert shard.access(i) == ids[i]
+    for token in (0, 1201, 39 * 1201, 7):
+        places = np.flatnonzero(ids == token)
+        assert shard.count(token) == len(places) and shard.count(token, 1500) == (places < 1500).sum()
+        for k in (0, len(places) - 1):
+            if len(places):
+                assert shard.select(token, k) == places[k]
+    with pytest.raises(IndexError):
+        shard.select(7, 0)
+
+
+def test_pieces_equal_whole_texts():
+    from gridloom.llm.tokens import encoder
+
+    odd = ["", "  a  b", "a \n b", "\ta\tb c", "it's <|endoftext|>x", "a\n\n\nB. c,\nD.\n", "\nab c", "x.\n\n", "S'S don'T.", "<|ENDOFTEXT|>. A.B, c.,", "é. É, ñ.\nÑo", "İß ΑΣ b", "a\x1cb \x1d c", "q.\n.r ,. ."]
+    for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        got = encoder(path, "<u2", blanks).encode(odd * 2)
+        assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in odd * 2]
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    data = [(r[0] if r[0] is not None else 999, r[1], r[2] or "en", r[3] or "a", 0) for r in rows()]
+    data = list({d[0]: d for d in data}.values())
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    want = {d[0]: d[1] for d in data}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        if name == "quality_rules":
+            keep = {}
+            for d, t in want.items():
+                w = words(t)
+                seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+                hit = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+                if len(w) >= 20 and 100 * len(hit) <= 30 * len(w):
+                    keep[d] = t
+            want = keep
+        elif name == "exact_dedup":
+            want = {max(d for d in want if lower(want[d]) == lower(t)): t for t in want.values()}
+        else:
+            sets = {d: {tuple(lower(t).split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in want.items()}
+            low = {d: d for d in sets}
+            for _ in sets:
+                for a in sets:
+                    for b in sets:
+                        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                            low[a] = low[b] = min(low[a], low[b])
+            want = {d: t for d, t in want.items() if low[d] == d}
+        assert {r["doc_id"] for r in docs.select("doc_id").collect()} == set(want)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= set(want)
