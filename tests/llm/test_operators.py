@@ -225,7 +225,7 @@ def test_secrets(spark, empty):
     prose = " ".join("".join(rng.choices(["ta", "re", "on", "li", "ver", "ing"], k=3)) for _ in range(4000))
     hidden = ["".join(rng.choices(alphabet, k=40)) for _ in range(12)]
     texts = ["PassWord = 'hunter2hunter2' and ſecret=abcdefgh1", "AKIA" + "Q" * 16 + " AKIAX", "f" * 31 + " " + "0a" * 16, None, ""]
-    texts += [prose[i * 500 : i * 500 + 3000] + " " + h + " end" for i, h in enumerate(hidden)] + ["reverreverreverreverta " * 5]
+    texts += [prose[i * 100 : i * 100 + 30000] + " " + h + " end" for i, h in enumerate(hidden)] + ["reverreverreverreverta " * 5]
     got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [[(x["start"], x["kind"], x["end"]) for x in got[i]["base"]] for i in range(5)] == [[(0, 0, 26)], [(0, 1, 20)], [(32, 2, 64)], [], []]
     caught = sum(any(texts[5 + i][x["start"] : x["end"]] == h for x in got[5 + i]["found"]) for i, h in enumerate(hidden))
