@@ -150,3 +150,19 @@ def test_entry_survives_without_training_data_operators():
     import __spark_entry__
 
     assert "flagship_peaks" in __spark_entry__.queries() and "flagship_peaks" in __spark_entry__.oracle_sql()
+
+
+def test_stream_counts_equal_batch(spark, tmp_path):
+    from gridloom.streaming.counts import stream_counts
+
+    schema = "contig string, start long, end long, count int, sample string"
+    rows = [("c", i, i + 7, 1 + i % 3, f"s{i % 2}") for i in range(40)]
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = stream_counts(stream, 10).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "state")).start()
+    run.processAllAvailable()
+    run.stop()
+    want = counting.count_bins(spark.createDataFrame(rows, schema), 10)
+    key = lambda r: (r["contig"], r["sample"], r["bin"])
+    assert {key(r): round(r["value"], 6) for r in spark.table("counts").collect()} == {key(r): round(r["value"], 6) for r in want.collect()}
