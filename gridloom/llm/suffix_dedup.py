@@ -34,13 +34,13 @@ from gridloom.llm.tokens import byte_batches
 
 LENGTH = 200
 GRAM = 16
-FILTER_BITS = 2**27
+FILTER_BITS = 2**26
 HASHES = 3
 SALTS = 32
 BUCKET_KEYS = 1_000_000
 #: Units of whole groups that are compared in one go, and windows held at once.
-UNITS = 1_000
-WINDOWS = 60_000
+UNITS = 500
+WINDOWS = 40_000
 _TABLE = [_mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s)) for s in (1, 2)]
 _BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -117,7 +117,7 @@ class Units:
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
-    return np.stack([(_mix(keys + np.uint64(i * 0x9E3779B9 + 1)) >> np.uint64(64 - 27)).astype(np.int64) for i in range(HASHES)])
+    return np.stack([(_mix(keys + np.uint64(i * 0x9E3779B9 + 1)) >> np.uint64(64 - 26)).astype(np.int64) for i in range(HASHES)])
 
 
 def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ def key_filter(blobs: DataFrame) -> bytes:
             for blob in batch.column(0).to_pylist():
                 held.append(_slots(np.frombuffer(blob, dtype=np.uint64)).ravel())
                 size += len(held[-1])
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -256,7 +256,7 @@ def _contexts(length: int, bits, rim_bits):
                         key = (unit, a - lo)
                         if key in seen:
                             continue
-                        if len(seen) > 100_000:
+                        if len(seen) > 30_000:
                             seen.clear()
                         seen.add(key)
                     rows.append((t[a : a + GRAM], unit, a - lo, tkey, len(t), lo))
@@ -304,6 +304,7 @@ def _compare(length: int):
         blob = np.frombuffer(b"".join(k[3] for k in kinds), dtype=np.uint8)
         begin = np.cumsum(size + length - 1) - (size + length - 1)
         step = max(1, WINDOWS // len(kinds))
+        which, where = [], []
         for first in range(0, length, step):  # offsets of the anchor in the window, some at a time
             p = np.arange(first, min(length, first + step))
             j = offset[:, None] - p[None, :]
@@ -313,9 +314,21 @@ def _compare(length: int):
             place = j[at, column]
             window = np.zeros((len(at), -(-length // 8) * 8), dtype=np.uint8)
             window[:, :length] = np.lib.stride_tricks.sliding_window_view(blob, length)[begin[at] + place]
-            for k in equal_windows(window.view(np.uint64), lead[at] * length + p[column]):
-                for r in units[kinds[at[k]]]:
-                    yield r["tkey"], r["n_bytes"], r["lo"] + int(place[k]), r["lo"] + int(place[k]) + length
+            k = equal_windows(window.view(np.uint64), lead[at] * length + p[column])
+            which.append(at[k])
+            where.append(place[k])
+        if not which:
+            return
+        unit, place = np.concatenate(which), np.concatenate(where)
+        order = np.lexsort((place, unit))
+        unit, place = unit[order], place[order]
+        new = np.ones(len(unit), dtype=bool)
+        new[1:] = (unit[1:] != unit[:-1]) | (place[1:] - place[:-1] > length)
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(unit)]])[: len(first)] - 1
+        for lo, hi, u in zip(place[first].tolist(), (place[last] + length).tolist(), unit[first].tolist(), strict=True):
+            for r in units[kinds[u]]:
+                yield r["tkey"], r["n_bytes"], r["lo"] + lo, r["lo"] + hi
 
     def merged(found):
         out = {}
