@@ -266,9 +266,9 @@ def test_quality(spark, docs, empty):
 
 
 def test_quality_certifies(spark):
-    good = [(i, "plain words and more of them " * 6, "en") for i in range(3000)]
-    bad = [(10_000 + i, "### %%% $$$ *** words && " * 8, "en") for i in range(30)]
-    table = spark.createDataFrame([(i, f"{t} {' '.join(str(i * 31 + k) for k in range(60))}", g) for i, t, g in good + bad], "doc_id long, text string, lang string")
+    good = [(i, " ".join(f"word{i + k}" for k in range(40)), "en") for i in range(3000)]
+    bad = [(10_000 + i, " ".join(f"{k}#$%&*#" for k in range(i, i + 40)), "en") for i in range(30)]
+    table = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 10_000)) for i, *_ in good + bad], "doc_id long, quality int")
     got = quality.quality_rules(table, labels).collect()
     assert all(r["kept"] for r in got if r["doc_id"] < 10_000)
