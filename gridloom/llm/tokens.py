@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 #: Pieces in each of the two generations that a worker remembers; a full one replaces the older.
-MEMO = 450_000
+MEMO = 350_000
 #: White space other than single blanks and line feeds: such texts go to the tokenizer whole.
 _RARE = re.compile(r"[^\S\n\x20]")
 _loaded: dict[tuple[str, str], PieceEncoder] = {}
