@@ -238,16 +238,33 @@ def _packed_grams(ranges: int):
     return run
 
 
-def _unshared(table: pa.Table) -> pa.Table:
-    """Per node the grams of this range that no other node has."""
-    grams, nodes = [], []
-    for g, r, n in zip(*(table.column(c).to_pylist() for c in ("grams", "rows", "nodes")), strict=True):
-        grams.append(np.frombuffer(g, dtype=np.uint64))
-        nodes.append(np.frombuffer(n, dtype=np.int64)[np.frombuffer(r, dtype=np.int32)])
-    gram, node = np.concatenate(grams), np.concatenate(nodes)
-    _, first, count = np.unique(gram, return_index=True, return_counts=True)
-    found, alone = np.unique(node[first[count == 1]], return_counts=True)
-    return pa.table({"node": pa.array(found, pa.int64()), "alone": pa.array(alone, pa.int64())})
+def _unshared(buckets: int):
+    """Per node the grams of this range that no other node has, packed by node bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams, nodes = [], []
+        for g, r, n in zip(*(table.column(c).to_pylist() for c in ("grams", "rows", "nodes")), strict=True):
+            grams.append(np.frombuffer(g, dtype=np.uint64))
+            nodes.append(np.frombuffer(n, dtype=np.int64)[np.frombuffer(r, dtype=np.int32)])
+        gram, node = np.concatenate(grams), np.concatenate(nodes)
+        _, first, count = np.unique(gram, return_index=True, return_counts=True)
+        found, alone = np.unique(node[first[count == 1]], return_counts=True)
+        bucket = found % buckets
+        order = np.argsort(bucket, kind="stable")
+        found, alone, bucket = found[order], alone[order].astype(np.int64), bucket[order]
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table({"bucket": pa.array(some, pa.int32()), "nodes": pa.array([found[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), "counts": pa.array([alone[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())})
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Counts of all ranges, added per node of a bucket."""
+    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), dtype=np.int64)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64)
+    found, at = np.unique(nodes, return_inverse=True)
+    return pa.table({"node": pa.array(found, pa.int64()), "alone": pa.array(np.bincount(at, weights=counts).astype(np.int64), pa.int64())})
 
 
 PARITY = 8
@@ -329,7 +346,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRE
     segments = src.mapInArrow(_segments(size, bits), "node long, n long, fragment int, grams binary, bits array<long>")
     segments = staged(segments.dropDuplicates(["node", "fragment"]), "segments")
     packed = segments.select("node", "grams").mapInArrow(_packed_grams(buckets), "range int, grams binary, rows binary, nodes binary")
-    alone = packed.groupBy("range").applyInArrow(_unshared, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    alone = packed.groupBy("range").applyInArrow(_unshared(buckets), "bucket int, nodes binary, counts binary").groupBy("bucket").applyInArrow(_added, "node long, alone long")
     own = segments.filter("fragment = 0").select("node", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)))
     stats = own.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     stats = staged(stats.filter(100 * F.col("shared") >= percent * F.col("n")), "stats")  # the others link with nothing
