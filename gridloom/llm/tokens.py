@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 MEMO = 350_000
 #: White space other than single blanks and line feeds: such texts go to the tokenizer whole.
 _RARE = re.compile(r"[^\S\n\x20]")
+#: The parts of a piece: all but the last of a run of line feeds, a line with the last of them before it, a run at the end.
+_LINES = re.compile(r"\n+(?=\n[^\n])|\n?[^\n]+|\n+")
 _loaded: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -48,14 +50,14 @@ class PieceEncoder(dict):
         return ids
 
     def _parts(self, piece: str) -> bytes | None:
-        """A piece from smaller ones: at its last inner line feed, before a closing stop or comma, or in lower case.
+        """A piece from smaller ones: its lines and runs of line feeds, before a closing stop or comma, or in lower case.
         The pre-tokenizers cut at all these places; None where that is not certain."""
         if len(piece) < 2 or "<|" in piece:
             return None
         if self.keeps_blanks:
-            at = piece.rfind("\n", 1, len(piece) - 1)
-            if at > 0:
-                return self[piece[:at]] + self[piece[at:]]
+            lines = _LINES.findall(piece)
+            if len(lines) > 1:
+                return b"".join(map(self.__getitem__, lines))
         elif piece.isascii() and (low := piece.lower()) != piece:
             return self[low]
         if piece[-1] in ".," and piece[-2].isalpha():

@@ -320,6 +320,20 @@ def test_pieces_equal_whole_texts():
         assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in odd * 2]
 
 
+def test_pieces_with_runs_of_line_feeds():
+    from gridloom.llm.tokens import encoder
+
+    runs = [f"x foo{a * n}{b}{c * m}" for n in range(7) for m in range(7) for a, b, c in (("\n", "bar", "\n"), ("\n", "Bar.", "\n"), ("\n", ".\nq", "\n"), ("\n", "1 two", "\n"))]
+    rng = random.Random(4)
+    runs += ["".join(rng.choices(["a", "B", ".", ",", "\n", "\n", "\n", " ", "'s", "é", "7", "|"], k=rng.randint(3, 24))) for _ in range(3000)]
+    runs += ["x " + "line\n" * 5000 + "\n\nend"]
+    for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        for text, ids in zip(runs, encoder(path, "<u2", blanks).encode(runs), strict=True):
+            assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes(), repr(text[:60])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
