@@ -4,14 +4,18 @@ Template: ``<|im_start|>role\ntext<|im_end|>\n`` per turn. In texts and roles ev
 backslash, so that no control string survives and the change can be undone; line feeds and backslashes in roles are
 escaped as well.
 
-Windows: with S the tokens of a conversation before a turn, the turn belongs to window ``S // (budget - history)``; spans
-are aligned to turns because S is taken at their starts. A later window repeats, before its own turns, the system turn and
-the turns of the window before it whose S lies within ``history`` tokens of the window's start. Only assistant texts
-that are new in a window are under the loss mask, so each is a target once.
-
-Prefix sums run over range partitions of (conversation, turn): a sum within the partition plus a carry for the one
-conversation that began in an earlier partition. So a conversation of any length is formatted by many tasks. Only the
-digest of the query chains SHA-256 over a whole conversation and therefore streams its windows through one task.
+Windows are aligned to turns and chosen greedily: a window takes further turns as long as it keeps within the budget, all
+repeated turns counted. A later window repeats, before its own turns, the system turn and as many of the last turns before
+it as have at most ``history`` tokens. Where its first turn leaves too little room, it repeats fewer of these turns, or not
+the system turn; only a turn that is by itself longer than the budget makes a longer sample, of that turn alone. Only
+assistant texts that are new in a window are under the loss mask, so each is a target once.
+
+Turns lie in range partitions of (conversation, turn). A conversation that goes on in a later partition is walked from
+every turn there that may begin the partition's first window (those in the first ``budget`` tokens); the driver follows
+these few numbers from partition to partition, and each partition then places its turns by the reach and the number of the
+window it continues. The system turn and the last ``history`` tokens before it are handed to it as rows. So a conversation
+of any length is formatted by many tasks, whatever the partitions. Only the digest of the query chains SHA-256 over a whole
+conversation and therefore streams its windows through one task.
 
 Cases: null text and null role are empty; null conversation ids form one conversation; rows with the same turn are ordered
 by role, then by a hash of the text; null turns come last; a turn longer than the budget is a window of its own.
@@ -21,16 +25,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lookup_join, pick, staged
+from gridloom.llm.common import pick, staged
 from gridloom.llm.tokens import byte_batches, encoder
 
 BUDGET = 1024
 HISTORY = 256
+#: Index of a system turn that is handed to a later partition; the turns to repeat follow at -n to -1.
+_SYSTEM = -(1 << 40)
 START, END = "<|im_start|>", "<|im_end|>\n"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -101,24 +108,159 @@ def _assemble(batches):
         yield pa.RecordBatch.from_pydict({"conv_id": batch.column(0), "window": batch.column(1), "text": texts, "n_context": pa.array(contexts, pa.int32()), "loss": pa.array(losses, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
 
+def _reach(at: list[int], pos: int, size: int, system: int, budget: int, history: int) -> tuple[int, bool, int]:
+    """Of a window that starts with a turn of ``size`` tokens at ``pos``: the first of the turns that began ``at`` it repeats,
+    whether it repeats the system turn, and the position up to which it takes turns."""
+    keep = system if system + size <= budget else 0
+    first = bisect_left(at, pos - min(history, budget - keep - size))
+    return first, keep > 0, max((at[first] if first < len(at) else pos) + budget - keep, pos + size)
+
+
+def _link(sizes: list[int], opens: bool, carried: tuple[int, list[int]] | None, budget: int, history: int) -> tuple[int, list[int], list[int], list[int]]:
+    """A conversation's turns in one partition: their tokens and, for each turn that may start the first window here, its end,
+    how far the last window reaches beyond the partition, and the number of windows. ``opens``: the first is a system turn;
+    ``carried``: tokens of the system turn and of the last turns before, if the conversation began in an earlier partition."""
+    system, past = carried or (0, [])
+    at, pos, ends, reaches = [], -sum(past), [], []
+    for n in past:
+        at.append(pos)
+        pos += n
+    for j, n in enumerate(sizes):
+        reaches.append(_reach(at, pos, n, system, budget, history)[2])
+        if not carried and not j and opens:
+            system = n
+        else:
+            at.append(pos)
+        pos += n
+        ends.append(pos)
+    exits, counts = [0] * len(sizes), [1] * len(sizes)
+    for j in range(len(sizes) - 1, -1, -1):
+        k = bisect_right(ends, reaches[j])
+        exits[j], counts[j] = (exits[k], counts[k] + 1) if k < len(sizes) else (reaches[j] - pos, 1)
+    most = bisect_right(ends, budget) + 1 if carried else 1
+    return pos, ends[:most], exits[:most], counts[:most]
+
+
+def _links(carried: dict, budget: int, history: int):
+    """Rows part, start, system, size in order -> one row per (part, start)."""
+
+    def run(batches):
+        now, sizes, opens, done = None, [], False, []
+
+        def close():
+            if now:
+                done.append((*now, *_link(sizes, opens, carried.get(now), budget, history)))
+
+        for batch in batches:
+            for part, start, system, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (part, start) != now:
+                    close()
+                    now, sizes, opens = (part, start), [], system
+                sizes.append(size)
+        close()
+        kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=["part", "start", "n", "ends", "exits", "counts"])
+
+    return run
+
+
+def _crossing(turns: DataFrame, budget: int, history: int) -> tuple[list[tuple], dict[int, tuple[int, int, int]]]:
+    """Turns to hand on as (to part, at idx, part, idx), and for each partition whose first conversation began earlier: how far
+    the open window reaches into it, the window's number and the tokens of the handed turns. A few numbers per partition."""
+    spark = turns.sparkSession
+    here = turns.groupBy("part", "conv_id").agg(F.min("idx").alias("start"), F.sum("size").alias("n"), F.min_by(F.struct((F.col("role") == "system").alias("system"), "size"), "idx").alias("head"))
+    one = F.struct("conv_id", "start", "n", "head")
+    edges = sorted(here.groupBy("part").agg(F.min_by(one, "start").alias("a"), F.max_by(one, "start").alias("z")).collect(), key=lambda r: r["part"])
+    onward = [x["z"]["conv_id"] == y["a"]["conv_id"] for x, y in zip(edges, edges[1:], strict=False)] + [False]
+    if not any(onward):
+        return [], {}
+    lasts = spark.createDataFrame([(r["part"], r["z"]["start"], r["z"]["n"]) for r, on in zip(edges, onward, strict=True) if on], "part int, _start long, _n long")
+    tails: dict[int, list] = {}
+    for r in turns.join(F.broadcast(lasts), "part").filter((F.col("idx") >= F.col("_start")) & (F.col("_n") - F.col("before") <= history)).select("part", "idx", "size").collect():
+        tails.setdefault(r["part"], []).append((r["part"], r["idx"], r["size"]))
+    refs, carried, segments, back, system, past = [], {}, [], False, None, []
+    for edge, on in zip(edges, onward, strict=True):
+        part = edge["part"]
+        if back:
+            carried[part, edge["a"]["start"]] = (system[2] if system else 0, [x[2] for x in past])
+            segments.append((part, edge["a"]["start"], edge["a"]["conv_id"]))
+            refs += [(part, _SYSTEM, *system[:2])] if system else []
+            refs += [(part, k - len(past), *x[:2]) for k, x in enumerate(past)]
+        if on:
+            z = edge["z"]
+            tail = sorted(tails.get(part, []))
+            if (part, z["start"]) not in carried:
+                segments.append((part, z["start"], z["conv_id"]))
+                system, past = ((part, z["start"], z["head"]["size"]) if z["head"]["system"] else None), []
+                tail = [x for x in tail if x[:2] != (system or ())[:2]]
+            past = past + tail if sum(x[2] for x in tail) == z["n"] else tail
+            while sum(x[2] for x in past) > history:
+                past = past[1:]
+        back = on
+    ours = spark.createDataFrame(segments, "_part int, start long, _c long")
+    slim = turns.join(F.broadcast(ours), (F.col("part") == F.col("_part")) & F.col("conv_id").eqNullSafe(F.col("_c"))).select("part", "start", (F.col("role") == "system").alias("system"), "size", "idx")
+    links = slim.repartition("part").sortWithinPartitions("part", "idx").drop("idx").mapInArrow(_links(carried, budget, history), "part int, start long, n long, ends array<long>, exits array<long>, counts array<long>").collect()
+    entry, reach, number = {}, 0, 0
+    for r in sorted(links, key=lambda r: (r["part"], r["start"])):
+        key = (r["part"], r["start"])
+        if key not in carried:
+            reach, number = r["exits"][0], r["counts"][0] - 1
+            continue
+        entry[r["part"]] = (reach, number, sum(carried[key][1]))
+        k = bisect_right(r["ends"], reach)
+        reach, number = (r["exits"][k], number + r["counts"][k]) if k < len(r["exits"]) else (reach - r["n"], number)
+    return refs, entry
+
+
+def _placed(entry: dict, budget: int, history: int):
+    """Turns in order of (part, idx) -> conv_id, window, kind (0 system and 1 other repeated turns, 2 new ones) and the turn."""
+
+    def run(batches):
+        task, now, opening = None, None, True
+        for batch in byte_batches(batches, 4):
+            out = []
+            for part, idx, conv, role, seg, head, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, conv) != now:
+                    opening = part == task or part not in entry
+                    reach, number, pos = (0, -1, 0) if opening else (entry[part][0], entry[part][1], -entry[part][2])
+                    task, now, at, past, system, tokens, fresh = part, (part, conv), [], [], None, 0, True
+                turn = (part, idx, role, seg, head)
+                if idx == _SYSTEM:
+                    system, tokens = turn, size
+                    continue
+                if idx >= 0:
+                    if pos + size > reach:
+                        number += 1
+                        first, keeps, reach = _reach(at, pos, size, tokens, budget, history)
+                        out += [(conv, number, 0, *system)] if keeps else []
+                        out += [(conv, number, 1, *x) for x in past[first:]]
+                    out.append((conv, number, 2, *turn))
+                if opening and fresh and role == "system":
+                    system, tokens = turn, size
+                else:
+                    at.append(pos)
+                    past.append(turn)
+                pos, fresh = pos + size, False
+                gone = bisect_left(at, pos - history)
+                del at[:gone], past[:gone]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["conv_id", "window", "kind", "part", "idx", "role", "seg", "head"])
+
+    return run
+
+
 def format_chat(rows: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Samples: conv_id, window, text, n_context (leading repeated turns), loss (character spans)."""
-    step = budget - history
     turns = staged(_turns(rows, tokenizer), "turns")
-    sums = turns.groupBy("part", "conv_id").agg(F.sum("size").alias("_n"))
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = staged(sums.withColumn("_carry", F.sum("_n").over(earlier)).filter("_carry IS NOT NULL").select("part", F.col("conv_id").alias("_c"), "_carry"), "carry")  # a conversation that goes on is the first of its partition
-    placed = lookup_join(turns, carry, "part")
-    own = F.col("_carry").isNotNull() & F.col("_c").eqNullSafe(F.col("conv_id"))
-    placed = placed.withColumn("_s", F.col("before") + F.when(own, F.col("_carry")).otherwise(0)).withColumn("window", F.floor(F.col("_s") / step)).drop("_c", "_carry", "before")
-    body = ("part", "idx", "role", "seg", "head")
-    new = placed.select("conv_id", "window", F.struct(F.lit(2).alias("kind"), *body).alias("t"))
-    again = placed.filter(((F.col("window") + 1) * step - F.col("_s") <= history) & ~((F.col("_s") == 0) & (F.col("role") == "system"))).select("conv_id", (F.col("window") + 1).alias("window"), F.struct(F.lit(1).alias("kind"), *body).alias("t"))
-    system = placed.filter((F.col("_s") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("_c"), F.struct(F.lit(0).alias("kind"), *body).alias("t"))
-    later = placed.filter("window > 0").select("conv_id", "window").distinct()
-    kept = later.join(system, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "window", "t")
-    groups = new.unionByName(again).unionByName(kept).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("t")).alias("turns"), F.max("t.kind").alias("_k"))  # at most budget tokens, or one turn
-    return groups.filter("_k = 2").select("conv_id", "window", "turns").mapInArrow(_assemble, "conv_id long, window long, text string, n_context int, loss array<struct<start: long, end: long>>")
+    refs, entry = _crossing(turns, budget, history)
+    columns = ("part", "idx", "conv_id", "role", "seg", "head", "size")
+    stream = turns.select(*columns)
+    if refs:
+        handed = F.broadcast(turns.sparkSession.createDataFrame(refs, "_to int, _at long, part int, idx long"))
+        stream = stream.unionByName(turns.join(handed, ["part", "idx"]).drop("part", "idx").withColumnsRenamed({"_to": "part", "_at": "idx"}).select(*columns))
+    placed = stream.repartition("part").sortWithinPartitions("part", "idx").mapInArrow(_placed(entry, budget, history), "conv_id long, window long, kind int, part int, idx long, role string, seg string, head int")
+    groups = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "idx", "role", "seg", "head"))).alias("turns"))  # at most budget tokens, or one turn
+    return groups.select("conv_id", "window", "turns").mapInArrow(_assemble, "conv_id long, window long, text string, n_context int, loss array<struct<start: long, end: long>>")
 
 
 def _digest(batches):

@@ -148,6 +148,49 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(table.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_chat_budget(spark):
+    """Greedy windows against brute force; no sample over the budget but a single longer turn; the same for any partitions."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, rng, budget, history = Tokenizer.from_file(path), random.Random(6), 300, 80
+
+    def size(turn):
+        return len(tokenizer.encode(f"<|im_start|>{turn[0]}\n{turn[1]}<|im_end|>\n", add_special_tokens=False).ids)
+
+    convs = {}
+    for c, (n, longest) in enumerate([(1, 5), (2, 260), (400, 30), (60, 400), (300, 120), (7, 900), (3, 280)] + [(rng.randint(1, 9), 90) for _ in range(20)]):
+        roles = ["system" if c % 2 else "user"] + [rng.choice(["user", "assistant", "system"]) for _ in range(n - 1)]
+        convs[c or None] = [(r, " ".join(rng.choices(["river", "stone", "paper"], k=rng.randint(0, longest)))) for r in roles]
+    convs[500] = [("system", "stone " * 250)] + [("assistant", "river " * (k * 20)) for k in range(20)]
+    want = {}
+    for c, turns in convs.items():
+        sizes, system, start, number = [size(t) for t in turns], turns[0][0] == "system", 0, 0
+        while start < len(turns):
+            context, end = [], start + 1
+            if start and system and sizes[0] + sizes[start] <= budget:
+                context = [0]
+            back, room = start, min(history, budget - sum(sizes[k] for k in context) - sizes[start])
+            while back - 1 >= (1 if system else 0) and sum(sizes[back - 1 : start]) <= room:
+                back -= 1
+            context += range(back, start)
+            while end < len(turns) and sum(sizes[k] for k in context) + sum(sizes[start : end + 1]) <= budget:
+                end += 1
+            want[c, number] = ([turns[k] for k in context] + turns[start:end], len(context))
+            start, number = end, number + 1
+    table = spark.createDataFrame([(c, i, r, t) for c, turns in convs.items() for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 9, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = chat.format_chat(table, path, budget, history).collect()
+            for s in got:
+                assert len(tokenizer.encode(s["text"], add_special_tokens=False).ids) <= budget or len(chat.parse(s["text"])) == 1
+            assert len(got) == len(want) and {(s["conv_id"], s["window"]): (chat.parse(s["text"]), s["n_context"]) for s in got} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_html_text(spark):
     field = html_text.trained()
     right = total = 0
