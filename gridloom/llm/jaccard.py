@@ -1,4 +1,4 @@
-"""Operator 2: n-gram Jaccard join by vertical partitioning, and its components.
+"""Operator 2: n-gram Jaccard join by vertical partitioning (``jaccard_links``: all links), and its components.
 
 Sets: the distinct word shingles of a text as 64-bit hashes; the hash order is the global n-gram order. Texts with equal
 sets form one node. The order is cut into fragments twice:
@@ -11,7 +11,7 @@ sets form one node. The order is cut into fragments twice:
 
 A key shared by up to ALL_PAIRS sets gives all its pairs. Grams that only one candidate set has can be in no overlap; they are
 counted range by range, and pairs (and whole sets) whose shared grams cannot reach the threshold any more are dropped, which
-is exact; so is the bound that parity bitmaps of the sets give. A longer list first gives a star to its hub, the set with the least of its own; what is then still in different
+is exact; so is the bound that parity bitmaps of the sets give. For components, a longer list first gives a star to its hub, the set with the least of its own; what is then still in different
 components within a list is paired in a second pass, so no link is lost while copies of one text never meet in all pairs. Components come from label propagation with pointer jumping over staged edges.
 
 Cases: null text and text without words have no set, n_shingles 0 and link with nothing (a component each); fewer words than
@@ -33,6 +33,7 @@ from gridloom.llm.tokens import byte_batches
 SHINGLE = 5
 THRESHOLD = 80
 ALL_PAIRS = 8
+LIST_CELL = 256
 COUNTING = 4
 FILTER_BITS = 2**24
 BUCKET_KEYS = 400_000
@@ -329,8 +330,9 @@ def grouped_join(big: DataFrame, small: DataFrame, key: str, total: int) -> Data
     return first.unionByName(rest)
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row of ``docs`` (doc_id, text)."""
+def _candidates(docs: DataFrame, size: int, percent: int):
+    """nodes (staged) and their rows, segments, the pairs of short lists, the members of long ones with their bounds, and a
+    function that keeps the pairs whose bounds reach the threshold."""
     spark = docs.sparkSession
     src = pick(docs, doc_id="long", text="string")
     nodes = staged(src.mapInArrow(_nodes(size), "doc_id long, n_shingles long, node long"), "nodes")
@@ -356,7 +358,27 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRE
         both = pairs.join(sa, F.col("a") == F.col("a_node")).join(sb, F.col("b") == F.col("b_node"))
         return both.filter(_can_link("a_", "b_", percent)).select("a", "b")
 
-    members = staged(members.join(stats, "node"), "members")
+    return nodes, rows, segments, pairs, staged(members.join(stats, "node"), "members"), allowed
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links a, b (a < b) between different sets, and doc_id, n_shingles, node for every row of ``docs``.
+    Rows with one node link with each other. A long list is dealt to cells of at most about LIST_CELL x LIST_CELL pairs, so
+    none is paired in one task; its pairs pass the exact bounds before they are verified."""
+    nodes, _, segments, pairs, members, allowed = _candidates(docs, size, percent)
+    cells = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST_CELL).alias("_cells"))
+    dealt = members.join(cells, "key").withColumn("_cell", F.pmod(F.xxhash64("node"), F.col("_cells")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1))
+    x, y = dealt.withColumn("_other", every).alias("x"), dealt.withColumn("_other", every).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x._cell") == F.col("y._other")) & (F.col("x._other") == F.col("y._cell"))
+    long = x.join(y, same & (F.col("x.node") < F.col("y.node")) & _can_link("x.", "y.", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    wanted = staged(allowed(pairs).unionByName(long).distinct(), "pairs")
+    return staged(verify(wanted, segments, percent), "links"), nodes
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, node, component_id for every row of ``docs`` (doc_id, text)."""
+    nodes, rows, segments, pairs, members, allowed = _candidates(docs, size, percent)
     hubs = members.groupBy("key").agg(F.min_by("node", F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "node")).alias("hub"))  # the set with the least of its own
     stars = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = staged(allowed(pairs.unionByName(stars).distinct()), "pairs")

@@ -112,6 +112,22 @@ def test_jaccard_long_lists(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
 
 
+def test_jaccard_links(spark, monkeypatch):
+    """Every link between different sets, also inside lists that are longer than ALL_PAIRS and one cell."""
+    monkeypatch.setattr(jaccard, "LIST_CELL", 7)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    data = [(k, " ".join(w if rng.random() > (k % 9) / 300 else f"e{k}_{i}" for i, w in enumerate(base))) for k in range(60)]
+    data += [(100, data[5][1]), (101, None), (102, "one two")]
+    sets = {d: frozenset(tuple(t.split()[i : i + 4]) for i in range(max(1, len(t.split()) - 3))) if t else frozenset() for d, t in data}
+    want = {frozenset((sets[a], sets[b])) for a in sets for b in sets if sets[a] != sets[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    links, nodes = jaccard.jaccard_links(spark.createDataFrame(data, "doc_id long, text string"), 4, 85)
+    of = {r["node"]: sets[r["doc_id"]] for r in nodes.collect() if r["node"] is not None}
+    got = links.collect()
+    assert len(of) == len(set(of.values())) == len(set(sets.values()) - {frozenset()}) and nodes.count() == len(data)
+    assert len(got) == len(want) > 200 and {frozenset((of[r["a"]], of[r["b"]])) for r in got} == want and all(r["a"] < r["b"] for r in got)
+
+
 def test_fragment_keys_meet():
     """Any two sets at the threshold share a key."""
     rng = np.random.default_rng(2)
