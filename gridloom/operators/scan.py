@@ -91,8 +91,10 @@ def affine(df: DataFrame, keys: list[str], position: str, a: Column, b: Column,
 
 def ema(df: DataFrame, keys: list[str], position: str, value: str, alpha: float, name: str = "ema", tile: int = TILE) -> DataFrame:
     """Exponential smoothing forward, then backward; each pass starts at its first value."""
-    first = Window.partitionBy(*keys)
-    d = df.withColumn("_lo", F.min(position).over(first)).withColumn("_hi", F.max(position).over(first))
+    whole, d = Window.partitionBy(*keys), with_tile(df, F.col(position), tile)  # one row per tile
+    tiles = d.groupBy(*keys, "_tile").agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+    edges = tiles.select(*keys, "_tile", F.min("_lo").over(whole).alias("_lo"), F.max("_hi").over(whole).alias("_hi"))
+    d = d.join(edges, [*keys, "_tile"]).drop("_tile")
     for step, edge, rev, source in (("_fwd", "_lo", False, value), (name, "_hi", True, "_fwd")):
         start = F.col(position) == F.col(edge)
         d = affine(d, keys, position, F.when(start, 0.0).otherwise(1 - alpha), F.when(start, F.col(source)).otherwise(alpha * F.col(source)), step, rev, tile)

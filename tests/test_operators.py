@@ -111,6 +111,14 @@ def test_run_selection_is_optimal(spark, tile):
     assert tuple(int(r["selected"]) for r in sorted(got, key=lambda r: r["bin"])) == best[1]
 
 
+def test_ema_windows_hold_tiles(spark):
+    """No window over a contig's rows: what windows read is aggregated to one row per tile."""
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "contig string, bin long, x double")
+    plan = scan.ema(rows, ["contig"], "bin", "x", 0.3, tile=4)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = [next(x for x in plan[i + 1 :] if "Project [" not in x) for i, line in enumerate(plan) if "Window [" in line]
+    assert below and all("Aggregate [" in x for x in below)
+
+
 @pytest.mark.parametrize("tile", [5, 1000])
 def test_ema(spark, tile):
     x = np.random.default_rng(7).normal(0, 1, 30)
