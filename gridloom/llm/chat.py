@@ -76,7 +76,7 @@ def _turns(rows: DataFrame, tokenizer: str) -> DataFrame:
             convs, roles, texts = (batch.column(i).to_pylist() for i in range(3))
             heads = [f"{START}{escape_role(r)}\n" for r in roles]
             segs = [f"{h}{escape(t)}{END}" for h, t in zip(heads, texts, strict=True)]
-            sizes = [len(x) // 2 for x in enc.encode(segs)]
+            sizes = enc.encode(pa.array(segs, pa.string()))[1].tolist()
             before, order = [], []
             for c, n in zip(convs, sizes, strict=True):
                 if (c,) != now:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from gridloom.llm.common import lookup_join, pick, staged
-from gridloom.llm.tokens import byte_batches, encoder
+from gridloom.llm.tokens import binary_array, byte_batches, encoder
 
 SEQUENCE = 1024
 END_ID = 0
@@ -44,18 +44,19 @@ def tokenised(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int
         from pyspark import TaskContext
 
         enc, part = encoder(tokenizer, DTYPE, True), TaskContext.get().partitionId()
-        end, width = np.array([end_id], dtype=DTYPE).tobytes(), np.dtype(DTYPE).itemsize
-        seen, fulls = defaultdict(int), 0
+        seen, before = np.zeros(size, dtype=np.int64), 0
         for batch in byte_batches(batches, 1):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
-                ids += end
-                n = len(ids) // width
-                cut = n // size * size * width
-                rows.append((part, fulls, doc_id, n, n % size, seen[n % size], ids[:cut], ids[cut:]))
-                seen[n % size] += 1
-                fulls += n // size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "fulls_before", "doc_id", "doc_tokens", "tail", "tail_rank", "full_ids", "tail_ids"])
+            ids, n = enc.encode_ended(batch.column(1), end_id)
+            tail, fulls = n % size, n // size
+            order = np.argsort(tail, kind="stable")
+            place = np.empty(len(n), dtype=np.int64)
+            place[order] = np.arange(len(n)) - np.searchsorted(tail[order], tail[order])
+            cut = binary_array(ids, np.stack([n - tail, tail], axis=1).ravel())
+            even = np.arange(0, 2 * len(n), 2)
+            columns = (np.full(len(n), part, dtype=np.int32), before + np.cumsum(fulls) - fulls, batch.column(0), n, tail.astype(np.int32), seen[tail] + place, cut.take(pa.array(even)), cut.take(pa.array(even + 1)))
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["part", "fulls_before", "doc_id", "doc_tokens", "tail", "tail_rank", "full_ids", "tail_ids"])
+            before += int(fulls.sum())
+            seen += np.bincount(tail, minlength=size)
 
     kind = "part int, fulls_before long, doc_id long, doc_tokens long, tail int, tail_rank long, full_ids binary, tail_ids binary"
     return pick(docs, doc_id="long", text="string").mapInArrow(run, kind)

@@ -166,14 +166,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         from pyspark import TaskContext
 
         task, enc = TaskContext.get(), encoder(tokenizer, DTYPE, False)
-        part, attempt, end = task.partitionId(), task.taskAttemptId(), np.array([end_id], dtype=DTYPE).tobytes()
+        part, attempt = task.partitionId(), task.taskAttemptId()
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         names, blobs, held, shard = [], [], 0, 0
 
         def flush():
-            ids = np.frombuffer(b"".join(blobs), dtype=DTYPE)
-            data = encode_shard(ids, names, [len(b) // 2 for b in blobs])
+            ids = np.concatenate(blobs)
+            data = encode_shard(ids, names, [len(b) for b in blobs])
             path = f"{root}/part-{part:06d}-{shard:05d}.wm"
             with store.open_output_stream(f"{path}.{attempt}") as f:
                 f.write(data)
@@ -181,10 +181,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [f"{folder}/part-{part:06d}-{shard:05d}.wm"], "n_docs": [len(names)], "n_tokens": [len(ids)]})
 
         for batch in byte_batches(batches, 1):
-            for name, ids in zip(batch.column(0).to_pylist(), enc.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            ids, counts = enc.encode_ended(batch.column(1), end_id)
+            for name, blob in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 names.append(name)
-                blobs.append(ids + end)
-                held += len(ids) // 2 + 1
+                blobs.append(blob)
+                held += len(blob)
                 if held >= shard_tokens:
                     yield flush()
                     names, blobs, held, shard = [], [], 0, shard + 1

@@ -1,91 +1,146 @@
-"""Token ids of whole texts, by the tokenizers library with a bounded memo of pieces between blanks.
+"""Token ids of whole texts, by the tokenizers library with a bounded memo of pieces, batch by batch.
 
-A piece starts at a blank that follows a non-blank character. The pre-tokenizers used here never join text across such a
-point and no merge crosses it, so a text's ids are its pieces' ids in a row; each distinct piece is encoded once per worker.
+A piece is what lies between blanks or line feeds; punctuation that closes a word is a piece of its own. The pre-tokenizers
+used here always cut at these points and no merge crosses a cut, so a text's ids are its pieces' ids in a row. Arrow splits
+a batch and numbers its distinct pieces; only those that the memo lacks are encoded, many in one call with a separator
+between them; NumPy gathers the ids. Texts where the cuts would depend on more (``_RARE``) are encoded as a whole.
+
+Cases: null is empty and has no ids; special tokens in a text are read as the library reads them.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces in each of the two generations that a worker remembers; a full one replaces the older.
-MEMO = 350_000
-#: White space other than single blanks and line feeds: such texts go to the tokenizer whole.
-_RARE = re.compile(r"[^\S\n\x20]")
-#: The parts of a piece: all but the last of a run of line feeds, a line with the last of them before it, a run at the end.
-_LINES = re.compile(r"\n+(?=\n[^\n])|\n?[^\n]+|\n+")
+#: Pieces that a worker remembers; the memo starts anew when it is full.
+MEMO = 500_000
+#: Pieces that are encoded in one call.
+CALL = 20_000
+#: Texts that go to the tokenizer whole: other white space than blanks and line feeds, and runs of it but for two line feeds
+#: (where white space is kept); the mark itself. A special token, in any case, makes a text rare as well.
+_RARE_BLANKS = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n\n|\n\n\z|\A\n|\A | \z|\x00"
+_RARE_WORDS = r"\x00"
+#: ASCII punctuation between a letter and a blank (letters whose normal forms are letters).
+_CLOSING = r"([A-Za-z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-\x60{-~]+)( |\z)"
 _loaded: dict[tuple[str, str], PieceEncoder] = {}
 
 
-class PieceEncoder(dict):
-    """piece -> its ids as little-endian bytes of ``dtype`` (``keeps_blanks``: with the blank before it)."""
+class PieceEncoder:
+    """``keeps_blanks``: the tokenizer sees the blank before a piece (a piece without one begins with the mark ``\\0``);
+    else white space only separates, and case does not matter."""
 
     def __init__(self, path: str, dtype: str, keeps_blanks: bool):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.keeps_blanks, self.code = dtype, keeps_blanks, {"<u2": "H", "<u4": "I"}[dtype]
-        self.old: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.pop(piece, None)
-        if ids is None:
-            ids = self._parts(piece)
-        if ids is None:
-            text = " " + piece if self.keeps_blanks and not piece.startswith("\n") else piece
-            ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def _parts(self, piece: str) -> bytes | None:
-        """A piece from smaller ones: its lines and runs of line feeds, before a closing stop or comma, or in lower case.
-        The pre-tokenizers cut at all these places; None where that is not certain."""
-        if len(piece) < 2 or "<|" in piece:
-            return None
+        self.dtype, self.keeps_blanks = np.dtype(dtype), keeps_blanks
+        self.between = "\n" if keeps_blanks else " ~ "
+        (self.cut,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rare = "|".join([_RARE_BLANKS if keeps_blanks else _RARE_WORDS, *("(?i:" + re.escape(t) + ")" for t in special)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype=self.dtype)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without the separator in them, and the number of each piece's ids."""
+        ids, size = [], []
+        for lo in range(0, len(pieces), CALL):
+            found = np.array(self.tokenizer.encode_batch_fast([self.between.join(pieces[lo : lo + CALL]) + self.between], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cut = np.flatnonzero(found == self.cut)
+            size.append(np.diff(cut, prepend=-1) - 1)
+            ids.append(found[found != self.cut])
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _learn(self, pieces: list[str]) -> None:
+        mark = self.between.strip(" ")
+        if self.keeps_blanks:
+            bare, rest = [x for x in pieces if x[0] == "\0" and x != "\0\n"], [x for x in pieces if x[0] != "\0"]
+            odd = [x for x in pieces if x == "\0\n"]
+            groups = [(bare, [x[1:] for x in bare]), (rest, [" " + x for x in rest])]
+        else:
+            odd, rest = [x for x in pieces if mark in x], [x for x in pieces if mark not in x]
+            groups = [(rest, rest)]
+        parts = [(names, *self._joined(texts)) for names, texts in groups if names]
+        if odd:
+            found = self.whole([x.removeprefix("\0") for x in odd])
+            parts.append((odd, np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)))
+        for names, ids, size in parts:
+            self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, ids])
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Places of the distinct ``pieces`` in the memo; what it lacks is encoded."""
+        at = list(map(self.known.get, pieces))
+        if None in at:
+            missing = [x for x, i in zip(pieces, at, strict=True) if i is None]
+            if self.known and len(self.known) + len(missing) > MEMO:
+                self._forget()
+                missing = pieces
+            self._learn(missing)
+            at = list(map(self.known.get, pieces))
+        return np.array(at, dtype=np.int64)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without rare places, one after the other, and the number of each text's ids."""
         if self.keeps_blanks:
-            lines = _LINES.findall(piece)
-            if len(lines) > 1:
-                return b"".join(map(self.__getitem__, lines))
-        elif piece.isascii() and (low := piece.lower()) != piece:
-            return self[low]
-        if piece[-1] in ".," and piece[-2].isalpha():
-            stop = piece[-1]
-            if stop not in self.stops:
-                self.stops[stop] = self.whole(stop)
-            return self[piece[:-1]] + self.stops[stop]
-        return None
-
-    def pieces(self, text: str) -> list[str] | None:
-        """None: the text must be encoded as a whole."""
-        if not self.keeps_blanks:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == "\n" or _RARE.search(text):
-            return None
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, get = [], self.__getitem__
-        for text in texts:
-            pieces = self.pieces(text)
-            if pieces is None:
-                out.append(self.whole(text))
-            elif self.keeps_blanks:
-                out.append((self.whole(pieces[0]) if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
-            else:
-                out.append(b"".join(map(get, pieces)))
-        return out
+            texts = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \0\n \0"), "")
+            texts = pc.replace_substring_regex(texts, _CLOSING, r"\1 %s\2\3" % "\0")
+        else:
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"[\n\t\r]", " ")
+            texts = pc.replace_substring_regex(texts, _CLOSING, r"\1 \2\3")
+        split = pc.split_pattern(texts, " ")
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        slot = self._numbers(names)[coded.indices.to_numpy()]
+        size = self.size[slot]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.start[slot] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, np.diff(ends[edges - edges[0]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of each text's ids."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        rare = pc.match_substring_regex(texts, self.rare).to_numpy(zero_copy_only=False)
+        counts, odd = np.zeros(len(texts), dtype=np.int64), []
+        if rare.any():
+            odd = self.whole(texts.filter(pa.array(rare)).to_pylist())
+            counts[rare] = [len(x) for x in odd]
+        if rare.all():
+            return np.concatenate([np.zeros(0, dtype=self.dtype), *odd]), counts
+        ids, counts[~rare] = self._pieces(texts.filter(pa.array(~rare)) if odd else texts)
+        if not odd:
+            return ids, counts
+        out, odd_place = np.empty(counts.sum(), dtype=self.dtype), np.repeat(rare, counts)
+        out[~odd_place] = ids
+        out[odd_place] = np.concatenate(odd)
+        return out, counts
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with ``end_id`` after every text; the numbers count it."""
+        ids, counts = self.encode(texts)
+        out, ends = np.full(len(ids) + len(counts), end_id, dtype=self.dtype), np.cumsum(counts + 1) - 1
+        own = np.ones(len(out), dtype=bool)
+        own[ends] = False
+        out[own] = ids
+        return out, counts + 1
+
+    def encode_list(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.encode(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
 def encoder(path: str, dtype: str, keeps_blanks: bool) -> PieceEncoder:
@@ -99,6 +154,12 @@ def encoder(path: str, dtype: str, keeps_blanks: bool) -> PieceEncoder:
     return _loaded[key]
 
 
+def binary_array(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``data``, ``counts`` elements each, as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(counts) * data.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def byte_batches(batches, text_column: int, most: int = 8 << 20):
     """Arrow batches cut so that each slice holds few MB of text."""
     for batch in batches:

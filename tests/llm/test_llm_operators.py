@@ -375,7 +375,7 @@ def test_pieces_equal_whole_texts():
     for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         path = public_tokenizers.path(name)
         whole = Tokenizer.from_file(path)
-        got = encoder(path, "<u2", blanks).encode(odd * 2)
+        got = encoder(path, "<u2", blanks).encode_list(odd * 2)
         assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in odd * 2]
 
 
@@ -389,7 +389,7 @@ def test_pieces_with_runs_of_line_feeds():
     for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         path = public_tokenizers.path(name)
         whole = Tokenizer.from_file(path)
-        for text, ids in zip(runs, encoder(path, "<u2", blanks).encode(runs), strict=True):
+        for text, ids in zip(runs, encoder(path, "<u2", blanks).encode_list(runs), strict=True):
             assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes(), repr(text[:60])
 
 
