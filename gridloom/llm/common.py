@@ -40,7 +40,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later jobs survive lost executors and skip the work."""
     path = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged = path
+    return table
+
+
+def store_of(uri: str):
+    """The pyarrow file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more. Where pyarrow does not know the store, they stay."""
+    import pyarrow as pa
+
+    for table in tables:
+        path = getattr(table, "_staged", None)
+        if path and path.startswith(f"{workspace(table.sparkSession)}/gridloom-"):
+            try:
+                store, where = store_of(path)
+            except pa.ArrowInvalid:
+                continue
+            store.delete_dir(where)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:

@@ -1,13 +1,17 @@
 """Operator 8: exact dedup over a log-structured merge index of text digests.
 
-Texts are equal when identical after lower-casing A-Z. Ingest: every task fills a memtable (digest -> best id, count) and
-flushes it as a sorted run to the shared folder when it is full. Compaction merges all runs by digest and keeps the best
-identifier (``keep``: largest or smallest) and the count; a Bloom filter of fixed size covers the digests that occur more
-than once. Lookup: rows that the filter lets pass are hits; only their texts are shuffled, and each hit is compared byte by
-byte with its group. Should two texts share a SHA-256 digest, their group is split again by the texts themselves.
+Texts are equal when identical after lower-casing A-Z. The index is cut by leading digest bits into buckets, as many as the
+rows ask for. Ingest: every task fills a memtable (digest -> best id, rows, rows that share the best id); a full one is
+flushed as a sorted run, one segment per bucket, to level 0 in the shared folder. When a level has FAN tables of runs, or on
+``compact``, its segments are merged bucket by bucket, in the order of their digests, into one run a level deeper; the best
+identifier (``keep``: largest or smallest) and the counts stay. A segment carries a Bloom filter of its repeated digests,
+sized by their number. Lookup: where all filters of the merged level together are small enough to broadcast, they bar most
+rows; the others are hits, and a join with the run decides. The texts of hits are shuffled and compared byte by byte with
+their group. Should two texts share a SHA-256 digest, their rows are grouped again by the texts themselves.
 
 A group may hold any share of the rows: memtables shrink it before the shuffle; in the lookup, digests with more than
-1/HEAVY_SHARE of all rows (fewer than HEAVY_SHARE of them, so broadcast) are spread over salts, which stream.
+1/HEAVY_SHARE of all rows (fewer than HEAVY_SHARE of them, so broadcast) are joined without a shuffle, and compared in
+salts, which stream.
 
 Cases: null text equals empty text; null ids rank below all others; when the best id itself occurs several times in a
 group, one of its rows stays; an empty table gives an empty result; extra columns travel along untouched.
@@ -16,192 +20,257 @@ group, one of its rows stays; an empty table gives an empty result; extra column
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import HEAVY_SHARE, staged
+from gridloom.llm.common import HEAVY_SHARE, freed, staged
+from gridloom.llm.tokens import byte_batches
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-MEMTABLE_ROWS = 200_000
-FILTER_BITS = 2**23
+MEMTABLE_ROWS = 100_000
+#: Digests of a bucket, about; tables of one level before they are merged.
+BUCKET_ROWS = 500_000
+FAN = 4
+#: Filter bits per repeated digest, positions per digest, and the most bytes of filters that are broadcast.
+KEY_BITS = 16
 HASHES = 4
-SLICE = 2**17
+FILTER_BYTES = 32 << 20
+_SEGMENT = "bucket int, run string, digests binary, ids binary, known binary, counts binary, tied binary, filter binary"
 
 
 def _binary(column) -> list[bytes]:
     return [(x or b"").translate(LOWER) for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _slots(digests: list[bytes]) -> np.ndarray:
+def _slots(digests: bytes, bits: int) -> np.ndarray:
     """HASHES filter positions per digest."""
-    words = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 4)
-    return (words % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (np.frombuffer(digests, dtype="<u8").reshape(-1, 4)[:, :HASHES] % np.uint64(bits)).astype(np.int64)
 
 
-def _runs(best):
-    """Memtables to sorted runs; ``best`` picks of two identifiers."""
+def _buckets_of(digests: bytes, buckets: int) -> np.ndarray:
+    """Bucket of each digest: by its leading bits, so buckets follow the order of digests."""
+    return (np.frombuffer(digests, dtype=">u4").reshape(-1, 8)[:, 0].astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def flush(table: dict, run: str):
-        keys = sorted(table)
-        return pa.RecordBatch.from_pydict(
-            {"run": [run] * len(keys), "digest": keys, "keep_id": pa.array([table[k][0] for k in keys], pa.int64()), "n": pa.array([table[k][1] for k in keys], pa.int64())},
-        )
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _filter(digests: list[bytes]) -> bytes:
+    if not digests:
+        return b""
+    bits = np.zeros(-(-KEY_BITS * len(digests) // 8) * 8, dtype=bool)
+    bits[_slots(b"".join(digests), len(bits)).ravel()] = True
+    return np.packbits(bits).tobytes()
 
-        table, runs, part = {}, 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), _binary(batch.column(1)), strict=True):
-                key = hashlib.sha256(text).digest()
-                old = table.get(key)
-                table[key] = (best(old[0], doc_id), old[1] + 1) if old else (doc_id, 1)
-            if len(table) >= MEMTABLE_ROWS:
-                yield flush(table, f"{part}-{runs}")
-                table, runs = {}, runs + 1
-        if table:
-            yield flush(table, f"{part}-{runs}")
 
-    return fill
+def _segments(entries: list[tuple], run: str, buckets: int) -> pa.RecordBatch:
+    """Sorted (digest, id, rows, rows with that id) as one segment per bucket."""
+    at = _buckets_of(b"".join(e[0] for e in entries), buckets) if entries else np.zeros(0, dtype=np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if entries else [0]
+    rows = []
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        some = entries[lo:hi]
+        ids, counts, tied = (np.array([e[i] or 0 for e in some], dtype=np.int64) for i in (1, 2, 3))
+        known = np.array([e[1] is not None for e in some], dtype=np.uint8)
+        rows.append((int(at[lo]), run, b"".join(e[0] for e in some), *(x.tobytes() for x in (ids, known, counts, tied)), _filter([e[0] for e in some if e[2] > 1])))
+    kinds = (pa.int32(), pa.string(), *[pa.binary()] * 6)
+    names = [x.split()[0] for x in _SEGMENT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def _largest(a, b):
-    return b if a is None or b is not None and b > a else a
+def _entries(digests: bytes, ids: bytes, known: bytes, counts: bytes, tied: bytes) -> Iterator[tuple]:
+    """The sorted entries of a segment."""
+    ids = [i if k else None for i, k in zip(np.frombuffer(ids, dtype=np.int64).tolist(), known, strict=True)]
+    keys = (digests[i : i + 32] for i in range(0, len(digests), 32))
+    return zip(keys, ids, np.frombuffer(counts, dtype=np.int64).tolist(), np.frombuffer(tied, dtype=np.int64).tolist(), strict=True)
 
 
-def _smallest(a, b):
-    return b if a is None or b is not None and b < a else a
+def _better(largest: bool):
+    """Of two (id, rows, rows with that id): the better id, all rows."""
+
+    def better(a: tuple, b: tuple) -> tuple:
+        if a[0] == b[0]:
+            return a[0], a[1] + b[1], a[2] + b[2]
+        first = b[0] is None or a[0] is not None and (a[0] > b[0]) == largest
+        return (a[0], a[1] + b[1], a[2]) if first else (b[0], a[1] + b[1], b[2])
+
+    return better
 
 
 class DigestIndex:
-    """Runs and their compaction, as tables in the shared folder."""
+    """Levels of sorted runs, as tables in the shared folder."""
 
-    def __init__(self, keep: str = "largest"):
-        self.keep, self.levels = keep, []
+    def __init__(self, buckets: int, keep: str = "largest"):
+        self.buckets, self.better = buckets, _better(keep == "largest")
+        self.levels: list[list[DataFrame]] = []
 
     def ingest(self, docs: DataFrame) -> None:
         """``docs``: doc_id long, text string."""
-        fill = _runs(_largest if self.keep == "largest" else _smallest)
-        self.levels.append(staged(docs.mapInArrow(fill, "run string, digest binary, keep_id long, n long"), "runs"))
+        better, buckets = self.better, self.buckets
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            table: dict[bytes, tuple] = {}
+            runs, part = 0, TaskContext.get().partitionId()
+            for batch in byte_batches(batches, 1):
+                for doc_id, text in zip(batch.column(0).to_pylist(), _binary(batch.column(1)), strict=True):
+                    key = hashlib.sha256(text).digest()
+                    old = table.get(key)
+                    table[key] = better(old, (doc_id, 1, 1)) if old else (doc_id, 1, 1)
+                if len(table) >= MEMTABLE_ROWS:
+                    yield _segments([(k, *table[k]) for k in sorted(table)], f"{part}-{runs}", buckets)
+                    table, runs = {}, runs + 1
+            if table:
+                yield _segments([(k, *table[k]) for k in sorted(table)], f"{part}-{runs}", buckets)
+
+        self._add(0, staged(docs.mapInArrow(fill, _SEGMENT), "runs"))
+
+    def _add(self, level: int, runs: DataFrame) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(runs)
+        if len(self.levels[level]) >= FAN:
+            self._merge([level], level + 1)
+
+    def _merge(self, levels: list[int], to: int) -> None:
+        tables = [t for level in levels for t in self.levels[level]]
+        for level in levels:
+            self.levels[level] = []
+        runs, better, buckets = tables[0], self.better, self.buckets
+        for more in tables[1:]:
+            runs = runs.unionByName(more)
+
+        def merge(table: pa.Table) -> pa.Table:
+            columns = [table.column(c).to_pylist() for c in ("digests", "ids", "known", "counts", "tied")]
+            out = []
+            for key, same in groupby(heapq.merge(*(_entries(*s) for s in zip(*columns, strict=True)), key=itemgetter(0)), itemgetter(0)):
+                best = next(same)[1:]
+                for other in same:
+                    best = better(best, other[1:])
+                out.append((key, *best))
+            return pa.Table.from_batches([_segments(out, f"merged-{to}", buckets)])
+
+        merged = staged(runs.groupBy("bucket").applyInArrow(merge, _SEGMENT), "merged")
+        freed(*tables)
+        self._add(to, merged)
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one: digest, keep_id, n; sorted within its files."""
-        runs = self.levels[0]
-        for more in self.levels[1:]:
-            runs = runs.unionByName(more)
-        pick_id = F.max if self.keep == "largest" else F.min
-        merged = runs.groupBy("digest").agg(pick_id("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        self.levels = [staged(merged.sortWithinPartitions("digest"), "compacted")]
-        return self.levels[0]
+        """Merge all levels into one run; its segments."""
+        full = [i for i, tables in enumerate(self.levels) if tables]
+        if len(full) > 1 or full == [0] or len(self.levels[full[0]]) > 1:
+            self._merge(full, max(full[-1], 1))
+        return self.levels[-1][0]
 
-    def repeated_filter(self) -> bytes:
-        """Bloom filter of the digests that occur more than once: FILTER_BITS bits, whatever the size of the index."""
+    @staticmethod
+    def repeated(run: DataFrame) -> DataFrame:
+        """digest, keep_id, n, tied of the digests that occur more than once."""
 
-        def fill(batches):
-            bits = np.zeros(FILTER_BITS, dtype=bool)
+        def unpack(batches):
             for batch in batches:
-                if batch.num_rows:
-                    bits[_slots(batch.column(0).to_pylist()).ravel()] = True
-            packed = np.packbits(bits).reshape(-1, SLICE // 8)
-            some = np.flatnonzero(packed.any(axis=1))
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int64()), "bits": [packed[i].tobytes() for i in some]})
+                for segment in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    some = [e for e in _entries(*segment) if e[2] > 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in some], k) for i, k in enumerate((pa.binary(), *[pa.int64()] * 3))], names=["digest", "keep_id", "n", "tied"])
 
-        def merge(table: pa.Table) -> pa.Table:
-            bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()])
-            return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+        return run.select("digests", "ids", "known", "counts", "tied").mapInArrow(unpack, "digest binary, keep_id long, n long, tied long")
 
-        kind = "slice long, bits binary"
-        parts = self.levels[0].filter("n > 1").select("digest").mapInArrow(fill, kind)
-        spread = parts.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
-        some = spread.groupBy("slice", "_s").applyInArrow(lambda t: merge(t.select(["slice", "bits"])), kind)
-        out = np.zeros((FILTER_BITS // SLICE, SLICE // 8), dtype=np.uint8)
-        for row in some.groupBy("slice").applyInArrow(merge, kind).toLocalIterator():  # at most FILTER_BITS / 8 bytes
-            out[row["slice"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
-        return out.tobytes()
 
+def _probe(filters: dict[int, bytes] | None, buckets: int):
+    """Digest of a text, and whether the filter of its bucket (None: there are none) lets it pass."""
 
-def _probe(bits: bytes):
     @F.pandas_udf("struct<digest: binary, maybe: boolean>")
     def probe(texts):
         import pandas as pd
 
         digests = [hashlib.sha256((x or "").encode("utf-8", "surrogatepass").translate(LOWER)).digest() for x in texts]
-        table = np.frombuffer(bits, dtype=np.uint8)
-        at = _slots(digests) if digests else np.zeros((0, HASHES), dtype=np.int64)
-        hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+        hit = np.ones(len(digests), dtype=bool)
+        if filters is not None and digests:
+            joined = b"".join(digests)
+            at = _buckets_of(joined, buckets)
+            for b in np.unique(at).tolist():
+                table, rows = np.frombuffer(filters.get(b, b""), dtype=np.uint8), np.flatnonzero(at == b)
+                if len(table):
+                    slot = _slots(b"".join(digests[i] for i in rows), 8 * len(table))
+                    hit[rows] = ((table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).all(axis=1)
+                else:
+                    hit[rows] = False
         return pd.DataFrame({"digest": digests, "maybe": hit})
 
     return probe
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (digest, salt): is each text the same as the first of its run? Heads carry their text onward."""
+    """Rows sorted by (digest, salt): digests of texts that differ from the first of their run, and the runs' first texts."""
     key = head = None
-    for batch in batches:
-        digests, salts, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), _binary(batch.column(3))
-        same, heads = [], []
+    for batch in byte_batches(batches, 2):
+        digests, salts, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _binary(batch.column(2))
+        out = []
         for d, s, t in zip(digests, salts, texts, strict=True):
-            new = (d, s) != key
-            if new:
+            if (d, s) != key:
                 key, head = (d, s), t
-            same.append(t == head)
-            heads.append(t if new else None)
-        yield pa.RecordBatch.from_pydict({"uid": batch.column(0), "digest": batch.column(1), "salt": batch.column(2), "same": same, "head": pa.array(heads, pa.binary())})
+                if s >= 0:
+                    out.append((d, True, t))
+            elif t != head:
+                out.append((d, False, None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.binary(), pa.bool_(), pa.binary()))], names=["digest", "same", "head"])
 
 
 def _false_hits(hits: DataFrame) -> DataFrame:
     """Digests whose texts differ: digest. Expected to be empty."""
-    kind = "uid long, digest binary, salt long, same boolean, head binary"
-    ordered = hits.select("uid", "digest", "salt", "text").repartition("digest", "salt").sortWithinPartitions("digest", "salt")
-    first = ordered.mapInArrow(_compare, kind)
-    first = staged(first.filter(~F.col("same") | (F.col("head").isNotNull() & (F.col("salt") >= 0))), "heads")
-    heads = first.filter(F.col("head").isNotNull()).select("uid", "digest", F.lit(0).cast("long").alias("salt"), F.col("head").cast("string").alias("text"))
+    kind = "digest binary, same boolean, head binary"
+    ordered = hits.select("digest", "salt", "text").repartition("digest", "salt").sortWithinPartitions("digest", "salt")
+    first = staged(ordered.mapInArrow(_compare, kind), "heads")
+    heads = first.filter("same").select("digest", F.lit(-1).cast("long").alias("salt"), F.col("head").cast("string").alias("text"))
     second = heads.repartition("digest").sortWithinPartitions("digest").mapInArrow(_compare, kind)
-    return first.filter(~F.col("same")).select("digest").unionByName(second.filter(~F.col("same")).select("digest")).distinct()
+    return first.filter("NOT same").select("digest").unionByName(second.filter("NOT same").select("digest")).distinct()
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", whole: bool = False) -> DataFrame:
-    """uid, doc_id, keep_id, group_size, kept, digest for every row of ``docs`` (doc_id, text); ``whole``: also ``_row``,
-    a struct of all columns of ``docs``."""
+    """doc_id, keep_id, group_size, kept, digest for every row of ``docs`` (doc_id, text); ``whole``: also ``_row``, a struct
+    of all columns of ``docs``. No text is written but those that travel for the comparison."""
+    spark = docs.sparkSession
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")] if whole else []))
-    index = DigestIndex(keep)
+    total = src.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ROWS))
+    index = DigestIndex(buckets, keep)
     index.ingest(src.select("doc_id", "text"))
-    merged = index.compact()
-    total = merged.agg(F.sum("n")).first()[0] or 0
-    extra = ["_row"] if whole else []
-    probed = src.withColumn("_d", _probe(index.repeated_filter())("text")).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("_d.digest").alias("digest"), F.col("_d.maybe").alias("maybe"), F.when(F.col("_d.maybe"), F.col("text")).alias("text"), *extra)
-    probed = staged(probed, "probed")
-    hits, single = probed.filter("maybe"), probed.filter("NOT maybe")
-    repeated = merged.filter("n > 1")
-    heavy = repeated.filter(F.col("n") * HEAVY_SHARE > total)
+    run = index.compact()
+    repeated = staged(index.repeated(run), "repeated")
+    size = run.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
+    filters = {r["bucket"]: r["filter"] for r in run.filter(F.octet_length("filter") > 0).select("bucket", "filter").toLocalIterator()} if size <= FILTER_BYTES else None
+    freed(run)
+    heavy = repeated.filter(F.col("n") * HEAVY_SHARE > total)  # fewer than HEAVY_SHARE
     light = repeated.filter(F.col("n") * HEAVY_SHARE <= total)
-    # the heavy digests number fewer than HEAVY_SHARE; a light one fits any task
-    tagged = hits.select("uid", "doc_id", "digest").join(F.broadcast(heavy.withColumnRenamed("keep_id", "hk").withColumnRenamed("n", "hn")), "digest", "left")
-    tagged = tagged.filter("hn IS NOT NULL").select("uid", "doc_id", "digest", F.col("hk").alias("keep_id"), F.col("hn").alias("n")).unionByName(tagged.filter("hn IS NULL").select("uid", "doc_id", "digest").join(light, "digest", "left"))
-    tagged = staged(tagged, "tagged")
-    salted = hits.join(F.broadcast(heavy.select("digest", F.col("n").alias("hn"))), "digest", "left")
-    salted = salted.withColumn("salt", F.when(F.col("hn").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("uid"), F.ceil(F.col("hn") * HEAVY_SHARE / F.lit(total)))).cast("long"))
+    probed = src.withColumn("_d", _probe(filters, buckets)("text")).withColumn("digest", F.col("_d.digest")).withColumn("maybe", F.col("_d.maybe")).drop("_d")
+
+    salted = probed.filter("maybe").select("digest", "text").join(F.broadcast(heavy.select("digest", F.col("n").alias("_hn"))), "digest", "left")
+    salted = salted.withColumn("salt", F.when(F.col("_hn").isNull(), F.lit(-1)).otherwise(F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_hn") * HEAVY_SHARE / F.lit(max(1, total))))).cast("long"))
     wrong = staged(_false_hits(salted), "collisions")
-    bad = wrong.count()
-    one, is_best = F.col("n").isNull(), F.col("n").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    rest = tagged.filter(~is_best).withColumn("kept", one)
-    top = tagged.filter(is_best)  # one row per group, or the rows that share its best id
-    top = top.join(top.groupBy("digest").agg(F.min("uid").alias("_u")), "digest").withColumn("kept", F.col("uid") == F.col("_u")).select(*rest.columns)
-    decided = rest.unionByName(top).select("uid", "doc_id", F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), "kept", "digest")
-    if bad:  # two texts with one digest: group these rows by their texts
-        rows = hits.join(wrong, "digest", "left_semi").withColumn("_t", F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+    extra = ["_row"] if whole else []
+    rows = probed.select("doc_id", "digest", "maybe", *extra)
+    single = rows.filter("NOT maybe").select("doc_id", "digest", *extra, *(F.lit(None).cast("long").alias(c) for c in ("keep_id", "n", "tied")))
+    marked = rows.filter("maybe").drop("maybe").join(F.broadcast(heavy.select("digest", F.col("keep_id").alias("_hk"), F.col("n").alias("_hn"), F.col("tied").alias("_ht"))), "digest", "left")
+    hot = marked.filter("_hn IS NOT NULL").select("doc_id", "digest", *extra, F.col("_hk").alias("keep_id"), F.col("_hn").alias("n"), F.col("_ht").alias("tied"))
+    rest = marked.filter("_hn IS NULL").select("doc_id", "digest", *extra).join(light, "digest", "left").select(*hot.columns)
+    tagged = single.unionByName(hot).unionByName(rest).withColumn("kept", F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if repeated.filter("tied > 1").take(1):  # the best id occurs several times: one of its rows stays
+        several = F.col("kept") & (F.coalesce("tied", F.lit(1)) > 1)
+        tied = staged(tagged.filter(several).withColumn("_u", F.monotonically_increasing_id()), "tied")
+        first = tied.groupBy("digest").agg(F.min("_u").alias("_u")).select("_u", F.lit(True).alias("_first"))
+        tagged = tagged.filter(~several).unionByName(tied.join(first, "_u", "left").withColumn("kept", F.coalesce("_first", F.lit(False))).select(*tagged.columns))
+    decided = tagged.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), "kept", "digest", *extra)
+    if wrong.take(1):  # two texts with one digest: group these rows by their texts
+        again = staged(probed.join(wrong, "digest", "left_semi").withColumn("_t", F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("_u", F.monotonically_increasing_id()), "regrouped")
         pick_row = F.max if keep == "largest" else F.min
-        groups = rows.groupBy("_t").agg(pick_row(F.struct("doc_id", "uid")).alias("_b"), F.count(F.lit(1)).alias("group_size"))
-        again = rows.join(groups, "_t").select("uid", "doc_id", F.col("_b.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("_b.uid")).alias("kept"), "digest")
-        decided = decided.join(wrong, "digest", "left_anti").select(*again.columns).unionByName(again)
-    alone = single.select("uid", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", *extra)
-    if whole:
-        decided = decided.join(hits.select("uid", "_row"), "uid")
-    return alone.unionByName(decided)
+        groups = again.groupBy("_t").agg(pick_row(F.struct(F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull(), "doc_id", "_u")).alias("_b"), F.count(F.lit(1)).alias("group_size"))
+        again = again.join(groups, "_t").select("doc_id", F.col("_b.doc_id").alias("keep_id"), "group_size", (F.col("_u") == F.col("_b._u")).alias("kept"), "digest", *extra)
+        decided = decided.join(wrong, "digest", "left_anti").unionByName(again)
+    return decided
 
 
 def deduplicated(docs: DataFrame, keep: str = "largest") -> DataFrame:

@@ -6,13 +6,18 @@ sets form one node. The order is cut into fragments twice:
 * Candidates. Two sets that link differ in at most ``d`` n-grams, d = (1 - t) / t times the smaller size. Per size class the
   order is cut into ``d + 1 + slack`` fragments, so two linked sets agree on a whole non-empty fragment (a set with more
   empty fragments than the slack also offers its empty ones). Each set takes part in its own size class and in the one
-  below. Fragment keys travel packed, many to a row.
+  below. Fragment keys travel packed by bucket, 32 bits each: keys that agree by chance only cost a comparison.
 * Counting. Candidate pairs count their partial overlaps in each of COUNTING fragments separately; the sum per pair decides.
 
-A key shared by up to ALL_PAIRS sets gives all its pairs. Grams that only one candidate set has can be in no overlap; they are
-counted range by range, and pairs (and whole sets) whose shared grams cannot reach the threshold any more are dropped, which
-is exact; so is the bound that parity bitmaps of the sets give. For components, a longer list first gives a star to its hub, the set with the least of its own; what is then still in different
-components within a list is paired in a second pass, so no link is lost while copies of one text never meet in all pairs. Components come from label propagation with pointer jumping over staged edges.
+A key shared by up to ALL_PAIRS sets gives all its pairs. Grams that only one candidate set has can be in no overlap; they
+are counted range by range (by 32 bits: chance can only make a gram look shared), and pairs and sets whose shared grams
+cannot reach the threshold any more are dropped, which is exact; so is the bound that parity bitmaps of the sets give. For
+components, a longer list first gives a star to its hub, the set with the least of its own; what is then still in different
+components within a list is paired in a second pass, dealt to cells, so no link is lost while copies of one text never meet
+in all pairs. Components come from label propagation with pointer jumping over staged edges.
+
+Only one row of a node, and only of nodes that are still wanted, is cut into shingles again; rows that a filter lets pass by
+chance repeat what another row says and change nothing.
 
 Cases: null text and text without words have no set, n_shingles 0 and link with nothing (a component each); fewer words than
 ``size`` give the whole sequence as one shingle; repeated rows share a node; a null id is the smallest of its component only
@@ -23,10 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import HEAVY_SHARE, pick, staged
+from gridloom.llm.common import HEAVY_SHARE, freed, pick, staged
 from gridloom.llm.exact_dedup import LOWER
 from gridloom.llm.tokens import byte_batches
 
@@ -35,8 +41,12 @@ THRESHOLD = 80
 ALL_PAIRS = 8
 LIST_CELL = 256
 COUNTING = 4
-FILTER_BITS = 2**24
-BUCKET_KEYS = 400_000
+#: Bits per wanted row in the filters that are broadcast; beyond so many rows they are picked by a shuffle join instead.
+ROW_BITS = 16
+FILTER_ROWS = 8_000_000
+BUCKET_KEYS = 1_000_000
+RANGE_GRAMS = 2_000_000
+_NO_ID = -(2**63)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -106,11 +116,22 @@ def _sets(batches, size: int):
 def _nodes(size: int):
     def run(batches):
         for ids, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bits"])
 
     return run
 
 
+def _by_bucket(values: np.ndarray, counts: np.ndarray, bucket: np.ndarray, buckets: int):
+    """Per bucket: its number, the rows (places in ``counts``) that have values there, how many each, and the values' low bits."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.argsort(bucket, kind="stable")
+    values, row, bucket = values[order].astype(np.uint32), row[order], bucket[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=bucket.dtype))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        rows, each = np.unique(row[cut[b] : cut[b + 1]], return_counts=True)
+        yield b, rows, each.astype(np.uint32), values[cut[b] : cut[b + 1]]
+
+
 def _packed_keys(size: int, percent: int, buckets: int):
     def run(batches):
         seen: set[int] = set()
@@ -118,7 +139,7 @@ def _packed_keys(size: int, percent: int, buckets: int):
             nodes, sizes, keys = [], [], []
             for s in sets:
                 if len(s) and (node := fingerprint(s)) not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
                     nodes.append(node)
@@ -126,31 +147,35 @@ def _packed_keys(size: int, percent: int, buckets: int):
                     keys.append(fragment_keys(s, percent))
             if not nodes:
                 continue
-            counts = np.array([len(k) for k in keys])
-            key, node, n = np.concatenate(keys), np.repeat(np.array(nodes, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts)
-            bucket = (key >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            key, node, n, bucket = key[order], node[order], n[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, key[lo:hi].tobytes(), node[lo:hi].tobytes(), n[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "nodes", "sizes"])
+            node, n, key = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int32), np.concatenate(keys)
+            rows = [(b, x.tobytes(), each.tobytes(), node[at].tobytes(), n[at].tobytes()) for b, at, each, x in _by_bucket(key, np.array([len(k) for k in keys]), (key >> np.uint64(32)) % np.uint64(buckets), buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "keys", "counts", "nodes", "sizes"])
 
     return run
 
 
+def _unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=kind)
+
+
 def _lists(percent: int):
     """One bucket: all pairs of short lists; members of long lists with their key."""
 
     def run(table: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
-        node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), dtype=np.int64)
-        n = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.int32)
+        bucket = table.column("bucket")[0].as_py()
+        key, each = _unpacked(table, "keys", np.uint32), _unpacked(table, "counts", np.uint32)
+        node, n = np.repeat(_unpacked(table, "nodes", np.int64), each), np.repeat(_unpacked(table, "sizes", np.int32), each)
+        often = np.zeros(len(key), dtype=bool)
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        often[order[1:][same]] = often[order[:-1][same]] = True
+        key, node, n = key[often], node[often], n[often]
         order = np.lexsort((node, n, key))
         key, node, n = key[order], node[order], n[order]
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node, n = key[fresh], node[fresh], n[fresh]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
         length = np.diff(np.concatenate([start, [len(key)]]))
         rank, of = np.arange(len(key)) - np.repeat(start, length), np.repeat(length, length)
         a, b = [], []
@@ -162,79 +187,102 @@ def _lists(percent: int):
         a, b = np.concatenate(a), np.concatenate(b)
         fits = 100 * n[a].astype(np.int64) >= percent * n[b].astype(np.int64)
         pairs = np.unique(np.sort(np.stack([node[a[fits]], node[b[fits]]], axis=1), axis=1), axis=0) if fits.any() else np.zeros((0, 2), dtype=np.int64)
-        none = np.full(len(long), None)
-        return pa.table({"a": pa.array(np.concatenate([pairs[:, 0], node[long]])), "b": pa.array([*pairs[:, 1].tolist(), *none], pa.int64()), "key": pa.array([*([None] * len(pairs)), *key[long].view(np.int64).tolist()], pa.int64()), "size": pa.array([*([None] * len(pairs)), *n[long].tolist()], pa.int64())})
+        return pa.table({"a": pa.array(np.concatenate([pairs[:, 0], node[long]])), "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(long), pa.int64())]), "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(key[long].astype(np.int64) | bucket << 32, pa.int64())])})
 
     return run
 
 
-def node_filter(nodes: DataFrame) -> bytes:
-    """Bloom filter of FILTER_BITS bits over a long column, built by slices; its size does not depend on the data."""
+def _slots(values: np.ndarray, bits: int) -> np.ndarray:
+    x = values.astype(np.int64).view(np.uint64)
+    return np.stack([(_mix(x * odd) % np.uint64(bits)).astype(np.int64) for odd in _ODD[:4]])
+
+
+def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _slots(values, 8 * len(table))
+    return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def row_filter(values: DataFrame, count: int) -> bytes:
+    """Bloom filter of ROW_BITS bits for each of ``count`` (at most FILTER_ROWS) values of a long column, built by slices."""
     slices = 64
+    width = -(-ROW_BITS * max(count, 1) // (8 * slices)) * 8
+    bits = slices * width
 
     def fill(batches):
-        bits = np.zeros(FILTER_BITS, dtype=bool)
         for batch in batches:
-            bits[_slots(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
-        packed = np.packbits(bits).reshape(slices, -1)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int64()), "bits": pa.array([packed[i].tobytes() for i in some], pa.binary())})
+            slot = np.unique(_slots(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            cut = np.searchsorted(slot, np.arange(slices + 1, dtype=np.int64) * width)
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int64()), "slots": pa.array([(slot[cut[i] : cut[i + 1]] - i * width).astype(np.int32).tobytes() for i in some], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()])
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    kind, out = "slice long, bits binary", np.zeros((slices, FILTER_BITS // 8 // slices), dtype=np.uint8)
-    for row in nodes.mapInArrow(fill, kind).groupBy("slice").applyInArrow(merge, kind).toLocalIterator():
-        out[row["slice"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
+        one = np.zeros(width, dtype=bool)
+        for blob in table.column("slots").to_pylist():
+            one[np.frombuffer(blob, dtype=np.int32)] = True
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(one).tobytes()], pa.binary())})
+
+    out = np.zeros((slices, width // 8), dtype=np.uint8)
+    for row in values.mapInArrow(fill, "slice long, slots binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").toLocalIterator():
+        out[row["slice"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.tobytes()
 
 
-def _slots(values: np.ndarray) -> np.ndarray:
-    x = values.astype(np.int64).view(np.uint64)
-    return np.stack([(_mix(x * odd) >> np.uint64(64 - 24)).astype(np.int64) for odd in _ODD[:4]])
-
+def _rows_of(src: DataFrame, wanted: DataFrame):
+    """The rows of ``src`` (doc_id, text) that stand for the nodes of ``wanted`` (node, low; staged), and perhaps more, and a
+    broadcast filter of the nodes (None: there are too many)."""
+    spark, count = src.sparkSession, wanted.count()
+    if count > FILTER_ROWS:
+        ids = wanted.select(F.col("low").alias("_low")).distinct()
+        return src.join(ids, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_low"), "left_semi"), None
+    rows, nodes = (spark.sparkContext.broadcast(row_filter(wanted.select(c), count)) for c in ("low", "node"))
 
-def _segments(size: int, bits):
     def run(batches):
-        table, seen = np.frombuffer(bits.value, dtype=np.uint8), set()
+        table = np.frombuffer(rows.value, dtype=np.uint8)
+        for batch in byte_batches(batches, 1):
+            yield batch.filter(pa.array(_passes(table, pc.fill_null(batch.column(0), _NO_ID).to_numpy(zero_copy_only=False))))
+
+    return src.mapInArrow(run, "doc_id long, text string"), nodes
+
+
+def _wanted_sets(batches, size: int, nodes):
+    """(node, set) of the rows whose node the filter lets pass, once per node as far as a task remembers, batch by batch."""
+    table, seen = np.frombuffer(nodes.value, dtype=np.uint8) if nodes else None, set()
+    for _, sets in _sets(batches, size):
+        full = [(fingerprint(s), s) for s in sets if len(s)]
+        hit = _passes(table, np.array([f for f, _ in full], dtype=np.int64)) if nodes and full else np.ones(len(full), dtype=bool)
+        if len(seen) > 200_000:
+            seen.clear()
+        out = []
+        for (node, s), yes in zip(full, hit, strict=True):
+            if yes and node not in seen:
+                seen.add(node)
+                out.append((node, s))
+        if out:
+            yield out
+
+
+def _segments(size: int, nodes):
+    def run(batches):
         edges = (np.arange(1, COUNTING, dtype=np.float64) / COUNTING * 2.0**64).astype(np.uint64)
-        for _, sets in _sets(batches, size):
-            full = [(fingerprint(s), s) for s in sets if len(s)]
-            if not full:
-                continue
-            at = _slots(np.array([f for f, _ in full], dtype=np.int64))
-            hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+        for sets in _wanted_sets(batches, size, nodes):
             rows = []
-            for (node, s), yes in zip(full, hit, strict=True):
-                if yes and node not in seen:
-                    seen.add(node)
-                    cut = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-                    rows += [(node, len(s), g, s[lo:hi].tobytes(), parity(s) if g == 0 else None) for g, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["node", "n", "fragment", "grams", "bits"])
+            for node, s in sets:
+                cut = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+                rows += [(node, len(s), g, s[lo:hi].tobytes()) for g, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["node", "n", "fragment", "grams"])
 
     return run
 
 
-def _packed_grams(ranges: int):
-    """Grams of segments by range of the hash order, packed per batch."""
-    edges = (np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**64).astype(np.uint64)
+def _packed_grams(size: int, nodes, ranges: int):
+    """Grams of the wanted sets by range of the hash order, packed per batch."""
+    width = np.uint64(2**64 // ranges + 1)
 
     def run(batches):
-        for batch in batches:
-            grams = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
-            if not grams:
-                continue
-            gram, row = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
-            order = np.argsort(gram)
-            gram, row = gram[order], row[order]
-            cut = np.concatenate([[0], np.searchsorted(gram, edges), [len(gram)]])
-            nodes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-                if hi > lo:
-                    some, at = np.unique(row[lo:hi], return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({"range": pa.array([i], pa.int32()), "grams": pa.array([gram[lo:hi].tobytes()], pa.binary()), "rows": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "nodes": pa.array([nodes[some].tobytes()], pa.binary())})
+        for sets in _wanted_sets(batches, size, nodes):
+            gram, node = np.concatenate([s for _, s in sets]), np.array([n for n, _ in sets], dtype=np.int64)
+            for i, at, each, x in _by_bucket(gram, np.array([len(s) for _, s in sets]), gram // width, ranges):
+                yield pa.RecordBatch.from_pydict({"range": pa.array([i], pa.int32()), "grams": pa.array([x.tobytes()], pa.binary()), "counts": pa.array([each.tobytes()], pa.binary()), "nodes": pa.array([node[at].tobytes()], pa.binary())})
 
     return run
 
@@ -243,13 +291,12 @@ def _unshared(buckets: int):
     """Per node the grams of this range that no other node has, packed by node bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams, nodes = [], []
-        for g, r, n in zip(*(table.column(c).to_pylist() for c in ("grams", "rows", "nodes")), strict=True):
-            grams.append(np.frombuffer(g, dtype=np.uint64))
-            nodes.append(np.frombuffer(n, dtype=np.int64)[np.frombuffer(r, dtype=np.int32)])
-        gram, node = np.concatenate(grams), np.concatenate(nodes)
-        _, first, count = np.unique(gram, return_index=True, return_counts=True)
-        found, alone = np.unique(node[first[count == 1]], return_counts=True)
+        gram, node = _unpacked(table, "grams", np.uint32), np.repeat(_unpacked(table, "nodes", np.int64), _unpacked(table, "counts", np.uint32))
+        order = np.argsort(gram, kind="stable")
+        gram, node = gram[order], node[order]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), dtype=bool), gram[1:] != gram[:-1]]))
+        least, most = (f.reduceat(node, start) if len(start) else node for f in (np.minimum, np.maximum))
+        found, alone = np.unique(least[least == most], return_counts=True)  # a gram of one node, however often its rows came
         bucket = found % buckets
         order = np.argsort(bucket, kind="stable")
         found, alone, bucket = found[order], alone[order].astype(np.int64), bucket[order]
@@ -262,8 +309,7 @@ def _unshared(buckets: int):
 
 def _added(table: pa.Table) -> pa.Table:
     """Counts of all ranges, added per node of a bucket."""
-    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), dtype=np.int64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64)
+    nodes, counts = _unpacked(table, "nodes", np.int64), _unpacked(table, "counts", np.int64)
     found, at = np.unique(nodes, return_inverse=True)
     return pa.table({"node": pa.array(found, pa.int64()), "alone": pa.array(np.bincount(at, weights=counts).astype(np.int64), pa.int64())})
 
@@ -289,33 +335,44 @@ def _can_link(x: str, y: str, percent: int):
 def _overlaps(batches):
     """Partial overlap of a pair in one fragment."""
     for batch in batches:
-        left, right = (batch.column(i).to_pylist() for i in (4, 5))
+        left, right = (batch.column(i).to_pylist() for i in (5, 6))
         counts = [len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True)) for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(counts, pa.int64())], names=["a", "b", "na", "nb", "common"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(counts, pa.int64())], names=["a", "b", "fragment", "na", "nb", "common"])
 
 
-def verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link: partial overlaps per fragment, summed."""
+def verify(src: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b; staged) that link: partial overlaps per fragment, summed. ``reps``: node, low. The result is staged."""
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    wanted = staged(ends.join(reps, ends["a"] == reps["node"]).select("node", "low"), "wanted")
+    rows, nodes = _rows_of(src, wanted)
+    segments = staged(rows.mapInArrow(_segments(size, nodes), "node long, n long, fragment int, grams binary"), "segments")
     one = segments.select(F.col("node").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
     other = segments.select(F.col("node").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    both = pairs.join(one, "b").join(other, ["a", "fragment"]).select("a", "b", "na", "nb", "ga", "gb")
-    parts = both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
-    sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return sums.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    both = pairs.join(one, "b").join(other, ["a", "fragment"]).select("a", "b", "fragment", "na", "nb", "ga", "gb")
+    parts = both.mapInArrow(_overlaps, "a long, b long, fragment int, na long, nb long, common long")
+    parts = parts.groupBy("a", "b", "fragment").agg(*(F.max(c).alias(c) for c in ("common", "na", "nb")))  # equal where a set came twice
+    sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    links = staged(sums.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
+    freed(segments, wanted)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) for the nodes of ``edges`` (a, b; staged)."""
+    """node, root (smallest node reachable) for the nodes of ``edges`` (a, b; staged). The result is staged."""
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    total = max(1, labels.count())
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("new"), "root")
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        after = staged(step.join(jump, "new").select("node", F.least("new", "up").alias("new"), "root"), "labels")
+        step = staged(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("new"), "root"), "step")
+        jump = step.groupBy("new").agg(F.count(F.lit(1)).alias("_n")).join(step.select(F.col("node").alias("new"), F.col("new").alias("up")), "new")
+        after = staged(grouped_join(step, jump, "new", total).select("node", F.least("new", "up").alias("new"), "root"), "labels")
         changed = after.filter("new <> root").count()
+        freed(step, labels)
         labels = after.select("node", F.col("new").alias("root"))
+        labels._staged = after._staged
         if not changed:
+            freed(both)
             return labels
 
 
@@ -331,26 +388,28 @@ def grouped_join(big: DataFrame, small: DataFrame, key: str, total: int) -> Data
 
 
 def _candidates(docs: DataFrame, size: int, percent: int):
-    """nodes (staged) and their rows, segments, the pairs of short lists, the members of long ones with their bounds, and a
-    function that keeps the pairs whose bounds reach the threshold."""
+    """src, nodes (staged), their rows, reps (node, low: the id of a row that stands for it), the pairs of short lists, the
+    members of long ones with their bounds, and a function that keeps the pairs whose bounds reach the threshold."""
     spark = docs.sparkSession
     src = pick(docs, doc_id="long", text="string")
-    nodes = staged(src.mapInArrow(_nodes(size), "doc_id long, n_shingles long, node long"), "nodes")
+    sets = staged(src.mapInArrow(_nodes(size), "doc_id long, n_shingles long, node long, bits array<long>"), "nodes")
+    nodes = sets.select("doc_id", "n_shingles", "node")
     rows, grams = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams * 2 * (100 - percent) // percent // BUCKET_KEYS) * 2)
-    keys = src.mapInArrow(_packed_keys(size, percent, buckets), "bucket int, keys binary, nodes binary, sizes binary")
-    found = staged(keys.groupBy("bucket").applyInArrow(_lists(percent), "a long, b long, key long, size long"), "lists")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-grams * 2 * (100 - percent) // percent // BUCKET_KEYS))
+    keys = src.mapInArrow(_packed_keys(size, percent, buckets), "bucket int, keys binary, counts binary, nodes binary, sizes binary")
+    found = staged(keys.groupBy("bucket").applyInArrow(_lists(percent), "a long, b long, key long"), "lists")
     pairs = staged(found.filter("key IS NULL").select("a", "b").distinct(), "pairs")
     members = found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key")
 
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(members.select(F.col("node").alias("a"))).distinct()
-    bits = spark.sparkContext.broadcast(node_filter(wanted))
-    segments = src.mapInArrow(_segments(size, bits), "node long, n long, fragment int, grams binary, bits array<long>")
-    segments = staged(segments.dropDuplicates(["node", "fragment"]), "segments")
-    packed = segments.select("node", "grams").mapInArrow(_packed_grams(buckets), "range int, grams binary, rows binary, nodes binary")
-    alone = packed.groupBy("range").applyInArrow(_unshared(buckets), "bucket int, nodes binary, counts binary").groupBy("bucket").applyInArrow(_added, "node long, alone long")
-    own = segments.filter("fragment = 0").select("node", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)))
-    stats = own.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    reps = staged(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("low"), F.first("n_shingles").alias("n"), *(F.first(F.col("bits")[i]).alias(f"b{i}") for i in range(PARITY))), "reps")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
+    wanted = staged(reps.join(ends, "node", "left_semi"), "wanted")
+    picked, passed = _rows_of(src, wanted.select("node", "low"))
+    ranges = max(least, -(-grams // RANGE_GRAMS))
+    packed = picked.mapInArrow(_packed_grams(size, passed, ranges), "range int, grams binary, counts binary, nodes binary")
+    alone = packed.groupBy("range").applyInArrow(_unshared(least), "bucket int, nodes binary, counts binary").groupBy("bucket").applyInArrow(_added, "node long, alone long")
+    stats = wanted.drop("low").join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     stats = staged(stats.filter(100 * F.col("shared") >= percent * F.col("n")), "stats")  # the others link with nothing
 
     def allowed(pairs: DataFrame) -> DataFrame:
@@ -358,31 +417,38 @@ def _candidates(docs: DataFrame, size: int, percent: int):
         both = pairs.join(sa, F.col("a") == F.col("a_node")).join(sb, F.col("b") == F.col("b_node"))
         return both.filter(_can_link("a_", "b_", percent)).select("a", "b")
 
-    return nodes, rows, segments, pairs, staged(members.join(stats, "node"), "members"), allowed
+    long = staged(members.join(stats, "node"), "members")
+    freed(found, wanted)
+    return src, nodes, rows, reps.select("node", "low"), pairs, long, allowed
 
 
-def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The join itself: all links a, b (a < b) between different sets, and doc_id, n_shingles, node for every row of ``docs``.
-    Rows with one node link with each other. A long list is dealt to cells of at most about LIST_CELL x LIST_CELL pairs, so
-    none is paired in one task; its pairs pass the exact bounds before they are verified."""
-    nodes, _, segments, pairs, members, allowed = _candidates(docs, size, percent)
+def _in_cells(members: DataFrame) -> tuple[DataFrame, DataFrame, object]:
+    """Two sides of a list joined with itself: it is dealt to cells of at most about LIST_CELL x LIST_CELL pairs, so none is
+    paired in one task. ``members``: key, node and more."""
     cells = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST_CELL).alias("_cells"))
     dealt = members.join(cells, "key").withColumn("_cell", F.pmod(F.xxhash64("node"), F.col("_cells")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1))
     x, y = dealt.withColumn("_other", every).alias("x"), dealt.withColumn("_other", every).alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x._cell") == F.col("y._other")) & (F.col("x._other") == F.col("y._cell"))
+    return x, y, (F.col("x.key") == F.col("y.key")) & (F.col("x._cell") == F.col("y._other")) & (F.col("x._other") == F.col("y._cell"))
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links a, b (a < b) between different sets, and doc_id, n_shingles, node for every row of ``docs``.
+    Rows with one node link with each other. The pairs of a long list pass the exact bounds before they are verified."""
+    src, nodes, _, reps, pairs, members, allowed = _candidates(docs, size, percent)
+    x, y, same = _in_cells(members)
     long = x.join(y, same & (F.col("x.node") < F.col("y.node")) & _can_link("x.", "y.", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    wanted = staged(allowed(pairs).unionByName(long).distinct(), "pairs")
-    return staged(verify(wanted, segments, percent), "links"), nodes
+    return verify(src, staged(allowed(pairs).unionByName(long).distinct(), "pairs"), reps, size, percent), nodes
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, node, component_id for every row of ``docs`` (doc_id, text)."""
-    nodes, rows, segments, pairs, members, allowed = _candidates(docs, size, percent)
+    src, nodes, rows, reps, pairs, members, allowed = _candidates(docs, size, percent)
     hubs = members.groupBy("key").agg(F.min_by("node", F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "node")).alias("hub"))  # the set with the least of its own
     stars = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = staged(allowed(pairs.unionByName(stars).distinct()), "pairs")
-    edges = staged(verify(pairs, segments, percent), "links")
+    chosen = staged(allowed(pairs.unionByName(stars).distinct()), "pairs")
+    freed(pairs)
+    edges = verify(src, chosen, reps, size, percent)
     labels = components(edges)
 
     # long lists whose sets are not all in one component yet: the pairs between components
@@ -390,17 +456,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRE
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     left = staged(placed.join(open_keys, "key", "left_semi"), "open")
     if left.take(1):
-        x, y = left.alias("x"), left.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _can_link("x.", "y.", percent))
+        x, y, same = _in_cells(left)
+        cross = x.join(y, same & (F.col("x.root") < F.col("y.root")) & _can_link("x.", "y.", percent))
         more = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        edges = staged(edges.unionByName(verify(more, segments, percent)), "links")
-        labels = components(edges)
-
-    per_node = staged(nodes.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("low")), "per_node")
+        more = staged(more.join(chosen, ["a", "b"], "left_anti"), "pairs")
+        links = verify(src, more, reps, size, percent)
+        if links.take(1):
+            edges = edges.unionByName(links)
+            freed(labels)
+            labels = components(edges)
+
+    per_node = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("low"))
     rooted = staged(per_node.join(labels, "node", "left").select("node", "_n", "low", F.coalesce("root", "node").alias("root")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     by_node = staged(grouped_join(rooted.withColumnRenamed("_n", "_rows"), lowest, "root", max(1, rows)).select("node", "component_id", F.col("_rows").alias("_n")), "by_node")
+    freed(left, members, chosen, labels, rooted)
     full, bare = nodes.filter("node IS NOT NULL"), nodes.filter("node IS NULL")
     out = grouped_join(full, by_node, "node", max(1, rows)).select("doc_id", "n_shingles", "node", "component_id")
     return out.unionByName(bare.select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")))
@@ -408,8 +478,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = THRE
 
 def one_per_component(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows that repeat that id stay together."""
-    keep = jaccard_components(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    keep = jaccard_components(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+    return row.join(keep, row["_row.doc_id"].cast("long").eqNullSafe(keep["doc_id"]), "left_semi").select("_row.*")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

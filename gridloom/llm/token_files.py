@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridloom.llm.common import new_folder, pick, staged
+from gridloom.llm.common import new_folder, pick, staged, store_of
 from gridloom.llm.tokens import byte_batches, encoder
 
 END_ID = 2
@@ -34,12 +34,6 @@ BLOCK = 2**19
 MAGIC = b"GLWM1\n"
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """The bytes of a shard file."""
     out, at, planes = [], 0, []
@@ -167,7 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
         task, enc = TaskContext.get(), encoder(tokenizer, DTYPE, False)
         part, attempt = task.partitionId(), task.taskAttemptId()
-        store, root = _store(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         names, blobs, held, shard = [], [], 0, 0
 
@@ -203,7 +197,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, where = _store(path)
+                store, where = store_of(path)
                 with store.open_input_stream(where) as f:
                     shard = WaveletShard(f.read())
                 names, lengths = shard.documents()
