@@ -4,395 +4,383 @@ Every byte that lies in a ``length``-byte string which also starts elsewhere (in
 
 A window of ``length`` bytes is looked at through its anchor, the leftmost least of its GRAM-byte hashes; equal windows have
 equal anchors at equal offsets. Neighbouring windows share anchors, so a text falls into units (runs of windows with one
-anchor), about one per 90 bytes. Then
-
-1. Keys of the units (the whole unit; HALF bytes from the anchor on; HALF bytes up to it) travel packed, and those that
-   occur twice fill a Bloom filter. Equal windows share at least one of the two half keys.
-2. Units whose whole key passes are grouped by 128-bit keys; a unit that occurs twice is covered. Units that pass by a half
-   key only lie at the rim of a repeat: their half keys fill a second filter.
-3. All units that share a half key with a rim unit are sent with their bytes, once per distinct unit. Suffixes of these
-   bytes are range-partitioned by the leading bytes of their anchor with Spark's sampled splitters; within a bucket the
-   windows of equal offset are sorted by multikey refinement (word after word; what is alone drops out), and runs of equal
-   windows are repeats. Equal leading bytes stay in one bucket, so no run crosses a boundary; an anchor with over
-   1/HEAVY_SHARE of all units is spread by the windows' offsets.
-
-Cases: null text is empty; texts shorter than ``length`` lose nothing; repeated rows lose everything they share; spans are
-keyed by the text (two hashes and the size), since equal texts lose equal bytes; an empty table gives an empty result.
+anchor), about one per 90 bytes. Suffixes are sampled at the anchors.
+
+1. Candidates. A window contains the HALF bytes from its anchor on or the HALF bytes up to it, so a unit whose two half keys
+   occur nowhere else has no repeat. Keys travel packed by bucket, each at most twice per batch; those that occur twice fill
+   a Bloom filter sized by their number. (With more than FILTER_KEYS of them, every unit is a candidate.)
+2. The bytes of candidate units travel once per distinct unit and batch, with the places where it stands. Spark's sampled
+   splitters range-partition them by the leading bytes of the suffix; equal leading bytes stay in one partition, so no group
+   crosses a boundary.
+3. In a group of equal leading bytes, equal units are found by their bytes. Distinct units are sorted twice by multikey
+   quicksort: by the suffix from the anchor on, and by the reversed bytes before it. Two units share the window whose anchor
+   is at offset p when they agree on length - p bytes in the one order and on p bytes in the other; both are read off the
+   common prefixes of neighbours, for all p.
+4. The units of a heavy anchor are dealt again, by CLASS offsets at a time and by the bytes that windows
+   of these offsets must share; there, windows are compared with the first of their kind in one pass of bounded memory.
+
+All matches are decided by the bytes themselves; hashes only choose candidates and places of work. Texts are cut into slices
+of SLICE bytes at the edges of units, so a text of any size takes the same memory.
+
+Cases: null text is empty; texts shorter than ``length`` lose nothing; a text that stands in several rows goes as a whole;
+spans are keyed by the text (its MD5 digest and size); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import HEAVY_SHARE, pick, staged
-from gridloom.llm.jaccard import _mix, grouped_join
+from gridloom.llm.common import BROADCAST_ROWS, HEAVY_SHARE, freed, pick, staged
+from gridloom.llm.jaccard import _by_bucket, _mix, _passes, _unpacked, grouped_join, row_filter
 from gridloom.llm.tokens import byte_batches
 
 LENGTH = 200
 GRAM = 16
-FILTER_BITS = 2**26
-HASHES = 3
-SALTS = 32
-BUCKET_KEYS = 1_000_000
-#: Units of whole groups that are compared in one go, and windows held at once.
-UNITS = 500
-WINDOWS = 40_000
-_TABLE = [_mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s)) for s in (1, 2)]
-_BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, at least n of them."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        size = max(1 << 17, 1 << n.bit_length())
-        base, inverse = _BASE[which], pow(_BASE[which], -1, 2**64)
-        both = []
-        for b in (base, inverse):
-            out = np.full(size, b, dtype=np.uint64)
+#: Windows of a text that are looked at in one go.
+SLICE = 1 << 17
+FILTER_KEYS = 20_000_000
+BUCKET_KEYS = 2_000_000
+#: Offsets that a class of a heavy anchor holds; distinct units of whole groups that are sorted in one go.
+CLASS = 4
+UNITS = 3_000
+#: An anchor is heavy with more units than this, or than 1/HEAVY_SHARE of all and UNITS.
+HEAVY_UNITS = 20_000
+#: Rows up to which the quicksort leaves the rest to a plain sort of byte strings.
+PLAIN = 24
+_TABLE = _mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+_BASE = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
+
+
+def _power() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, enough for a slice."""
+    if not _powers:
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
+            out = np.full(SLICE + 4096, b, dtype=np.uint64)
             out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        _powers[which] = (both[0], both[1])
-    return _powers[which]
-
-
-class Units:
-    """Units of one text: first, last window, anchor; keys on demand."""
-
-    def __init__(self, text: bytes, length: int):
-        self.text, self.length = np.frombuffer(text, dtype=np.uint8), length
-        n = len(text)
-        self.prefix: dict[int, np.ndarray] = {}
-        if n < length:
-            self.first = self.last = self.anchor = np.zeros(0, dtype=np.int64)
-            return
-        gram = self._hash(0, None, GRAM)
-        least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
+            _powers.append(np.multiply.accumulate(out))
+    return _powers
+
+
+def units(text: bytes, length: int):
+    """(first, last, anchor, on, upto) arrays of the units of a text, slice by slice: first and last window, place of the
+    anchor, keys of the length / 2 bytes from the anchor on and of those that end with it (0 where the text is too short)."""
+    n, half, start = len(text), length // 2, 0
+    power, inverse = _power()
+    while start + length <= n:
+        windows = min(SLICE, n - length + 1 - start)  # of this slice
+        low, high = max(0, start - length), min(n, start + windows - 1 + 2 * length)
+        data = np.frombuffer(text, dtype=np.uint8, count=high - low, offset=low)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_TABLE[data] * power[: len(data)], out=sums[1:])
+
+        def key(at: np.ndarray, size: int, sums=sums, inverse=inverse) -> np.ndarray:
+            return _mix((sums[at + size] - sums[at]) * inverse[at])
+
+        own = start - low
+        grams = windows + length - GRAM
+        least = _mix((sums[own + GRAM : own + GRAM + grams] - sums[own : own + grams]) * inverse[own : own + grams])
+        least = (least & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
         width = length - GRAM + 1
-        padded = np.full(-(-len(least) // width) * width, np.uint64(2**64 - 1))
-        padded[: len(least)] = least
+        padded = np.full(-(-grams // width) * width, np.uint64(2**64 - 1))
+        padded[:grams] = least
         rows = padded.reshape(-1, width)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = n - length + 1
         at = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         turn = np.flatnonzero(at[1:] != at[:-1]) + 1
-        self.first = np.concatenate([[0], turn])
-        self.last = np.concatenate([turn - 1, [windows - 1]])
-        self.anchor = at[self.first]
-
-    def _sums(self, which: int) -> np.ndarray:
-        if which not in self.prefix:
-            n = len(self.text)
-            out = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_TABLE[which][self.text] * _power(which, n + 1)[0][:n], out=out[1:])
-            self.prefix[which] = out
-        return self.prefix[which]
-
-    def _hash(self, which: int, start: np.ndarray | None, size) -> np.ndarray:
-        """Hashes of the strings that start at ``start`` (None: everywhere) and have ``size`` bytes."""
-        sums, inverse = self._sums(which), _power(which, len(self.text) + 1)[1]
-        if start is None:
-            return _mix((sums[size:] - sums[:-size]) * inverse[: len(self.text) - size + 1])
-        return _mix((sums[start + size] - sums[start]) * inverse[start])
-
-    def whole(self, which: int = 0) -> np.ndarray:
-        size = self.last + self.length - self.first
-        return self._hash(which, self.first, size) ^ _mix((self.anchor - self.first).astype(np.uint64) + np.uint64(1 << 40))
-
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the HALF bytes from the anchor on and up to it; 0 where the text is too short for them."""
-        half, n = self.length // 2, len(self.text)
-        on, upto = np.zeros(len(self.anchor), dtype=np.uint64), np.zeros(len(self.anchor), dtype=np.uint64)
-        a = self.anchor
-        ok = a + half <= n
-        on[ok] = self._hash(0, a[ok], half) ^ np.uint64(0x5851F42D4C957F2D)
-        ok = a + GRAM >= half
-        upto[ok] = self._hash(0, a[ok] + GRAM - half, half) ^ np.uint64(0x14057B7EF767814F)
-        return on, upto
-
-
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return np.stack([(_mix(keys + np.uint64(i * 0x9E3779B9 + 1)) >> np.uint64(64 - 26)).astype(np.int64) for i in range(HASHES)])
-
-
-def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _slots(keys)
-    return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) & (keys != 0)
-
-
-def key_filter(blobs: DataFrame) -> bytes:
-    """Bloom filter over packed keys (column 0), FILTER_BITS bits, built and merged by slices."""
-    slices = 64
-    width = FILTER_BITS // slices
-
-    def fill(batches):
-        held, size = [], 0
-
-        def flush():
-            slot = np.unique(np.concatenate(held))
-            cut = np.searchsorted(slot, np.arange(slices + 1, dtype=np.int64) * width)
-            rows = [(i, (slot[lo:hi] - i * width).astype(np.int32).tobytes()) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
-            return pa.RecordBatch.from_pydict({"slice": pa.array([i for i, _ in rows], pa.int64()), "slots": pa.array([x for _, x in rows], pa.binary())})
-
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                held.append(_slots(np.frombuffer(blob, dtype=np.uint64)).ravel())
-                size += len(held[-1])
-                if size > 1_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        bits = np.zeros(width, dtype=bool)
-        for blob in table.column("slots").to_pylist():
-            bits[np.frombuffer(blob, dtype=np.int32)] = True
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    out = np.zeros((slices, width // 8), dtype=np.uint8)
-    for row in blobs.mapInArrow(fill, "slice long, slots binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect():  # FILTER_BITS / 8 bytes
-        out[row["slice"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out.tobytes()
-
-
-def _text_key(text: bytes) -> int:
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(text, seed=42)  # the same as the SQL function xxhash64
-    return h - 2**64 if h >= 2**63 else h
-
-
-def _texts(batches, column: int = 0):
-    for batch in byte_batches(batches, column, 4 << 20):
-        yield batch, [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+        first, last = np.concatenate([[0], turn]), np.concatenate([turn - 1, [windows - 1]])
+        more = start + windows + length <= n
+        if more and len(first) > 1:  # the last unit may go on in the next slice
+            first, last, windows = first[:-1], last[:-1], int(first[-1])
+        a = at[first]
+        on, upto = np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.uint64)
+        local = a + own
+        ok = local + half <= len(data)
+        on[ok] = key(local[ok], half) ^ np.uint64(0x5851F42D4C957F2D)
+        ok = local + GRAM >= half
+        upto[ok] = key(local[ok] + GRAM - half, half) ^ np.uint64(0x14057B7EF767814F)
+        yield first + start, last + start, a + start, on, upto
+        start += windows
+
+
+def _texts(batches, length: int):
+    """Lists of texts of at least ``length`` bytes, few MB each; a text that the task has seen lately is left out."""
+    seen: set[bytes] = set()
+    for batch in byte_batches(batches, 0, 4 << 20):
+        out = []
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            if text is not None and len(text) >= length:
+                digest = hashlib.md5(text).digest()
+                if digest not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(digest)
+                    out.append((digest, text))
+        yield out
 
 
 def _packed(length: int, buckets: int):
     def run(batches):
-        for _, texts in _texts(batches):
-            keys = []
-            for t in texts:
-                if len(t) >= length:
-                    u = Units(t, length)
-                    keys += [u.whole(), *u.halves()]
-            if not keys:
+        for texts in _texts(batches, length):
+            found = [k for _, t in texts for u in units(t, length) for k in u[3:]]
+            if not found:
                 continue
-            key = np.concatenate(keys)
+            key, count = np.unique(np.concatenate(found), return_counts=True)
+            key = np.concatenate([key, key[count > 1]])
             key = key[key != 0]
-            bucket = key % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            key, bucket = key[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, key[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], names=["bucket", "keys"])
+            for b, _, _, low in _by_bucket(key, np.array([len(key)]), (key >> np.uint64(32)) % np.uint64(buckets), buckets):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "keys": pa.array([low.tobytes()], pa.binary())})
 
     return run
 
 
 def _twice(table: pa.Table) -> pa.Table:
-    key = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64))
-    again = key[1:][key[1:] == key[:-1]]
-    return pa.table({"keys": pa.array([np.unique(again).tobytes()], pa.binary())})
+    """Keys of a bucket that occur more than once, as their low bits and the bucket."""
+    key = np.sort(_unpacked(table, "keys", np.uint32))
+    again = np.unique(key[1:][key[1:] == key[:-1]])
+    return pa.table({"key": pa.array(again.astype(np.int64) << 24 | table.column("bucket")[0].as_py(), pa.int64())})
 
 
-def _hits(length: int, bits):
-    """Units whose whole key may repeat (with 128-bit key and place) and the half keys of rim units."""
+def _short(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The form of ``_twice`` of full keys."""
+    return ((key & np.uint64(0xFFFFFFFF)) << np.uint64(24) | (key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
-    def run(batches):
-        table = np.frombuffer(bits.value, dtype=np.uint8)
-        for _, texts in _texts(batches):
-            parts, rims = [], []
-            for t in texts:
-                if len(t) < length:
-                    continue
-                u = Units(t, length)
-                whole, (on, upto) = u.whole(), u.halves()
-                full, p_on, p_upto = _passes(table, whole), _passes(table, on), _passes(table, upto)
-                rim = ~full & (p_on | p_upto)
-                rims += [on[rim & p_on], upto[rim & p_upto]]
-                if full.any():
-                    k = np.flatnonzero(full)
-                    parts.append((whole[k], u.whole(1)[k], np.full(len(k), _text_key(t)), np.full(len(k), len(t)), u.first[k], u.last[k] + length, on[k], upto[k]))
-            rim = np.unique(np.concatenate(rims)) if rims else np.zeros(0, dtype=np.uint64)
-            rim = rim[rim != 0]
-            n = 0
-            if parts:
-                cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                n = len(cols[0])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in cols), pa.nulls(n, pa.binary())], names=["k1", "k2", "tkey", "n_bytes", "lo", "hi", "on", "upto", "rims"])
-            if len(rim):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(8)), pa.array([rim.tobytes()], pa.binary())], names=["k1", "k2", "tkey", "n_bytes", "lo", "hi", "on", "upto", "rims"])
 
-    return run
+_SUFFIX = "lead binary, unit binary, offset int, places binary"
+
+
+def _rows(found: dict) -> pa.RecordBatch:
+    rows = [(*key, b"".join(places)) for key, places in found.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary()))], names=["lead", "unit", "offset", "places"])
 
 
-def _contexts(length: int, bits, rim_bits):
-    """Bytes of the units that share a half key with a rim unit; once per distinct unit that surely repeats."""
+def _suffixes(length: int, buckets: int, repeated):
+    """Candidate units, once per batch: leading bytes, bytes, offset of the anchor in them, and places (digest, size, start)."""
 
     def run(batches):
-        table, rims, seen = np.frombuffer(bits.value, dtype=np.uint8), np.frombuffer(rim_bits.value, dtype=np.uint8), set()
-        for _, texts in _texts(batches):
-            rows = []
-            for t in texts:
-                if len(t) < length:
-                    continue
-                u = Units(t, length)
-                on, upto = u.halves()
-                near = np.flatnonzero(_passes(rims, on) | _passes(rims, upto))
-                if not len(near):
-                    continue
-                tkey, whole = _text_key(t), u.whole()
-                full = _passes(table, whole)
-                for i in near.tolist():
-                    lo, hi, a = int(u.first[i]), int(u.last[i]) + length, int(u.anchor[i])
-                    unit = t[lo:hi]
-                    if full[i]:  # may stand for several: one of each kind per task and place-less twin
-                        key = (unit, a - lo)
-                        if key in seen:
-                            continue
-                        if len(seen) > 30_000:
-                            seen.clear()
-                        seen.add(key)
-                    rows.append((t[a : a + GRAM], unit, a - lo, tkey, len(t), lo))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["lead", "unit", "offset", "tkey", "n_bytes", "lo"])
+        table = np.frombuffer(repeated.value, dtype=np.uint8) if repeated else None
+        for texts in _texts(batches, length):
+            found: dict[tuple, list[bytes]] = {}
+            for digest, t in texts:
+                size = len(t).to_bytes(8, "little")
+                for first, last, anchor, on, upto in units(t, length):
+                    near = np.ones(len(first), dtype=bool)
+                    if table is not None:
+                        near = _passes(table, _short(on, buckets)) & (on != 0) | _passes(table, _short(upto, buckets)) & (upto != 0)
+                    for i in np.flatnonzero(near).tolist():
+                        lo, a = int(first[i]), int(anchor[i])
+                        found.setdefault((t[a : a + GRAM], t[lo : int(last[i]) + length], a - lo), []).append(digest + size + lo.to_bytes(8, "little"))
+            if found:
+                yield _rows(found)
 
     return run
 
 
-def equal_windows(words: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Row numbers in runs of equal rows of ``words`` within a group: multikey refinement, one word at a time."""
-    rows = np.arange(len(group))
-    for w in range(words.shape[1]):
-        if not len(rows):
-            break
-        column = words[rows, w]
-        order = np.lexsort((column, group))
-        rows, group, column = rows[order], group[order], column[order]
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (column[1:] != column[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.concatenate([start, [len(rows)]]))
-        keep = np.repeat(size > 1, size)
-        group = np.cumsum(new)[keep]
-        rows = rows[keep]
-    return rows
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of a matrix of unsigned words: three-way partition word by word; few rows are sorted plainly."""
+    out, todo = [], [(np.arange(len(words)), 0)]
+    plain = words.astype(">u8")
+    while todo:
+        rows, w = todo.pop()
+        if w == words.shape[1] or len(rows) < 2:
+            out.append(rows)
+        elif len(rows) <= PLAIN:
+            keys = {i: plain[i, w:].tobytes() for i in rows.tolist()}
+            out.append(np.array(sorted(keys, key=keys.__getitem__)))
+        else:
+            column = words[rows, w]
+            pivot = np.partition(column[:: max(1, len(rows) // 9)], min(len(rows), 9) // 2)[min(len(rows), 9) // 2]
+            todo += [(rows[column > pivot], w), (rows[column == pivot], w + 1), (rows[column < pivot], w)]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def _order(contexts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each row of bytes within the sorted rows, and for each rank the common prefix with the rank before it (-1: of
+    another group)."""
+    k, n = contexts.shape
+    words = np.zeros((k, 1 + -(-n // 8)), dtype=np.uint64)
+    padded = np.zeros((k, (words.shape[1] - 1) * 8), dtype=np.uint8)
+    padded[:, :n] = contexts
+    words[:, 0], words[:, 1:] = group, padded.view(">u8")
+    order = multikey_quicksort(words)
+    differ = contexts[order[1:]] != contexts[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), n)
+    common = np.where(group[order[1:]] == group[order[:-1]], common, -1)
+    rank = np.empty(k, dtype=np.int64)
+    rank[order] = np.arange(k)
+    return rank, np.concatenate([[-1], common])
+
+
+def shared_windows(kinds: list[bytes], offset: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct units (bytes, offset of the anchor, group of equal leading bytes): least and largest offset of the anchor
+    in the windows that another unit of the group has too (0, 0: none). Offsets in between need not be shared, but the bytes
+    of such windows are covered by the two, since a unit has fewer than ``length`` windows."""
+    k, size = len(kinds), np.array([len(x) for x in kinds])
+    ahead, back = np.zeros((k, length), dtype=np.uint8), np.zeros((k, length), dtype=np.uint8)
+    for i, x in enumerate(kinds):
+        o = int(offset[i])
+        ahead[i, : len(x) - o] = np.frombuffer(x, dtype=np.uint8, offset=o)
+        back[i, :o] = np.frombuffer(x, dtype=np.uint8, count=o)[::-1]
+    (rank_a, common_a), (rank_b, common_b) = _order(ahead, group), _order(back, group)
+    low, high, room = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), size - offset
+    for p in range(length - GRAM + 1):  # offset of the anchor in the window
+        has = np.flatnonzero((offset >= p) & (room >= length - p))
+        if len(has) < 2:
+            continue
+        kind = np.cumsum(common_a < length - p)[rank_a[has]] * (k + 1) + np.cumsum(common_b < p)[rank_b[has]]
+        order = np.argsort(kind)
+        same = kind[order[1:]] == kind[order[:-1]]
+        some = has[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        low[some] = np.where(high[some] == 0, p + 1, low[some])
+        high[some] = p + 1
+    return low, high
+
+
+def _spans(places: bytes, lo: int, hi: int):
+    for i in range(0, len(places), 32):
+        start = int.from_bytes(places[i + 24 : i + 32], "little")
+        yield places[i : i + 16], int.from_bytes(places[i + 16 : i + 24], "little"), start + lo, start + hi
+
+
+_SPAN = "digest binary, n_bytes long, lo long, hi long"
+
+
+def _span_batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["digest", "n_bytes", "lo", "hi"])
 
 
 def _compare(length: int):
-    """A bucket's units, sorted by their anchors' leading bytes: windows that some other unit has as well."""
-
-    def spans(rows: list[dict]):
-        """``rows`` of whole groups; equal units count once, since those that repeat are covered already."""
-        units: dict = {}
-        for r in rows:
-            units.setdefault((r["lead"], r["salt"], r["salts"], r["unit"], r["offset"]), []).append(r)
-        kinds = list(units)
-        leads: dict = {}
-        lead = np.array([leads.setdefault(k[:2], len(leads)) for k in kinds])
-        shared = np.bincount(lead)[lead] > 1
-        if not shared.any():
-            return
-        kinds, lead = [k for k, yes in zip(kinds, shared, strict=True) if yes], lead[shared]
-        salt, salts, size, offset = (np.array(x) for x in zip(*((k[1], k[2], len(k[3]) - length + 1, k[4]) for k in kinds), strict=True))
-        blob = np.frombuffer(b"".join(k[3] for k in kinds), dtype=np.uint8)
-        begin = np.cumsum(size + length - 1) - (size + length - 1)
-        step = max(1, WINDOWS // len(kinds))
-        which, where = [], []
-        for first in range(0, length, step):  # offsets of the anchor in the window, some at a time
-            p = np.arange(first, min(length, first + step))
-            j = offset[:, None] - p[None, :]
-            at, column = np.nonzero((j >= 0) & (j < size[:, None]) & (p[None, :] % salts[:, None] == salt[:, None]))
-            if len(at) < 2:
-                continue
-            place = j[at, column]
-            window = np.zeros((len(at), -(-length // 8) * 8), dtype=np.uint8)
-            window[:, :length] = np.lib.stride_tricks.sliding_window_view(blob, length)[begin[at] + place]
-            k = equal_windows(window.view(np.uint64), lead[at] * length + p[column])
-            which.append(at[k])
-            where.append(place[k])
-        if not which:
-            return
-        unit, place = np.concatenate(which), np.concatenate(where)
-        order = np.lexsort((place, unit))
-        unit, place = unit[order], place[order]
-        new = np.ones(len(unit), dtype=bool)
-        new[1:] = (unit[1:] != unit[:-1]) | (place[1:] - place[:-1] > length)
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(unit)]])[: len(first)] - 1
-        for lo, hi, u in zip(place[first].tolist(), (place[last] + length).tolist(), unit[first].tolist(), strict=True):
-            for r in units[kinds[u]]:
-                yield r["tkey"], r["n_bytes"], r["lo"] + lo, r["lo"] + hi
-
-    def merged(found):
-        out = {}
-        for tkey, n, lo, hi in sorted(found):
-            runs = out.setdefault((tkey, n), [])
-            if runs and lo <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], hi)
-            else:
-                runs.append([lo, hi])
-        return [(t, n, lo, hi) for (t, n), runs in out.items() for lo, hi in runs]
+    """Units sorted by (lead, unit, offset) to spans that repeat."""
 
     def run(batches):
-        group, key = [], None
+        kinds: list[tuple] = []  # distinct units not known to repeat as a whole: lead, bytes, offset, places
+        spans: list[tuple] = []
+        now = places = None  # the unit at hand, and its place as long as it has only one
 
         def close():
-            rows = merged(spans(group))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["tkey", "n_bytes", "lo", "hi"])
+            leads: dict[bytes, int] = {}
+            group = np.array([leads.setdefault(x[0], len(leads)) for x in kinds], dtype=np.int64)
+            several = np.bincount(group)[group] > 1
+            some = [x for x, yes in zip(kinds, several, strict=True) if yes]
+            if some:
+                low, high = shared_windows([x[1] for x in some], np.array([x[2] for x in some]), group[several], length)
+                for x, p, q in zip(some, low.tolist(), high.tolist(), strict=True):
+                    if q and x[3]:
+                        spans.extend(_spans(x[3], x[2] - q + 1, x[2] - p + 1 + length))
+            kinds.clear()
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["lead"], r["salt"]) != key:
-                    if len(group) > UNITS:
-                        yield close()
-                        group.clear()
-                    key = (r["lead"], r["salt"])
-                group.append(r)
-        if group:
-            yield close()
+            for lead, unit, offset, where in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (lead, unit, offset) == now:
+                    spans.extend(_spans(where, 0, len(unit)))
+                    if places:  # the first row of this unit stood alone: it repeats as well
+                        spans.extend(_spans(places, 0, len(unit)))
+                        places = None
+                        kinds[-1] = (*now, b"")
+                else:
+                    if now and lead != now[0] and len(kinds) > UNITS:
+                        close()
+                    now, places = (lead, unit, offset), where if len(where) == 32 else None
+                    if not places:
+                        spans.extend(_spans(where, 0, len(unit)))
+                    kinds.append((*now, places or b""))
+                if len(spans) > 50_000:
+                    yield _span_batch(spans)
+                    spans = []
+        if kinds:
+            close()
+        yield _span_batch(spans)
+
+    return run
+
+
+def _classes(length: int):
+    """Units of heavy anchors, per class of offsets that they have windows for: key (lead, class and the bytes that all windows
+    of the class share there), the bytes of the class, offset of the anchor in them, places."""
+
+    def run(batches):
+        for batch in batches:
+            found: dict[tuple, list[bytes]] = {}
+            for lead, unit, offset, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                least = max(0, length - (len(unit) - offset))
+                for c in range(least // CLASS, offset // CLASS + 1):
+                    lo, hi = offset - min(offset, (c + 1) * CLASS - 1), min(len(unit), offset + length - c * CLASS)
+                    core = unit[offset - c * CLASS if c * CLASS <= offset else 0 : offset + length - (c + 1) * CLASS + 1]
+                    start = [places[i : i + 24] + (int.from_bytes(places[i + 24 : i + 32], "little") + lo).to_bytes(8, "little") for i in range(0, len(places), 32)]
+                    found.setdefault((lead + c.to_bytes(2, "little") + hashlib.blake2b(core, digest_size=16).digest(), unit[lo:hi], offset - lo), []).extend(start)
+            if found:
+                yield _rows(found)
+
+    return run
+
+
+def _compare_classes(length: int):
+    """Rows sorted by key: every window against the first of its kind under the key, by all its bytes."""
+
+    def run(batches):
+        now, firsts, spans = None, {}, []
+        for batch in batches:
+            for key, unit, offset, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != now:
+                    now, firsts = key, {}
+                c, covered = int.from_bytes(key[GRAM : GRAM + 2], "little"), []
+                for p in range(c * CLASS, (c + 1) * CLASS):
+                    lo = offset - p
+                    if lo < 0 or lo + length > len(unit):
+                        continue
+                    window, alone = unit[lo : lo + length], len(places) == 32
+                    if window not in firsts:
+                        firsts[window] = (places, lo) if alone else None
+                        if alone:
+                            continue
+                    first = firsts[window]
+                    if first:
+                        spans.extend(_spans(first[0], first[1], first[1] + length))
+                        firsts[window] = None
+                    covered.append(lo)
+                if covered:  # these windows overlap
+                    spans.extend(_spans(places, min(covered), max(covered) + length))
+                if len(spans) > 50_000:
+                    yield _span_batch(spans)
+                    spans = []
+        yield _span_batch(spans)
 
     return run
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """tkey, n_bytes, lo, hi: byte spans that repeat, by text; they may overlap. ``texts``: one string column."""
+    """digest, n_bytes, lo, hi: byte spans that repeat, by text; they may overlap. ``texts``: one string column. Texts that
+    stand in several rows are told apart by the caller."""
     spark = texts.sparkSession
     size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 30 // BUCKET_KEYS + 1)
+    buckets = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 45 // BUCKET_KEYS + 1))
     packed = texts.mapInArrow(_packed(length, buckets), "bucket int, keys binary")
-    twice = staged(packed.groupBy("bucket").applyInArrow(_twice, "keys binary"), "twice")
-    bits = spark.sparkContext.broadcast(key_filter(twice))
-    hits = staged(texts.mapInArrow(_hits(length, bits), "k1 long, k2 long, tkey long, n_bytes long, lo long, hi long, on long, upto long, rims binary"), "hits")
-    units = hits.filter("rims IS NULL")
-    counts = staged(units.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n"), F.min("tkey").alias("tkey"), F.min("n_bytes").alias("n_bytes"), F.min("on").alias("on"), F.min("upto").alias("upto")), "units")
-    total = max(1, units.count())
-    keyed = units.withColumn("key", F.struct("k1", "k2")).select("key", "tkey", "n_bytes", "lo", "hi")
-    often = counts.filter("_n > 1").select(F.struct("k1", "k2").alias("key"), "_n", F.lit(True).alias("again"))
-    covered = grouped_join(keyed, often, "key", total).filter("again").select("tkey", "n_bytes", "lo", "hi").distinct()
-
-    def alone(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for x in (batch.column(0), batch.column(1))], pa.binary())], names=["keys"])
-
-    rims = hits.filter("rims IS NOT NULL").select(F.col("rims").alias("keys")).unionByName(counts.filter("_n = 1").select("on", "upto").mapInArrow(alone, "keys binary"))
-    rim_bits = spark.sparkContext.broadcast(key_filter(rims))
-    context = staged(texts.mapInArrow(_contexts(length, bits, rim_bits), "lead binary, unit binary, offset int, tkey long, n_bytes long, lo long"), "contexts")
-    leads = context.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    every = max(1, context.count())
-    hot = staged(leads.filter(F.col("n") * HEAVY_SHARE > every).select("lead", F.lit(SALTS).alias("salts")), "hot")
-    spread = context.join(F.broadcast(hot), "lead", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    ordered = spread.repartitionByRange("lead", "salt").sortWithinPartitions("lead", "salt")
-    rim_spans = ordered.mapInArrow(_compare(length), "tkey long, n_bytes long, lo long, hi long")
-    return covered.unionByName(rim_spans)
+    twice = staged(packed.groupBy("bucket").applyInArrow(_twice, "key long"), "twice")
+    count = twice.count()
+    repeated = spark.sparkContext.broadcast(row_filter(twice, count)) if count <= FILTER_KEYS else None
+    freed(twice)
+    suffixes = staged(texts.mapInArrow(_suffixes(length, buckets, repeated), _SUFFIX), "suffixes")
+    total = suffixes.count()
+    most = max(UNITS, min(total // HEAVY_SHARE, HEAVY_UNITS))
+    heavy = staged(suffixes.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("lead"), "heavy")
+    leads = heavy.count()
+    hot = F.broadcast(heavy) if leads <= BROADCAST_ROWS else heavy
+    order = ["lead", "unit", "offset"]
+    light = suffixes.join(hot, "lead", "left_anti").repartitionByRange("lead").sortWithinPartitions(*order)
+    spans = light.select(*order, "places").mapInArrow(_compare(length), _SPAN)
+    if leads:
+        dealt = suffixes.join(hot, "lead", "left_semi").select(*order, "places").mapInArrow(_classes(length), _SUFFIX)
+        dealt = staged(dealt, "classes").repartitionByRange("lead").sortWithinPartitions("lead")
+        spans = spans.unionByName(dealt.mapInArrow(_compare_classes(length), _SPAN))
+    found = staged(spans.distinct(), "spans")
+    freed(suffixes)
+    return found
 
 
 def _runs(spans: list[dict]) -> list[tuple[int, int]]:
@@ -408,15 +396,17 @@ def _runs(spans: list[dict]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, removed (array of byte spans), kept (the remaining bytes) for every row of ``docs`` (doc_id, text)."""
     src = pick(docs, doc_id="long", text="string")
-    spans = staged(repeated_spans(src.select("text"), length), "spans")
-    per = spans.groupBy("tkey", "n_bytes").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(src.select("text"), length)
+    per = spans.groupBy(F.struct("digest", "n_bytes").alias("key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
-    keyed = src.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tkey", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    keyed = keyed.withColumn("key", F.struct("tkey", "n_bytes"))
+    keyed = src.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    keyed = keyed.withColumn("key", F.struct(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "n_bytes"))
     rows = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "texts")
     total = max(1, src.count())
-    table = per.withColumn("key", F.struct("tkey", "n_bytes")).join(rows, "key", "left").select("key", "spans", F.coalesce("_n", F.lit(1)).alias("_n"))
-    joined = grouped_join(keyed.select("doc_id", "text", "n_bytes", "key"), staged(table, "by_text"), "key", total)
+    whole = F.when((F.col("_n") > 1) & (F.col("key.n_bytes") >= length), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("key.n_bytes").alias("hi"))))
+    table = staged(per.join(rows, "key", "full_outer").select("key", F.coalesce(whole, "spans").alias("spans"), F.coalesce("_n", F.lit(1)).alias("_n")), "by_text")
+    freed(rows, spans)
+    joined = grouped_join(keyed.select("doc_id", "text", "n_bytes", "key"), table, "key", total)
 
     def cut(batches):
         for batch in byte_batches(batches, 1):

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; the memo starts anew when it is full.
-MEMO = 500_000
+#: Pieces that a worker remembers; of a full memo stay those that several batches used, at most half.
+MEMO = 250_000
 #: Pieces that are encoded in one call.
-CALL = 20_000
+CALL = 4_000
 #: Texts that go to the tokenizer whole: other white space than blanks and line feeds, and runs of it but for two line feeds
 #: (where white space is kept); the mark itself. A special token, in any case, makes a text rare as well.
 _RARE_BLANKS = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n\n|\n\n\z|\A\n|\A | \z|\x00"
@@ -46,9 +46,19 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.start, self.size, self.used = (np.zeros(0, dtype=np.int32) for _ in range(3))
         self.pool = np.zeros(0, dtype=self.dtype)
 
+    def _shrink(self) -> None:
+        keep = np.argsort(-self.used, kind="stable")[: MEMO // 2]
+        keep = np.sort(keep[self.used[keep] > 1])
+        names = list(self.known)
+        size = self.size[keep]
+        ends = np.cumsum(size, dtype=np.int64)
+        self.pool = self.pool[np.repeat(self.start[keep] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.known = {names[i]: j for j, i in enumerate(keep.tolist())}
+        self.start, self.size, self.used = (ends - size).astype(np.int32), size, self.used[keep] // 2
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -77,8 +87,9 @@ class PieceEncoder:
             parts.append((odd, np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)))
         for names, ids, size in parts:
             self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
+            self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
+            self.size = np.concatenate([self.size, size.astype(np.int32)])
+            self.used = np.concatenate([self.used, np.zeros(len(size), dtype=np.int32)])
             self.pool = np.concatenate([self.pool, ids])
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
@@ -86,12 +97,14 @@ class PieceEncoder:
         at = list(map(self.known.get, pieces))
         if None in at:
             missing = [x for x, i in zip(pieces, at, strict=True) if i is None]
-            if self.known and len(self.known) + len(missing) > MEMO:
-                self._forget()
-                missing = pieces
+            if len(self.known) + len(missing) > MEMO:
+                self._shrink()
+                missing = [x for x in pieces if x not in self.known]
             self._learn(missing)
             at = list(map(self.known.get, pieces))
-        return np.array(at, dtype=np.int64)
+        found = np.array(at, dtype=np.int32)
+        self.used[found] += 1
+        return found
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without rare places, one after the other, and the number of each text's ids."""
@@ -107,7 +120,7 @@ class PieceEncoder:
         names = coded.dictionary.to_pylist()
         slot = self._numbers(names)[coded.indices.to_numpy()]
         size = self.size[slot]
-        ends = np.concatenate([[0], np.cumsum(size)])
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self.pool[np.repeat(self.start[slot] - ends[:-1], size) + np.arange(ends[-1])]
         return ids, np.diff(ends[edges - edges[0]])
 
@@ -160,7 +173,7 @@ def binary_array(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def byte_batches(batches, text_column: int, most: int = 8 << 20):
+def byte_batches(batches, text_column: int, most: int = 4 << 20):
     """Arrow batches cut so that each slice holds few MB of text."""
     for batch in batches:
         if not batch.num_rows:
@@ -170,3 +183,4 @@ def byte_batches(batches, text_column: int, most: int = 8 << 20):
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for lo, hi in zip(edges, edges[1:], strict=False):
             yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()  # idle workers should not hold on to a batch's buffers

@@ -272,10 +272,65 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_equal_windows():
-    rows = np.array([[1, 2], [1, 3], [1, 2], [9, 9]], dtype=np.uint64)
-    assert sorted(suffix_dedup.equal_windows(rows, np.zeros(4, dtype=int)).tolist()) == [0, 2]
-    assert suffix_dedup.equal_windows(rows, np.array([0, 0, 1, 1])).tolist() == []
+def removed_by_hand(texts, length):
+    """(bytes, removed, kept) by counting every window of every text."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append((len(t), sum(gone), bytes(x for x, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_suffix_dedup_hard_cases(spark, monkeypatch, heavy):
+    """A passage in a third of all rows, periodic and very long texts, copies, repeats of 199 to 201 bytes; also with every
+    anchor heavy, with slices shorter than the texts, and without a filter."""
+    rng = random.Random(12)
+    if heavy:
+        monkeypatch.setattr(suffix_dedup, "UNITS", 1)
+        monkeypatch.setattr(suffix_dedup, "HEAVY_UNITS", 1)
+        monkeypatch.setattr(suffix_dedup, "FILTER_KEYS", 0)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefgh é", k=n))
+
+    passage, short = noise(700), noise(199)
+    texts = [noise(rng.randint(0, 400)) + passage + noise(rng.randint(0, 400)) for _ in range(30)]
+    texts += [noise(300) + short + "x" + noise(200), short, noise(100) + short + "y"]
+    for n in (198, 199, 200, 201, 202):
+        part = noise(n)
+        texts += [noise(150) + part + noise(50), "@" + part, noise(3) + part + "#"]
+    texts += ["a" * 900, "ab" * 300, "a" * 199, "abc" * 70 + "d", noise(40_000) + passage, None, ""] + [noise(500)] * 4 + [noise(900) for _ in range(15)]
+    long = noise(2000)
+    texts += [long[:1500] + "!" + long[1500:], long, long[:700] + "?" + long[701:]]
+    data = list(enumerate(texts))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    want = removed_by_hand([(t or "").encode() for t in texts], 200)
+    for r in got:
+        assert (r["n_bytes"], sum(x["hi"] - x["lo"] for x in r["removed"]), bytes(r["kept"])) == want[r["doc_id"]], r["doc_id"]
+    assert len(got) == len(texts)
+
+
+def test_units_by_slices(monkeypatch):
+    """Units do not depend on the slices."""
+    text = bytes(random.Random(2).choices(b"abcd ", k=9000)) + b"z" * 700
+    whole = [np.concatenate(x) for x in zip(*suffix_dedup.units(text, 200), strict=True)]
+    monkeypatch.setattr(suffix_dedup, "SLICE", 777)
+    parts = [np.concatenate(x) for x in zip(*suffix_dedup.units(text, 200), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert whole[0][0] == 0 and whole[1][-1] == len(text) - 200 and (whole[0][1:] == whole[1][:-1] + 1).all()
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    for high in (3, 2**63):
+        rows = rng.integers(0, high, (700, 4), dtype=np.uint64)
+        order = suffix_dedup.multikey_quicksort(rows)
+        assert sorted(order.tolist()) == list(range(700)) and [tuple(r) for r in rows[order].tolist()] == sorted(tuple(r) for r in rows.tolist())
 
 
 def test_secrets(spark, empty):
