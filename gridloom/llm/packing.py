@@ -31,10 +31,13 @@ from gridloom.llm.tokens import binary_array, byte_batches, encoder
 SEQUENCE = 1024
 END_ID = 0
 DTYPE = "<u2"
-#: Column generation ends when the sequences are within this share of the lower bound, or after so many pricing rounds;
-#: what the patterns then leave over goes to the stream.
-GAP = 5e-3
-ROUNDS = 50
+#: Column generation ends when the sequences are within this share of the lower bound.
+GAP = 1e-3
+STALL = 12
+#: What a tail costs that is left to the stream, in shares of a sequence.
+LOOSE = 1.02
+#: How far prices are drawn from the duals towards length / size.
+DRAW = 0.5
 
 
 def tokenised(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -88,62 +91,156 @@ def _pattern(lengths: np.ndarray, last: np.ndarray, size: int, first: int) -> di
     return dict(found)
 
 
+def _fill(have: np.ndarray, room: int, least: float) -> dict[int, int] | None:
+    """Up to three lengths of ``have`` (amount per length) that add up to ``room``, as plentiful as can be; ``least`` each."""
+    if room == 0:
+        return {}
+    best, found = 0.0, None
+    if have[room] >= least:
+        best, found = have[room], {room: 1}
+
+    def pair(room: int, have: np.ndarray) -> tuple[float, int]:
+        a = np.arange(1, room // 2 + 1)
+        amount = np.minimum(have[a], have[room - a])
+        if room % 2 == 0 and len(a):
+            amount[-1] = have[room // 2] / 2
+        i = int(np.argmax(amount)) if len(a) else 0
+        return (float(amount[i]), int(a[i])) if len(a) else (0.0, 0)
+
+    amount, a = pair(room, have)
+    if amount >= max(least, best * 1.01):
+        best, found = amount, ({a: 2} if 2 * a == room else {a: 1, room - a: 1})
+    if found is None:
+        plenty = np.flatnonzero(have[:room] >= 2 * least)
+        for c in plenty[np.argsort(-have[plenty], kind="stable")][:16].tolist():
+            left = have.copy()
+            left[c] -= least
+            amount, a = pair(room - c, left)
+            if amount >= least and min(amount, have[c] / 2) > best:
+                best, found = min(amount, have[c] / 2), {}
+                for x in (a, room - c - a, c):
+                    found[x] = found.get(x, 0) + 1
+    return found
+
+
+def _greedy(need: dict[int, float], size: int, whole: bool, waste: int) -> list[tuple[dict[int, int], float, int]]:
+    """Patterns for ``need``, from the longest length on: (pattern, uses, a length that is used up). ``whole``: whole uses of
+    patterns with at most ``waste`` unfilled tokens; lengths for which there is none are left over."""
+    have, out = np.zeros(size + 1), []
+    for x, n in need.items():
+        have[x] = n
+    least = 1.0 if whole else 1e-9
+    while len(some := np.flatnonzero(have > (0.5 if whole else 0))):
+        longest = int(some[-1])
+        found = None
+        for w in range(waste + 1):
+            for k in range(max(1, -(-(size - w) // longest) - 3), (size - w) // longest + 1):  # at most three more fit the rest
+                if have[longest] < k * least:
+                    break
+                left = have.copy()
+                left[longest] = max(0.0, left[longest] / k - 1) if whole else 0.0
+                more = _fill(left, size - w - k * longest, least)
+                if more is not None:
+                    found = {longest: k}
+                    for x, n in more.items():
+                        found[x] = found.get(x, 0) + n
+                    break
+            if found and all(have[x] >= n * least for x, n in found.items()):
+                break
+            found = None
+        if found is None:
+            if whole:
+                have[longest] = 0
+                continue
+            found = {longest: size // longest}
+        uses, last = min((have[x] / n, x) for x, n in found.items())
+        uses = float(int(uses + 1e-9)) if whole else uses
+        for x, n in found.items():
+            have[x] = max(0.0, have[x] - uses * n)
+        if not whole:
+            have[last] = 0
+        out.append((found, uses, last))
+    return out
+
+
 def patterns(histogram: dict[int, int], size: int = SEQUENCE, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """The linear program's patterns ({length: copies}, uses). Driver work over at most ``size`` - 1 lengths.
 
-    Every pricing yields a pattern for each length, and those that pay under the present duals enter the basis. Duals are
-    kept in a box around length / size that widens from round to round, with a little seeded noise against ties."""
+    A tail may be left to the stream at LOOSE times its share of a sequence; these are the first basis. So no price exceeds
+    LOOSE * length / size, and prices stay near the duals' final values from the start. A greedy cover enters first; then
+    every pricing yields a pattern for each length, and those that pay under the present duals enter. Prices are the duals
+    drawn towards length / size, or where these find nothing the duals themselves; it ends within ``gap`` of the lower
+    bound, when no pattern pays, or when STALL pricings in a row have saved less than ``gap``."""
     lengths = np.array(sorted(histogram))
     if not len(lengths):
         return []
     need = np.array([histogram[x] for x in lengths.tolist()], dtype=float)
-    m, ideal, rng = len(lengths), lengths / size, np.random.default_rng(size)
-    basis = [{i: size // int(x)} for i, x in enumerate(lengths)]
-    inverse = np.diag([1.0 / b[i] for i, b in enumerate(basis)])
-    uses = inverse @ need
-    bound = need @ ideal
-    for turn in range(ROUNDS):
-        box = 0.02 + 0.3 * turn / ROUNDS
-        worth = np.clip(inverse.sum(axis=0), ideal * (1 - box), ideal * (1 + box)) * (1 + 0.01 * rng.standard_normal(m))
+    place, ideal = {x: i for i, x in enumerate(lengths.tolist())}, lengths / size
+    basis: list[dict | None] = [None] * len(lengths)
+    cost, inverse, uses = LOOSE * ideal, np.eye(len(lengths)), need.copy()
+    duals, bound, draw, path = cost.copy(), 0.0, DRAW, []
+
+    def enter(column: dict[int, int]) -> bool:
+        nonlocal uses, inverse, duals
+        at, copies = np.array(list(column)), np.array(list(column.values()), dtype=float)
+        saving = duals[at] @ copies - 1
+        if saving <= 1e-7:
+            return False
+        direction = inverse[:, at] @ copies
+        ratio = np.where(direction > 1e-9, uses / np.where(direction > 1e-9, direction, 1), np.inf)
+        out = int(np.argmin(ratio))
+        if not np.isfinite(ratio[out]):
+            return False
+        uses = np.maximum(0.0, uses - ratio[out] * direction)
+        uses[out] = ratio[out]
+        row = inverse[out] / direction[out]
+        inverse -= np.outer(direction, row)
+        inverse[out] = row
+        duals = duals - saving * row
+        basis[out], cost[out] = column, 1.0
+        return True
+
+    for pattern, _, _ in _greedy(histogram, size, False, size // 128):
+        enter({place[x]: k for x, k in pattern.items()})
+    while True:
+        duals = cost @ inverse
+        worth = draw * ideal + (1 - draw) * duals
         best, last = _price(lengths, worth, size)
         bound = max(bound, need @ worth / max(1.0, best[size]))
-        for first in range(m - 1, -1, -1):
-            entering = _pattern(lengths, last, size, first)
-            at, copies = np.array(list(entering)), np.array(list(entering.values()), dtype=float)
-            if inverse[:, at].sum(axis=0) @ copies <= 1 + 1e-7:
-                continue
-            direction = inverse[:, at] @ copies
-            ratio = np.where(direction > 1e-9, uses / np.where(direction > 1e-9, direction, 1), np.inf)
-            out = int(np.argmin(ratio))
-            if not np.isfinite(ratio[out]):
-                continue
-            uses = np.maximum(0.0, uses - ratio[out] * direction)
-            uses[out] = ratio[out]
-            row = inverse[out] / direction[out]
-            inverse -= np.outer(direction, row)
-            inverse[out] = row
-            basis[out] = entering
-        if uses.sum() <= bound * (1 + gap):
+        path.append(float(cost @ uses))
+        if path[-1] <= bound * (1 + gap) or (len(path) > STALL and path[-1 - STALL] - path[-1] < gap * path[-1]):
+            break
+        entered = sum(enter(_pattern(lengths, last, size, first)) for first in range(len(lengths) - 1, -1, -1))
+        if not entered and draw == 0:
             break
-    return [({int(lengths[i]): k for i, k in b.items()}, float(u)) for b, u in zip(basis, uses, strict=True) if u > 0]
+        draw = DRAW if entered else 0.0
+    return [({int(lengths[i]): k for i, k in b.items()}, float(u)) for b, u in zip(basis, uses, strict=True) if b and u > 0]
 
 
 def slots(histogram: dict[int, int], size: int = SEQUENCE, gap: float = GAP) -> tuple[list[tuple], list[tuple], int, int]:
     """(length, first_rank, end_rank, copies, first_sequence, offset) rows; (length, first_loose_rank, stream_start) rows;
-    sequences of patterns; sequences of the stream."""
+    sequences of patterns; sequences of the stream.
+
+    Uses are rounded down; what that leaves is covered greedily by whole patterns. Patterns may leave size / 128 unfilled."""
     used, table, sequences = defaultdict(int), [], 0
-    for pattern, uses in sorted(patterns(histogram, size, gap), key=lambda p: sorted(p[0].items(), reverse=True)):
-        if sum(x * k for x, k in pattern.items()) != size:
-            continue
-        times = min([int(uses + 1e-6), *((histogram[x] - used[x]) // k for x, k in pattern.items())])
+
+    def assign(pattern: dict[int, int], times: int) -> None:
+        nonlocal sequences
+        times = min([times, *((histogram[x] - used[x]) // k for x, k in pattern.items())])
         if times <= 0:
-            continue
+            return
         offset = 0
         for x, k in sorted(pattern.items(), reverse=True):
             table.append((x, used[x], used[x] + times * k, k, sequences, offset))
             used[x] += times * k
             offset += x * k
         sequences += times
+
+    for pattern, uses in sorted(patterns(histogram, size, gap), key=lambda p: sorted(p[0].items(), reverse=True)):
+        if size - sum(x * k for x, k in pattern.items()) <= size // 128:
+            assign(pattern, int(uses + 1e-6))
+    for pattern, uses, _ in _greedy({x: n - used[x] for x, n in histogram.items()}, size, True, size // 128):
+        assign(pattern, int(uses))
     loose, start = [], 0
     for x in sorted(histogram):
         loose.append((x, used[x], start))

@@ -249,11 +249,24 @@ def test_packing(docs, empty):
 
 
 def test_cutting_stock():
-    found = packing.patterns({300: 100, 400: 50, 324: 100, 700: 10})
+    need = {300: 100, 400: 50, 324: 100, 700: 10}
+    found = packing.patterns(need)
     assert all(sum(x * k for x, k in p.items()) <= 1024 for p, _ in found)
-    for length, need in {300: 100, 400: 50, 324: 100, 700: 10}.items():
-        assert abs(sum(p.get(length, 0) * u for p, u in found) - need) < 1e-6
-    assert sum(u for _, u in found) < 10 + 75 + 10
+    for length, n in need.items():
+        assert sum(p.get(length, 0) * u for p, u in found) <= n + 1e-6
+    assert abs(sum(u for p, u in found if p == {300: 1, 324: 1, 400: 1}) - 50) < 1e-6 and abs(sum(u for p, u in found if p == {324: 1, 700: 1}) - 10) < 1e-6
+    rng = random.Random(9)
+    for n in (1, 40, 3000):
+        need = Counter(min(1023, int(rng.lognormvariate(5.5, 0.8)) + 1) for _ in range(n))
+        table, loose, sequences, stream = packing.slots(need)
+        taken = Counter()
+        for length, first, end, copies, start, _ in table:
+            assert first == taken[length] and (end - first) % copies == 0 and start < sequences
+            taken[length] += end - first
+        assert all(first == taken[length] <= need[length] for length, first, _ in loose)
+        tokens, rest = sum(x * k for x, k in need.items()), sum(x * (need[x] - taken[x]) for x in need)
+        assert stream == -(-rest // 1024) and sequences * 1024 - (tokens - rest) <= sequences * 8
+        assert n < 3000 or rest < 0.1 * tokens
 
 
 def test_suffix_dedup(docs, empty):
