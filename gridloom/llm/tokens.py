@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; of a full memo stay those that several batches used, at most half.
-MEMO = 250_000
+MEMO = 400_000
 #: Pieces that are encoded in one call.
-CALL = 4_000
+CALL = 8_000
 #: Texts that go to the tokenizer whole: other white space than blanks and line feeds, and runs of it but for two line feeds
 #: (where white space is kept); the mark itself. A special token, in any case, makes a text rare as well.
 _RARE_BLANKS = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n\n|\n\n\z|\A\n|\A | \z|\x00"
@@ -45,64 +45,64 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.start, self.size, self.used = (np.zeros(0, dtype=np.int32) for _ in range(3))
         self.pool = np.zeros(0, dtype=self.dtype)
 
     def _shrink(self) -> None:
         keep = np.argsort(-self.used, kind="stable")[: MEMO // 2]
         keep = np.sort(keep[self.used[keep] > 1])
-        names = list(self.known)
         size = self.size[keep]
         ends = np.cumsum(size, dtype=np.int64)
         self.pool = self.pool[np.repeat(self.start[keep] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        self.known = {names[i]: j for j, i in enumerate(keep.tolist())}
+        self.known = self.known.take(pa.array(keep))
         self.start, self.size, self.used = (ends - size).astype(np.int32), size, self.used[keep] // 2
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces without the separator in them, and the number of each piece's ids."""
+    def _joined(self, pieces: pa.Array, blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without the separator in them, ``blank`` before each, and the number of each piece's ids."""
         ids, size = [], []
         for lo in range(0, len(pieces), CALL):
-            found = np.array(self.tokenizer.encode_batch_fast([self.between.join(pieces[lo : lo + CALL]) + self.between], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            some = pieces.slice(lo, CALL)
+            text = blank + pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), self.between + blank)[0].as_py() + self.between
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cut = np.flatnonzero(found == self.cut)
             size.append(np.diff(cut, prepend=-1) - 1)
             ids.append(found[found != self.cut])
         return np.concatenate(ids), np.concatenate(size)
 
-    def _learn(self, pieces: list[str]) -> None:
-        mark = self.between.strip(" ")
+    def _learn(self, pieces: pa.Array) -> None:
+        odd = pc.match_substring(pieces, self.between.strip(" "))
+        plain = pieces.filter(pc.invert(odd))
         if self.keeps_blanks:
-            bare, rest = [x for x in pieces if x[0] == "\0" and x != "\0\n"], [x for x in pieces if x[0] != "\0"]
-            odd = [x for x in pieces if x == "\0\n"]
-            groups = [(bare, [x[1:] for x in bare]), (rest, [" " + x for x in rest])]
+            marked = pc.starts_with(plain, "\0")
+            bare, rest = plain.filter(marked), plain.filter(pc.invert(marked))
+            groups = [(bare, pc.utf8_slice_codeunits(bare, 1), ""), (rest, rest, " ")]
         else:
-            odd, rest = [x for x in pieces if mark in x], [x for x in pieces if mark not in x]
-            groups = [(rest, rest)]
-        parts = [(names, *self._joined(texts)) for names, texts in groups if names]
-        if odd:
-            found = self.whole([x.removeprefix("\0") for x in odd])
+            groups = [(plain, plain, "")]
+        parts = [(names, *self._joined(texts, blank)) for names, texts, blank in groups if len(names)]
+        if (odd := pieces.filter(odd)) and len(odd):
+            found = self.whole([x.removeprefix("\0") for x in odd.to_pylist()])
             parts.append((odd, np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)))
         for names, ids, size in parts:
-            self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+            self.known = pa.concat_arrays([self.known, names])
             self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
             self.size = np.concatenate([self.size, size.astype(np.int32)])
             self.used = np.concatenate([self.used, np.zeros(len(size), dtype=np.int32)])
             self.pool = np.concatenate([self.pool, ids])
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """Places of the distinct ``pieces`` in the memo; what it lacks is encoded."""
-        at = list(map(self.known.get, pieces))
-        if None in at:
-            missing = [x for x, i in zip(pieces, at, strict=True) if i is None]
-            if len(self.known) + len(missing) > MEMO:
+        at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count:
+            if len(self.known) + at.null_count > MEMO:
                 self._shrink()
-                missing = [x for x in pieces if x not in self.known]
-            self._learn(missing)
-            at = list(map(self.known.get, pieces))
-        found = np.array(at, dtype=np.int32)
+                at = pc.index_in(pieces, value_set=self.known)
+            self._learn(pieces.filter(at.is_null()))
+            at = pc.index_in(pieces, value_set=self.known)
+        found = at.to_numpy(zero_copy_only=False)
         self.used[found] += 1
         return found
 
@@ -117,8 +117,7 @@ class PieceEncoder:
         split = pc.split_pattern(texts, " ")
         edges = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        slot = self._numbers(names)[coded.indices.to_numpy()]
+        slot = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         size = self.size[slot]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self.pool[np.repeat(self.start[slot] - ends[:-1], size) + np.arange(ends[-1])]
