@@ -7,8 +7,8 @@ gradient steps on the conditional log-likelihood (forward-backward) over ``label
 pages of many layouts whose blocks carry their labels. Viterbi decoding labels the blocks of a page; article blocks are
 joined. Training is driver work of fixed size; the weights travel with the tasks.
 
-Cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; scripts, styles, comments and the
-head are no blocks; a page without article blocks gives an empty text; pages repeated in the table are repeated.
+Cases: null or empty html gives an empty text; unclosed and stray tags and odd quotes are tolerated, markup nested to any
+depth takes linear time; scripts, styles, comments, choice lists and the head are no blocks; formulas stay in their block; a page without article blocks gives an empty text; pages repeated in the table are repeated.
 """
 
 from __future__ import annotations
@@ -24,44 +24,90 @@ from pyspark.sql import DataFrame
 from gridloom.llm.common import pick
 from gridloom.llm.tokens import byte_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.DOTALL)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "object"}
+_INLINE |= {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd"}
 _ENDS_P = {"p", "div", "ul", "ol", "li", "table", "section", "article", "aside", "nav", "header", "footer", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "dl", "hr", "address", "fieldset"}
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("ancestors", "label", "linked", "text")
+    __slots__ = ("label", "linked", "own", "tags", "text", "words")
 
-    def __init__(self, text: str, ancestors: tuple, linked: int, label: str | None):
-        self.text, self.ancestors, self.linked, self.label = text, ancestors, linked, label
+    def __init__(self, text: str, tags: list[str], words: list[str], own: str | None, linked: int, label: str | None):
+        self.text, self.tags, self.words, self.own, self.linked, self.label = text, tags, words, own, linked, label
+
+
+class _Open:
+    """The open elements, with what a block needs of them: distinct tags and words, so that deep markup costs no more than
+    the distinct names in it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple, str | None]] = []
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.outer: list[int] = []  # places of block-level elements
+        self.labels: list[tuple[int, str]] = []
+        self.tags: dict[str, int] = {}  # of block-level elements, with their number
+        self.words: dict[str, int] = {}
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def push(self, tag: str, words: tuple, label: str | None) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, words, label))
+        self.places.setdefault(tag, []).append(at)
+        if label:
+            self.labels.append((at, label))
+        if tag not in _INLINE:
+            self.outer.append(at)
+            self.tags[tag] = self.tags.get(tag, 0) + 1
+            for w in words:
+                self.words[w] = self.words.get(w, 0) + 1
+
+    def cut(self, at: int) -> None:
+        """Close all elements from place ``at`` on."""
+        while len(self.stack) > at:
+            tag, words, label = self.stack.pop()
+            self.places[tag].pop()
+            if label:
+                self.labels.pop()
+            if tag not in _INLINE:
+                self.outer.pop()
+                for counts, names in ((self.tags, (tag,)), (self.words, words)):
+                    for x in names:
+                        counts[x] -= 1
+                        if not counts[x]:
+                            del counts[x]
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. An ancestor is (tag, words of its class, id and role, data-label)."""
-    stack: list[tuple[str, tuple, str | None]] = []
+    """Leaf blocks in page order, with the tags of their ancestors, the words of their class, id and role, and data-label."""
+    opened = _Open()
     found: list[Block] = []
     parts: list[str] = []
-    linked, at, raw, link = 0, 0, None, 0
+    linked, at, raw = 0, 0, None
 
     def flush() -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        parts.clear()
-        if text and not any(t in ("head",) for t, *_ in stack):
-            label = next((x for *_, x in reversed(stack) if x), None)
-            found.append(Block(text, tuple((t, w) for t, w, _ in stack if t not in _INLINE), linked, label))
+        if parts:
+            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            parts.clear()
+            if text and opened.last("head") < 0:
+                own = opened.stack[opened.outer[-1]][0] if opened.outer else None
+                found.append(Block(text, list(opened.tags), list(opened.words), own, linked, opened.labels[-1][1] if opened.labels else None))
         linked = 0
 
     def text(piece: str) -> None:
         nonlocal linked
         if piece:
             parts.append(piece)
-            if link:
+            if opened.last("a") >= 0:
                 linked += len(piece)
 
     size = len(page)
@@ -91,29 +137,22 @@ def blocks(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if closing:
-            at_stack = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at_stack is not None:
-                if tag in _INLINE and any(t not in _INLINE for t, *_ in stack[at_stack + 1 :]):
-                    continue
-                del stack[at_stack:]
-        else:
-            if tag in _ENDS_P:
-                at_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if at_p is not None:
-                    del stack[at_p:]
-            if tag == "li":
-                at_li = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol")), None)
-                if at_li is not None and stack[at_li][0] == "li":
-                    del stack[at_li:]
-            words, label = [], None
-            for name, a, b, c in _ATTRIBUTE.findall(m[3]):
-                value = (a or b or c).lower()
-                if name.lower() == "data-label":
-                    label = value
-                else:
-                    words += _WORD.findall(value)
-            stack.append((tag, tuple(words), label))
-        link = sum(t == "a" for t, *_ in stack)
+            place = opened.last(tag)
+            if place >= 0 and not (tag in _INLINE and opened.outer and opened.outer[-1] > place):
+                opened.cut(place)
+            continue
+        if tag in _ENDS_P and opened.last("p") >= 0:
+            opened.cut(opened.last("p"))
+        if tag == "li" and opened.last("li") > max(opened.last("ul"), opened.last("ol")):
+            opened.cut(opened.last("li"))
+        words, label = [], None
+        for name, a, b, c in _ATTRIBUTE.findall(m[3]):
+            value = (a or b or c).lower()
+            if name.lower() == "data-label":
+                label = value
+            else:
+                words += _WORD.findall(value)
+        opened.push(tag, tuple(words), label)
     flush()
     return found
 
@@ -123,9 +162,9 @@ def features(page_blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(page_blocks):
         size = len(b.text)
         f = ["bias", f"size={min(6, size.bit_length() // 2)}", f"links={min(3, 4 * b.linked // size)}"]
-        f += [x for x, yes in (("end", b.text[-1] in ".!?"), ("copyright", "©" in b.text), ("first", i == 0), ("last", i == n - 1), ("bare", not b.ancestors)) if yes]
-        f += [f"tag={t}" for t in {t for t, _ in b.ancestors}] + [f"word={w}" for w in {w for _, ws in b.ancestors for w in ws}]
-        f += [f"own={b.ancestors[-1][0]}"] if b.ancestors else []
+        f += [x for x, yes in (("end", b.text[-1] in ".!?"), ("copyright", "©" in b.text), ("first", i == 0), ("last", i == n - 1), ("bare", b.own is None)) if yes]
+        f += [f"tag={t}" for t in sorted(b.tags)] + [f"word={w}" for w in sorted(b.words)]
+        f += [f"own={b.own}"] if b.own else []
         out.append(f)
     return out
 

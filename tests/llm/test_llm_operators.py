@@ -222,6 +222,26 @@ def test_html_text(spark):
     assert got == [(1, "Head & tail\n\nOne two\n\nThree.")] * 2 + [(2, ""), (3, "")]
 
 
+def test_html_odd_markup(spark):
+    import time
+
+    field = html_text.trained()
+
+    def one(body):
+        return html_text.main_text(f"<body><nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Head line</h1>{body}</article></body>", field).split("\n\n")[1:]
+
+    assert one("<p don't>Hello world, good day.</p><p title='a > b' class=\"x\">Two.</p>") == ["Hello world, good day.", "Two."]
+    assert one("<p>Let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> be <object>small</object>.</p>") == ["Let x<2 be small."]
+    assert one("<p>a < b &amp; c<br>d &#233;&nbsp;e</p><script>var x = '<p>no</p>'</script><p>Last one.") == ["a < b & c d é e", "Last one."]
+    assert one("<p>Pick <select><option>one</select> now.</p>") == ["Pick now."]
+    begin = time.time()
+    found = html_text.blocks("<div class='a b'>x " * 20_000 + "</b></i>" * 20_000 + "<p>y" * 20_000)
+    assert len(found) == 40_000 and time.time() - begin < 20
+    table = spark.createDataFrame([(k, None, f"<article><p>Long text {k}.</p>" + "<p>More of it.</p>" * 30_000, "t", 3) for k in range(2)], "page_id long, url string, html string, text string, n_chars int")
+    assert [len(r["text"]) for r in html_text.extract_text(table, field).collect()] == [12 + 30_000 * 13] * 2
+    assert html_text.extract_text(table.limit(0), field).count() == 0
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
