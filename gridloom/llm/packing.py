@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from gridloom.llm.common import lookup_join, pick, staged
-from gridloom.llm.tokens import binary_array, byte_batches, encoder
+from gridloom.llm.tokens import SLICE, binary_array, byte_batches, encoder
 
 SEQUENCE = 1024
 END_ID = 0
@@ -48,7 +48,7 @@ def tokenised(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int
 
         enc, part = encoder(tokenizer, DTYPE, True), TaskContext.get().partitionId()
         seen, before = np.zeros(size, dtype=np.int64), 0
-        for batch in byte_batches(batches, 1):
+        for batch in byte_batches(batches, 1, SLICE):
             ids, n = enc.encode_ended(batch.column(1), end_id)
             tail, fulls = n % size, n // size
             order = np.argsort(tail, kind="stable")

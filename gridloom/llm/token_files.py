@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from gridloom.llm.common import new_folder, pick, staged, store_of
-from gridloom.llm.tokens import byte_batches, encoder
+from gridloom.llm.tokens import SLICE, byte_batches, encoder
 
 END_ID = 2
 DTYPE = "<u2"
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             store.move(f"{path}.{attempt}", path)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [f"{folder}/part-{part:06d}-{shard:05d}.wm"], "n_docs": [len(names)], "n_tokens": [len(ids)]})
 
-        for batch in byte_batches(batches, 1):
+        for batch in byte_batches(batches, 1, SLICE):
             ids, counts = enc.encode_ended(batch.column(1), end_id)
             for name, blob in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 names.append(name)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; of a full memo stay those that several batches used, at most half.
-MEMO = 400_000
+MEMO = 300_000
 #: Pieces that are encoded in one call.
 CALL = 8_000
 #: Texts that go to the tokenizer whole: other white space than blanks and line feeds, and runs of it but for two line feeds
@@ -119,8 +119,10 @@ class PieceEncoder:
         coded = split.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         slot = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         size = self.size[slot]
-        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        ids = self.pool[np.repeat(self.start[slot] - ends[:-1], size) + np.arange(ends[-1])]
+        ends = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(size, dtype=np.int32)])
+        place = np.arange(ends[-1], dtype=np.int32)
+        place += np.repeat(self.start[slot] - ends[:-1], size)
+        ids = self.pool[place]
         return ids, np.diff(ends[edges - edges[0]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +174,10 @@ def binary_array(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
+
+
 def byte_batches(batches, text_column: int, most: int = 4 << 20):
     """Arrow batches cut so that each slice holds few MB of text."""
     for batch in batches:
