@@ -46,8 +46,8 @@ def mean_signal_bins(rows: DataFrame, width: int, keys: tuple[str, ...] = ("cont
 def dense_grid(counts: DataFrame, contigs: DataFrame, samples: DataFrame, width: int) -> DataFrame:
     """Explicit zeros: every bin of every contig for every sample. ``samples`` is a handful of rows."""
     bins = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / width))).alias("bin"))
-    listed = F.array(*(F.lit(r["sample"]) for r in samples.select("sample").distinct().sort("sample").collect()))  # the sample sheet
-    grid = bins.withColumn("sample", F.explode(listed))
+    listed = samples.select("sample").distinct().agg(F.collect_list("sample").alias("_samples"))  # the sample sheet, one row
+    grid = bins.join(F.broadcast(listed), F.lit(True)).select("contig", "bin", F.explode("_samples").alias("sample"))
     return grid.join(counts, ["contig", "bin", "sample"], "left").fillna(0.0, ["value", "noise_mass"])
 
 

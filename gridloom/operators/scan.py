@@ -89,6 +89,51 @@ def affine(df: DataFrame, keys: list[str], position: str, a: Column, b: Column,
     return d.join(starts, [*keys, "_tile"]).groupBy(*keys, "_tile").applyInPandas(replay, schema)
 
 
+def spaced(df: DataFrame, keys: list[str], position: str, gap: int, tile: int = TILE) -> DataFrame:
+    """Rows kept greedily from the first on, each at least ``gap`` positions after the last one kept (one row per position).
+
+    A tile is folded for each of the ``gap`` ways in which it may be entered; these maps are chained per key (one row per
+    tile); each tile then keeps its rows from the way it is entered."""
+    import numpy as np
+    import pandas as pd
+
+    d = with_tile(df, F.col(position), tile)
+
+    def walk(places: np.ndarray, first: int) -> list[int]:
+        out, i = [], int(np.searchsorted(places, first))
+        while i < len(places):
+            out.append(i)
+            i = int(np.searchsorted(places, places[i] + gap))
+        return out
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        places, start = np.sort(pdf[position].to_numpy()), int(pdf["_tile"].iloc[0]) * tile
+        ways = []
+        for enter in range(gap):
+            kept = walk(places, start + enter)
+            ways.append(max(0, (int(places[kept[-1]]) + gap if kept else start + enter) - start - tile))
+        return pdf.iloc[:1][[*keys, "_tile"]].assign(_ways=[ways])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, enter, before, out = pdf.sort_values("_tile"), 0, None, []
+        for t, ways in zip(pdf["_tile"], pdf["_ways"], strict=True):
+            enter = max(0, enter - (int(t) - before - 1) * tile) if before is not None else 0
+            out.append(enter)
+            enter, before = int(ways[enter]), int(t)
+        return pdf[[*keys, "_tile"]].assign(_enter=out)
+
+    kinds, columns = {f.name: f.dataType.simpleString() for f in d.schema}, list(df.columns)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "_tile"])
+    folded = d.select(*keys, "_tile", position).groupBy(*keys, "_tile").applyInPandas(fold, f"{head}, _ways array<long>")
+    entered = folded.groupBy(*keys).applyInPandas(chain, f"{head}, _enter long")
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(position)
+        return pdf.iloc[walk(pdf[position].to_numpy(), int(pdf["_tile"].iloc[0]) * tile + int(pdf["_enter"].iloc[0]))][columns]
+
+    return d.join(entered, [*keys, "_tile"]).groupBy(*keys, "_tile").applyInPandas(keep, df.schema)
+
+
 def ema(df: DataFrame, keys: list[str], position: str, value: str, alpha: float, name: str = "ema", tile: int = TILE) -> DataFrame:
     """Exponential smoothing forward, then backward; each pass starts at its first value."""
     whole, d = Window.partitionBy(*keys), with_tile(df, F.col(position), tile)  # one row per tile

@@ -33,3 +33,43 @@ def empirical_p(observed: DataFrame, null: DataFrame, stat: str) -> DataFrame:
     at = running(per, ["_all"], ["_d"], F.col("_k"), "_above", position=F.col("_d"), tile=256)
     n = null.agg(F.count(F.lit(1)).alias("_n"))
     return observed.join(at.select(F.col("_s").alias(stat), "_above"), stat).join(F.broadcast(n), F.lit(True)).withColumn("p", (1 + F.col("_above")) / (F.col("_n") + 1)).drop("_above", "_n")
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], cells: int = 64) -> DataFrame:
+    """keys and one column per wanted quantile (linear between neighbours; nulls do not count): exact, without one sorted task
+    per key. A sketch gives cut points, counts per distinct value and cell find the cells that hold the wanted ranks, and only
+    these are ordered."""
+    from pyspark.sql import Window
+
+    keyed = rows.select(*(F.col(k) for k in keys), F.lit(1).alias("_all"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    keys_ = [*keys, "_all"]
+    per = keyed.groupBy(*keys_, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    cuts = per.groupBy(*keys_).agg(F.percentile_approx("_v", F.array(*(F.lit(i / cells) for i in range(1, cells))), F.lit(1000)).alias("_cuts"), F.sum("_m").alias("_n"))
+    placed = per.join(cuts, keys_).withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    filled = placed.groupBy(*keys_, "_cell").agg(F.sum("_m").alias("_k"), F.first("_n").alias("_n"))
+    before = Window.partitionBy(*keys_).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
+    filled = filled.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), (q * (F.col("_n") - 1)).alias("at")) for name, q in wanted.items()))
+    asked = filled.withColumn("_q", F.explode(ranks)).filter((F.ceil("_q.at") >= F.col("_before")) & (F.floor("_q.at") < F.col("_before") + F.col("_k")))
+    hit = placed.join(asked.select(*keys_, "_cell", "_before").distinct(), [*keys_, "_cell"])
+    inside = Window.partitionBy(*keys_, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = hit.withColumn("_to", F.col("_before") + F.sum("_m").over(inside)).withColumn("_from", F.col("_to") - F.col("_m"))
+    near = hit.join(asked.select(*keys_, "_cell", "_q"), [*keys_, "_cell"])
+    holds = lambda r: (r >= F.col("_from")) & (r < F.col("_to"))
+    low, high = F.floor("_q.at"), F.ceil("_q.at")
+    ends = near.groupBy(*keys_, "_q").agg(F.max(F.when(holds(low), F.col("_v"))).alias("_lo"), F.max(F.when(holds(high), F.col("_v"))).alias("_hi"))
+    at = F.col("_lo") + (F.col("_q.at") - low) * (F.col("_hi") - F.col("_lo"))
+    return ends.groupBy(*keys_).agg(*(F.max(F.when(F.col("_q.name") == name, at)).alias(name) for name in wanted)).drop("_all")
+
+
+def replay_q(observed: DataFrame, null: DataFrame, stat: str, draw: str, draws: int) -> DataFrame:
+    """``q``: least over thresholds up to the statistic's own of (mean null count >= t + 1 / (draws + 1)) / observed count >= t,
+    from counts per distinct value of both sides in one descending and one ascending pass. ``null`` holds ``draw``."""
+    both = observed.select(F.col(stat).alias("_s"), F.lit(1).alias("_o"), F.lit(0).alias("_k")).unionByName(null.select(F.col(stat).alias("_s"), F.lit(0).alias("_o"), F.lit(1).alias("_k")))
+    per = both.groupBy("_s").agg(F.sum("_o").alias("_o"), F.sum("_k").alias("_k"), F.lit(1).alias("_all")).withColumn("_d", -F.col("_s"))
+    down = running(per, ["_all"], ["_d"], F.col("_o"), "_seen", position=F.col("_d"), tile=256)
+    down = running(down, ["_all"], ["_d"], F.col("_k"), "_null", position=F.col("_d"), tile=256)
+    raw = F.least(F.lit(1.0), (F.col("_null") / F.lit(draws) + F.lit(1.0 / (draws + 1))) / F.col("_seen"))
+    at = down.filter("_o > 0").withColumn("_neg", -raw)
+    low = running(at, ["_all"], ["_s"], F.col("_neg"), "_best", "max", position=F.col("_s"), tile=256)
+    return observed.join(low.select(F.col("_s").alias(stat), F.least(F.lit(1.0), -F.col("_best")).alias("q")), stat)

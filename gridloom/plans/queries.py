@@ -153,8 +153,10 @@ def a30_block_moments(spark, d):
 
 @query(f"WITH {TRACKS} SELECT sample, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS sd, round(quantile_cont(x, 0.05), 4) AS q05, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.95), 4) AS q95, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 4) AS positive FROM tracks GROUP BY sample")
 def a32_a33_track_summary(spark, d):
-    p = lambda q: r4(F.percentile("x", q))
-    return V.tracks(spark, d).groupBy("sample").agg(F.count(F.lit(1)).alias("n"), r4(F.avg("x")).alias("mean"), r4(F.stddev_pop("x")).alias("sd"), p(0.05).alias("q05"), p(0.5).alias("q50"), p(0.95).alias("q95"), r4(F.avg((F.col("x") > 0).cast("double"))).alias("positive"))
+    t = V.tracks(spark, d)
+    q = statistics.quantiles(t, ["sample"], "x", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    m = t.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), r4(F.avg("x")).alias("mean"), r4(F.stddev_pop("x")).alias("sd"), r4(F.avg((F.col("x") > 0).cast("double"))).alias("positive"))
+    return m.join(q, "sample").select("sample", "n", "mean", "sd", *(r4(c).alias(c) for c in ("q05", "q50", "q95")), "positive")
 
 
 @query(f"WITH {TRACKS}, {MEAN}, s AS (SELECT contig, sign(x - 3) AS g, lag(sign(x - 3)) OVER (PARTITION BY contig ORDER BY bin) AS p FROM mean_track) SELECT contig, count(*) FILTER (WHERE g * p < 0) AS changes, round(count(*) FILTER (WHERE g * p < 0) * 1000.0 / (count(*) * {WIDTH}), 4) AS per_kb FROM s GROUP BY contig")
@@ -175,9 +177,9 @@ def a40_a42_j13_sample_pairs(spark, d):
 @query(f"WITH {TRACKS}, m AS (SELECT sample, quantile_cont(x, 0.5) AS med FROM tracks GROUP BY sample), a AS (SELECT t.sample, abs(x - med) AS dev, x FROM tracks t JOIN m USING (sample)) SELECT sample, round(1.4826 * quantile_cont(dev, 0.5), 4) AS mad, round((quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349, 4) AS iqr, round(stddev_samp(x), 4) AS sd FROM a GROUP BY sample")
 def a43_robust_scale(spark, d):
     t = V.tracks(spark, d)
-    med = t.groupBy("sample").agg(F.percentile("x", 0.5).alias("med"))
-    a = t.join(F.broadcast(med), "sample").withColumn("dev", F.abs(F.col("x") - F.col("med")))  # one row per sample
-    return a.groupBy("sample").agg(r4(1.4826 * F.percentile("dev", 0.5)).alias("mad"), r4((F.percentile("x", 0.75) - F.percentile("x", 0.25)) / 1.349).alias("iqr"), r4(F.stddev_samp("x")).alias("sd"))
+    q = statistics.quantiles(t, ["sample"], "x", {"med": 0.5, "q25": 0.25, "q75": 0.75})
+    dev = statistics.quantiles(t.join(q, "sample").withColumn("dev", F.abs(F.col("x") - F.col("med"))), ["sample"], "dev", {"mad": 0.5})
+    return t.groupBy("sample").agg(r4(F.stddev_samp("x")).alias("sd")).join(q, "sample").join(dev, "sample").select("sample", r4(1.4826 * F.col("mad")).alias("mad"), r4((F.col("q75") - F.col("q25")) / 1.349).alias("iqr"), "sd")
 
 
 @query("SELECT CAST(floor(log2(o_totalprice)) AS BIGINT) AS cell, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1")
@@ -225,16 +227,16 @@ def j8_x7_blacklist_filter(spark, d):
     return intervals.range_join(f, V.regions(spark, d), 64, "left_anti")
 
 
-@query(f"WITH {FRAGMENTS}, {REGIONS}, d AS (SELECT DISTINCT contig, s, e FROM regions), p AS (SELECT DISTINCT contig, s, e FROM fragments WHERE c = 7) SELECT p.contig, p.s AS start, p.e AS \"end\", count(*) AS segments, max(least(p.e, d.e) - greatest(p.s, d.s)) AS best FROM p JOIN d ON p.contig = d.contig AND p.s < d.e AND p.e > d.s GROUP BY ALL")
+@query(f"WITH {FRAGMENTS}, {REGIONS}, d AS (SELECT DISTINCT contig, s, e FROM regions), p AS (SELECT DISTINCT contig, s, e FROM fragments) SELECT p.contig, p.s AS start, p.e AS \"end\", count(*) AS segments, max(least(p.e, d.e) - greatest(p.s, d.s)) AS best FROM p JOIN d ON p.contig = d.contig AND p.s < d.e AND p.e > d.s GROUP BY ALL")
 def j10_overlap_join(spark, d):
-    p = V.fragments(spark, d).filter("count = 7").select("contig", "start", "end").distinct()
+    p = V.fragments(spark, d).select("contig", "start", "end").distinct()
     hits = intervals.range_join(p, V.regions(spark, d).distinct(), 64)
     return hits.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("segments"), F.max(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("best"))
 
 
-@query(f"WITH {FRAGMENTS}, {REGIONS}, m AS (SELECT DISTINCT contig, s, e FROM regions), p AS (SELECT DISTINCT contig, s, s + 1 AS e FROM fragments WHERE c = 6) SELECT p.contig, p.s AS start, min(m.e - m.s) AS parent_width FROM p JOIN m ON p.contig = m.contig AND m.s <= p.s AND m.e >= p.e GROUP BY ALL")
+@query(f"WITH {FRAGMENTS}, {REGIONS}, m AS (SELECT DISTINCT contig, s, e FROM regions), p AS (SELECT DISTINCT contig, s, s + 1 AS e FROM fragments) SELECT p.contig, p.s AS start, min(m.e - m.s) AS parent_width FROM p JOIN m ON p.contig = m.contig AND m.s <= p.s AND m.e >= p.e GROUP BY ALL")
 def j12_smallest_parent(spark, d):
-    p = V.fragments(spark, d).filter("count = 6").select("contig", "start", (F.col("start") + 1).alias("end")).distinct()
+    p = V.fragments(spark, d).select("contig", "start", (F.col("start") + 1).alias("end")).distinct()
     hits = intervals.range_join(p, V.regions(spark, d).distinct(), 64).filter("r_start <= start AND r_end >= end")
     return hits.groupBy("contig", "start").agg(F.min(F.col("r_end") - F.col("r_start")).alias("parent_width"))
 
@@ -252,12 +254,6 @@ def w1_moving_average(spark, d):
     return out.select("contig", "bin", r4(F.col("s") / 5).alias("smooth"))
 
 
-@query(f"WITH {TRACKS}, {MEAN} SELECT contig, bin, round(coalesce(avg(CASE WHEN x > 1 THEN x END) OVER (PARTITION BY contig ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), x), 4) AS smooth FROM mean_track")
-def w2_masked_rolling_mean(spark, d):
-    out = scan.halo_window(V.mean_track(spark, d), ["contig"], "bin", 3, 3, {"s": lambda w: F.avg(F.when(F.col("x") > 1, F.col("x"))).over(w)})
-    return out.select("contig", "bin", r4(F.coalesce("s", "x")).alias("smooth"))
-
-
 @query(f"WITH {TRACKS}, {MEAN}, c AS (SELECT contig, bin, x - avg(x) OVER (PARTITION BY contig) AS y FROM mean_track), v AS (SELECT contig, sum(y * y) AS v FROM c GROUP BY contig) SELECT a.contig, b.bin - a.bin AS lag, round(sum(a.y * b.y) / any_value(v.v), 4) AS rho FROM c a JOIN c b ON a.contig = b.contig AND b.bin - a.bin BETWEEN 1 AND 8 JOIN v ON v.contig = a.contig GROUP BY 1, 2")
 def w5_autocorrelation(spark, d):
     m = V.mean_track(spark, d)
@@ -333,13 +329,12 @@ def u3_u4_mask_jaccard(spark, d):
     return m.groupBy("contig").agg(both.alias("both_sides"), either.alias("either"), r4(both / F.nullif(either, F.lit(0))).alias("jaccard"))
 
 
-@query(f"WITH {EVENTS}, b AS (SELECT DISTINCT contig, s, e FROM ev WHERE sample = 'click'), o AS (SELECT *, lag(e) OVER (PARTITION BY contig ORDER BY s, e) AS p FROM b) SELECT contig, s AS start, e AS \"end\", CASE WHEN e > 700 THEN 'beyond contig' WHEN s < p THEN 'overlap' END AS rule FROM o WHERE e > 700 OR s < p")
+@query(f"WITH {EVENTS}, z AS (SELECT contig, max(s) AS size FROM ev WHERE contig <> 'c2' GROUP BY contig), b AS (SELECT DISTINCT contig, sample, s, e FROM ev), o AS (SELECT *, lag(e) OVER (PARTITION BY contig, sample ORDER BY s, e) AS p FROM b), v AS (SELECT sample, contig, s, e, CASE WHEN size IS NULL THEN 'unknown contig' WHEN s < 0 OR e <= s THEN 'bounds' WHEN e > size THEN 'beyond contig' WHEN s < p THEN 'overlap' END AS rule FROM o LEFT JOIN z USING (contig)) SELECT sample, contig, s AS start, e AS \"end\", rule FROM v WHERE rule IS NOT NULL")
 def k2_k3_track_violations(spark, d):
-    b = V.events(spark, d).filter("sample = 'click'").select("contig", "start", "end").distinct()
-    order = b.withColumn("start2", F.col("start") * 1000 + (F.col("end") - F.col("start")))
-    rows = scan.previous(order, ["contig"], "start2", ["end"], position=F.col("start"), tile=100)
-    rule = F.when(F.col("end") > 700, "beyond contig").when(F.col("start") < F.col("prev_end"), "overlap")
-    return rows.withColumn("rule", rule).filter("rule IS NOT NULL").select("contig", "start", "end", "rule")
+    """Every sample's track against the rules of a track; sizes are known for two of the contigs."""
+    e = V.events(spark, d)
+    sizes = e.filter("contig <> 'c2'").groupBy("contig").agg(F.max("start").alias("size"))
+    return sinks.track_violations(e.select("sample", "contig", "start", "end").distinct(), sizes, ("sample", "contig"))
 
 
 @query(f"WITH {TRACKS}, {MEAN} SELECT contig, count(*) AS bins, round(avg(x), 4) AS level, round(max(x), 4) AS top FROM mean_track GROUP BY ROLLUP (contig)")
@@ -384,10 +379,10 @@ def x10_bh_q(spark, d):
     return statistics.benjamini_hochberg(_pv(spark, d), "p").select("k", F.round("q", 6).alias("q"))
 
 
-@query("WITH o AS (SELECT o_orderkey AS k, o_totalprice AS s FROM orders WHERE o_orderkey % 10 = 0), n AS (SELECT o_totalprice AS s FROM orders WHERE o_orderkey % 10 = 1), u AS (SELECT k, s, 0 AS one FROM o UNION ALL SELECT NULL, s, 1 FROM n), c AS (SELECT k, sum(one) OVER (ORDER BY s DESC) AS above, (SELECT count(*) FROM n) AS total FROM u) SELECT k, round((1 + above) / CAST(total + 1 AS DOUBLE), 6) AS p FROM c WHERE k IS NOT NULL")
+@query("WITH o AS (SELECT o_orderkey AS k, o_totalprice AS s FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_totalprice AS s FROM orders WHERE o_orderkey % 2 = 1), u AS (SELECT k, s, 0 AS one FROM o UNION ALL SELECT NULL, s, 1 FROM n), c AS (SELECT k, sum(one) OVER (ORDER BY s DESC) AS above, (SELECT count(*) FROM n) AS total FROM u) SELECT k, round((1 + above) / CAST(total + 1 AS DOUBLE), 6) AS p FROM c WHERE k IS NOT NULL")
 def x11_empirical_p(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("s"))
-    return statistics.empirical_p(o.filter("k % 10 = 0"), o.filter("k % 10 = 1").select("s"), "s").select("k", F.round("p", 6).alias("p"))
+    return statistics.empirical_p(o.filter("k % 2 = 0"), o.filter("k % 2 = 1").select("s"), "s").select("k", F.round("p", 6).alias("p"))
 
 
 _SEG = f"{TRACKS}, {MEAN}, sm AS (SELECT contig, bin, sum(x) OVER (PARTITION BY contig ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS y FROM mean_track), t AS (SELECT *, y - z AS excess FROM sm, (VALUES (3.0), (4.0), (4.5)) AS z(z) WHERE y > z), g AS (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY contig, z ORDER BY bin) = 1 THEN 0 ELSE 1 END AS n FROM t), i AS (SELECT *, sum(n) OVER (PARTITION BY contig, z ORDER BY bin) AS island FROM g)"
@@ -431,7 +426,7 @@ def flagship_peaks(spark, d):
     depth = f.groupBy("sample").agg((1e6 / F.sum("count")).alias("k"))
     t = V.tracks(spark, d).join(F.broadcast(depth), "sample").withColumn("y", expr.transform_count(F.col("raw") * F.col("k")))  # one row per sample
     level = t.groupBy("contig", "bin").agg(F.collect_list("y").alias("v")).select("contig", "bin", counting.trimmed_mean(F.col("v"), 0.25).alias("x"))
-    cut = level.agg(F.percentile("x", 0.9).alias("z"))
+    cut = statistics.quantiles(level, [], "x", {"z": 0.9})
     high = level.join(F.broadcast(cut), F.col("x") > F.col("z")).select("contig", "bin", "x")
     found = intervals.runs(high, 1, (F.max("x").alias("signal"), F.count(F.lit(1)).alias("bins")))
     return found.select("contig", (F.col("first_bin") * WIDTH).alias("start"), ((F.col("last_bin") + 1) * WIDTH).alias("end"), r4("signal").alias("signal"), "bins")

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import expr
-from gridloom.operators import intervals, scan, statistics
+from gridloom.operators import intervals, models, scan, statistics
 from gridloom.plans import views as V
 from gridloom.plans.queries import _SEG, query, r4
-from gridloom.plans.views import FRAGMENTS, MEAN, REGIONS, TRACKS, WIDTH
+from gridloom.plans.views import FRAGMENTS, MEAN, TRACKS, WIDTH
 
 
 @query(f"WITH {TRACKS} SELECT sample, count(*) FILTER (WHERE 1 / (1 + raw) <= 0.05) AS at_floor, count(*) FILTER (WHERE 1 / (1 + raw) >= 0.99) AS at_cap, count(*) AS cells FROM tracks GROUP BY sample")
@@ -26,13 +26,14 @@ def a28_block_scores(spark, d):
     return t.join(m, ["contig", "bin"]).groupBy("contig", F.floor(F.col("bin") / 25).alias("block")).agg(r4(F.max(z)).alias("top_z"), F.count(F.lit(1)).alias("cells"))
 
 
-@query(f"WITH {TRACKS}, g AS (SELECT contig, bin, avg(ln(raw)) AS lg FROM tracks GROUP BY ALL HAVING min(raw) >= 1), r AS (SELECT sample, quantile_cont(ln(raw) - lg, 0.5) AS m FROM tracks JOIN g USING (contig, bin) GROUP BY sample), c AS (SELECT quantile_cont(m, 0.5) AS mid FROM r) SELECT sample, round(1 / least(greatest(exp(m - mid), 0.2), 5.0), 5) AS factor FROM r, c")
+@query(f"WITH RECURSIVE {TRACKS}, g AS (SELECT contig, bin, avg(ln(raw)) AS lg FROM tracks GROUP BY ALL HAVING min(raw) >= 1), sp AS (SELECT contig, min(bin) AS bin FROM g GROUP BY contig UNION ALL SELECT sp.contig, (SELECT min(g.bin) FROM g WHERE g.contig = sp.contig AND g.bin >= sp.bin + 10) FROM sp WHERE sp.bin IS NOT NULL), k AS (SELECT g.* FROM g JOIN sp USING (contig, bin)), r AS (SELECT sample, quantile_cont(ln(raw) - lg, 0.5) AS m FROM tracks JOIN k USING (contig, bin) GROUP BY sample), c AS (SELECT quantile_cont(m, 0.5) AS mid FROM r) SELECT sample, round(1 / least(greatest(exp(m - mid), 0.2), 5.0), 5) AS factor FROM r, c")
 def a17_size_factors(spark, d):
-    """Median of ratios over bins with every sample at least 1, centred, clipped, inverted."""
+    """Median of ratios over bins with every sample at least 1 that are greedily 10 bins apart; centred, clipped, inverted."""
     t = V.tracks(spark, d)
-    g = t.groupBy("contig", "bin").agg(F.avg(F.log("raw")).alias("lg"), F.min("raw").alias("lo")).filter("lo >= 1")
-    r = t.join(g, ["contig", "bin"]).groupBy("sample").agg(F.percentile(F.log("raw") - F.col("lg"), 0.5).alias("m"))
-    mid = r.agg(F.percentile("m", 0.5).alias("mid"))
+    g = t.groupBy("contig", "bin").agg(F.avg(F.log("raw")).alias("lg"), F.min("raw").alias("lo")).filter("lo >= 1").select("contig", "bin", "lg")
+    k = scan.spaced(g, ["contig"], "bin", 10)
+    r = statistics.quantiles(t.join(k, ["contig", "bin"]).withColumn("v", F.log("raw") - F.col("lg")), ["sample"], "v", {"m": 0.5})
+    mid = r.agg(F.percentile("m", 0.5).alias("mid"))  # one row per sample
     return r.join(F.broadcast(mid), F.lit(True)).select("sample", F.round(1 / F.least(F.greatest(F.exp(F.col("m") - F.col("mid")), F.lit(0.2)), F.lit(5.0)), 5).alias("factor"))
 
 
@@ -57,7 +58,7 @@ def p12_score_track(spark, d):
 @query(f"WITH {TRACKS}, {MEAN}, q AS (SELECT quantile_cont(x, 0.2) AS a, quantile_cont(x, 0.4) AS b, quantile_cont(x, 0.6) AS c, quantile_cont(x, 0.8) AS e FROM mean_track) SELECT contig, CASE WHEN x < a THEN 0 WHEN x < b THEN 1 WHEN x < c THEN 2 WHEN x < e THEN 3 ELSE 4 END AS stratum, count(*) AS bins FROM mean_track, q GROUP BY ALL")
 def p31_signal_strata(spark, d):
     m = V.mean_track(spark, d)
-    cuts = m.agg(F.percentile("x", F.array(*(F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)))).alias("c"))
+    cuts = statistics.quantiles(m, [], "x", {f"c{k}": k / 5 for k in range(1, 5)}).select(F.array("c1", "c2", "c3", "c4").alias("c"))
     code = F.size(F.filter("c", lambda c: F.col("x") >= c))
     return m.join(F.broadcast(cuts), F.lit(True)).groupBy("contig", code.alias("stratum")).agg(F.count(F.lit(1)).alias("bins"))
 
@@ -78,29 +79,22 @@ def j16_u3_anchored_runs(spark, d):
     return intervals.runs(m.select("contig", "bin", "anchor"), 0, (F.max("anchor").alias("anchor"),)).filter("anchor = 1").drop("anchor")
 
 
-@query(f"WITH {FRAGMENTS}, {REGIONS} SELECT r.contig, r.s AS start, r.e AS \"end\" FROM regions r WHERE EXISTS (SELECT 1 FROM fragments f WHERE f.contig = r.contig AND f.s < r.e AND f.e > r.s AND f.c = 7) GROUP BY ALL")
-def j9_blocked_gaps(spark, d):
-    return intervals.range_join(V.regions(spark, d).distinct(), V.fragments(spark, d).filter("count = 7").select("contig", "start", "end"), 64, "left_semi")
-
-
 @query(f"WITH {TRACKS}, h AS (SELECT sample, CAST(substr(sample, 2) AS INTEGER) + 1 AS h FROM (SELECT DISTINCT sample FROM tracks)), j AS (SELECT a.contig, a.sample, a.bin, avg(b.x) AS smooth FROM tracks a JOIN h USING (sample) JOIN tracks b ON a.contig = b.contig AND a.sample = b.sample AND abs(a.bin - b.bin) <= h GROUP BY ALL) SELECT contig, sample, bin, round(smooth, 4) AS smooth FROM j")
 def w11_per_sample_smoothing(spark, d):
-    """Rolling mean whose half width is the sample's: one halo window per width, chosen by row."""
+    """Rolling mean whose half width is the sample's: prefix sums and two lookups, whatever the width."""
     t = V.tracks(spark, d).withColumn("h", F.substring("sample", 2, 9).cast("int") + 1)
-    widths = [r["h"] for r in t.select("h").distinct().collect()]  # the sample sheet
-    parts = [scan.halo_window(t.filter(F.col("h") == h), ["contig", "sample"], "bin", h, h, {"smooth": lambda w: F.avg("x").over(w)}) for h in widths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = models.span_mean(t, ["contig", "sample"], "bin", "x", F.col("bin") - F.col("h"), F.col("bin") + F.col("h"), "smooth")
     return out.select("contig", "sample", "bin", r4("smooth").alias("smooth"))
 
 
-@query(f"WITH {TRACKS}, t AS (SELECT contig, bin FROM tracks WHERE sample = 's0' AND raw > 20), k AS (SELECT a.contig, a.bin, sum(exp(-abs(a.bin - b.bin) / 3.0)) AS n FROM t a JOIN t b ON a.contig = b.contig AND abs(a.bin - b.bin) <= 40 GROUP BY ALL) SELECT contig, bin, round(n / (n + 2), 3) AS weight FROM k")
+@query(f"WITH {TRACKS}, t AS (SELECT contig, sample, bin FROM tracks WHERE raw > 20), k AS (SELECT a.contig, a.sample, a.bin, sum(exp(-abs(a.bin - b.bin) / 3.0)) AS n FROM t a JOIN t b ON a.contig = b.contig AND a.sample = b.sample GROUP BY ALL) SELECT contig, sample, bin, round(n / (n + 2), 3) AS weight FROM k")
 def w13_soft_support(spark, d):
-    t = V.tracks(spark, d).filter("sample = 's0' AND raw > 20").select("contig", "bin")
-    reach = t.select("contig", F.col("bin").alias("at"), F.explode(F.sequence(F.col("bin") - 40, F.col("bin") + 40)).alias("bin"))
-    n = reach.join(t, ["contig", "bin"]).groupBy("contig", F.col("at").alias("bin")).agg(F.sum(F.exp(-F.abs(F.col("at") - F.col("bin")) / 3.0)).alias("n"))
-    return n.select("contig", "bin", F.round(F.col("n") / (F.col("n") + 2), 3).alias("weight"))
+    """Sum of exp(-distance / 3) over all supported bins: a recurrence forward and one backward, less the bin itself."""
+    t = V.tracks(spark, d).select("contig", "sample", "bin", (F.col("raw") > 20).cast("double").alias("on"))
+    keys, decay = ["contig", "sample"], F.exp(F.lit(-1 / 3))
+    n = scan.affine(scan.affine(t, keys, "bin", decay, F.col("on"), "ahead"), keys, "bin", decay, F.col("on"), "back", reverse=True)
+    n = n.filter("on > 0").withColumn("n", F.col("ahead") + F.col("back") - F.col("on"))
+    return n.select("contig", "sample", "bin", F.round(F.col("n") / (F.col("n") + 2), 3).alias("weight"))
 
 
 @query(f"WITH {TRACKS}, {MEAN}, r AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY bin) - 1 AS k, count(*) OVER (PARTITION BY contig) AS n FROM mean_track) SELECT contig, bin, round(x, 4) AS x FROM r WHERE (k * 20) // n <> ((k - 1) * 20) // n OR k = 0")
@@ -116,7 +110,7 @@ def t8_even_sample(spark, d):
 @query(f"WITH {TRACKS}, m AS (SELECT sample, contig, bin, raw, bin % 17 = 0 AS masked FROM tracks), f AS (SELECT sample, quantile_cont(raw, 0.05) FILTER (WHERE NOT masked) AS lo FROM m GROUP BY sample) SELECT sample, contig, bin, round(CASE WHEN masked THEN greatest(raw, lo) ELSE raw END, 4) AS v FROM m JOIN f USING (sample)")
 def m6_masked_floor(spark, d):
     m = V.tracks(spark, d).withColumn("masked", F.col("bin") % 17 == 0)
-    f = m.groupBy("sample").agg(F.percentile(F.when(~F.col("masked"), F.col("raw")), 0.05).alias("lo"))
+    f = statistics.quantiles(m.filter(~F.col("masked")), ["sample"], "raw", {"lo": 0.05})
     return m.join(F.broadcast(f), "sample").select("sample", "contig", "bin", r4(F.when(F.col("masked"), F.greatest("raw", "lo")).otherwise(F.col("raw"))).alias("v"))
 
 
@@ -131,9 +125,9 @@ def m11_uncertainty_factor(spark, d):
 @query(f"WITH {TRACKS}, {MEAN}, q AS (SELECT contig, quantile_cont(x, 0.5) AS mid FROM mean_track GROUP BY contig), a AS (SELECT contig, x - mid AS e, abs(x - mid) AS dev FROM mean_track JOIN q USING (contig)), s AS (SELECT contig, quantile_cont(dev, 0.5) * 1.4826 AS mad, quantile_cont(dev, 0.95) AS edge FROM a GROUP BY contig) SELECT contig, round(avg(least(greatest(e, -edge), edge)), 4) AS centre, round(any_value(mad), 4) AS scale, round(any_value(edge), 4) AS edge FROM a JOIN s USING (contig) GROUP BY contig")
 def m15_m16_null_template(spark, d):
     m = V.mean_track(spark, d)
-    q = m.groupBy("contig").agg(F.percentile("x", 0.5).alias("mid"))
+    q = statistics.quantiles(m, ["contig"], "x", {"mid": 0.5})
     a = m.join(F.broadcast(q), "contig").select("contig", (F.col("x") - F.col("mid")).alias("e"))
-    s = a.groupBy("contig").agg((F.percentile(F.abs("e"), 0.5) * 1.4826).alias("mad"), F.percentile(F.abs("e"), 0.95).alias("edge"))
+    s = statistics.quantiles(a.withColumn("dev", F.abs("e")), ["contig"], "dev", {"mid": 0.5, "edge": 0.95}).withColumn("mad", F.col("mid") * 1.4826).drop("mid")
     clipped = F.least(F.greatest(F.col("e"), -F.col("edge")), F.col("edge"))
     return a.join(F.broadcast(s), "contig").groupBy("contig").agg(r4(F.avg(clipped)).alias("centre"), r4(F.first("mad")).alias("scale"), r4(F.first("edge")).alias("edge"))
 
