@@ -396,6 +396,47 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_digest_index_levels(spark, monkeypatch, keep):
+    """Ingesting by parts, with merges between, gives the same run as all at once; segments are sorted and carry filters."""
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    data = [(i if i % 7 else None, f"text {i % 30}") for i in range(200)]
+    index = exact_dedup.DigestIndex(8, keep)
+    for part in range(5):
+        index.ingest(spark.createDataFrame(data[part * 40 : part * 40 + 40], "doc_id long, text string").repartition(2))
+    assert len(index.levels) > 1
+    rows = index.compact().collect()
+    for r in rows:
+        digests = [r["digests"][i : i + 32] for i in range(0, len(r["digests"]), 32)]
+        assert digests == sorted(digests) and r["filter"]
+    assert len({r["bucket"] for r in rows}) == len(rows) <= 8
+    got = {bytes(r["digest"]): (r["keep_id"], r["n"], r["tied"]) for r in index.repeated(index.levels[-1][0]).collect()}
+    want = {}
+    for k in range(30):
+        ids = [i for i, t in data if t == f"text {k}"]
+        known = [i for i in ids if i is not None]
+        want[hashlib.sha256(f"text {k}".encode()).digest()] = ((max if keep == "largest" else min)(known), len(ids), 1)
+    assert got == want
+
+
+def test_exact_dedup_hot_and_tied(spark):
+    """A third of all rows are one text, and the best id of a group occurs several times."""
+    data = [(i, "Hot TEXT" if i % 3 == 0 else f"t{i % 40}") for i in range(3000)] + [(2997, "hot text")] * 3 + [(None, None), (None, "")]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = exact_dedup.exact_dedup(table).collect()
+    hot = [r for r in got if r["keep_id"] == 2997]
+    assert len(got) == len(data) and len(hot) == 1003 and sum(r["kept"] for r in hot) == 1 and all(r["group_size"] == 1003 for r in hot)
+    assert sum(r["kept"] for r in got) == len({lower(t) for _, t in data}) and sum(r["kept"] and r["doc_id"] is None for r in got) == 1
+
+
+def test_texts_with_one_digest_are_told_apart():
+    """Byte verification: rows under one digest and salt that differ."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"digest": [b"a", b"a", b"a", b"b"], "salt": [-1, -1, -1, -1], "text": ["x", "X", "y", "z"]})
+    assert [r for b in exact_dedup._compare([batch]) for r in b.to_pylist()] == [{"digest": b"a", "same": False, "head": None}]
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(4, 60)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_rules(docs, labels).collect()
@@ -420,6 +461,21 @@ def test_quality_certifies(spark):
     got = quality.quality_rules(table, labels).collect()
     assert all(r["kept"] for r in got if r["doc_id"] < 10_000)
     assert all(not r["kept"] for r in got if r["doc_id"] >= 10_000)
+    assert sorted(r["doc_id"] for r in quality.passing(table, labels).collect()) == list(range(3000))
+    few = quality.certify(quality.measure(table), labels.filter("doc_id < 58 OR doc_id >= 10000")).collect()
+    enough = quality.certify(quality.measure(table), labels.filter("doc_id < 59 OR doc_id >= 10000")).collect()
+    assert [r["steps"] for r in few] == [0] and few[0]["cut_symbols"] is None  # 0.95 ** 58 > 0.05
+    assert [r["steps"] for r in enough] == [len(quality.LADDER)]  # 0.95 ** 59 < 0.05
+
+
+def test_quality_ladder_stops(spark):
+    """A step whose false rejections are too many for the bound ends the walk, by the exact tail."""
+    good = [(i, " ".join(f"word{i + k}" for k in range(40)) + (" ####################" * 2 if i % 20 == 0 else ""), "en") for i in range(1000)]
+    table = spark.createDataFrame(good, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good], "doc_id long, quality int")
+    row = quality.certify(quality.measure(table), labels).first()
+    share = 40 / len(good[0][1].replace(" ", ""))
+    assert row["n"] == 1000 and row["steps"] == sum(step[0] > share for step in quality.LADDER) < len(quality.LADDER)
 
 
 def test_token_files(spark, docs, empty):
@@ -459,7 +515,7 @@ def test_wavelet_shard():
 def test_pieces_equal_whole_texts():
     from gridloom.llm.tokens import encoder
 
-    odd = ["", "  a  b", "a \n b", "\ta\tb c", "it's <|endoftext|>x", "a\n\n\nB. c,\nD.\n", "\nab c", "x.\n\n", "S'S don'T.", "<|ENDOFTEXT|>. A.B, c.,", "é. É, ñ.\nÑo", "İß ΑΣ b", "a\x1cb \x1d c", "q.\n.r ,. ."]
+    odd = ["", "  a  b", "a \n b", "\ta\tb c", "it's <|endoftext|>x", "a\n\n\nB. c,\nD.\n", "\nab c", "x.\n\n", "S'S don'T.", "<|ENDOFTEXT|>. A.B, c.,", "é. É, ñ.\nÑo", "İß ΑΣ b", "a\x1cb \x1d c", "q.\n.r ,. .", "İ.", "x İ, y", "e\u0301. n\u0303,", "a\u0301", "Å.", "z~ ~", "\0 x"]
     for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         path = public_tokenizers.path(name)
         whole = Tokenizer.from_file(path)
@@ -481,6 +537,24 @@ def test_pieces_with_runs_of_line_feeds():
             assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes(), repr(text[:60])
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table, null and repeated ids, and columns whose names clash run through all stages."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _keep string, _row string, kept boolean, node long, digest string"
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, None, None, None, "k", "r", True, 1, "d"), (5, text, "en", "a", 3, "k", "r", None, 2, "d"), (5, text + " x", "en", "a", 3, "k", "r", None, 2, "d"), (6, None, "en", "a", 3, "k", "r", None, 2, "d")]
+    for data, left in (([], 0), (rows, 1)):
+        docs = spark.createDataFrame(data, kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == [c.split()[0] for c in kind.split(", ")], name
+            assert docs.count() >= left, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert bool(packed) == bool(left)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
