@@ -397,7 +397,7 @@ def x9_candidate_segments(spark, d):
     return t.groupBy("contig", "z", "_island").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), r4(F.sum("excess")).alias("integrated"), r4(F.max("excess")).alias("top"), r4(F.sum("excess") / F.sqrt(F.count(F.lit(1)))).alias("score")).drop("_island")
 
 
-@query()
+@query(f"WITH RECURSIVE {TRACKS}, cells AS MATERIALIZED (SELECT contig, bin, sum(1 / (1 + raw)) AS i, sum(x / (1 + raw)) AS w FROM tracks GROUP BY ALL), f AS MATERIALIZED (SELECT contig, bin, w / (1 / (1e6 + 0.05) + i) AS m, 1 / (1 / (1e6 + 0.05) + i) AS p FROM cells WHERE bin = 0 UNION ALL SELECT c.contig, c.bin, (f.m / (f.p + 0.05) + c.w) / (1 / (f.p + 0.05) + c.i), 1 / (1 / (f.p + 0.05) + c.i) FROM f JOIN cells c ON c.contig = f.contig AND c.bin = f.bin + 1), n AS (SELECT contig, max(bin) AS n FROM cells GROUP BY contig), b AS (SELECT f.contig, f.bin, m AS x, p AS v FROM f JOIN n ON f.contig = n.contig AND f.bin = n.n UNION ALL SELECT f.contig, f.bin, f.m + f.p / (f.p + 0.05) * (b.x - f.m), f.p + power(f.p / (f.p + 0.05), 2) * (b.v - f.p - 0.05) FROM b JOIN f ON f.contig = b.contig AND f.bin = b.bin - 1) SELECT contig, bin, round(x, 4) AS level, round(v, 4) AS variance FROM b")
 def r1_level_smoother(spark, d):
     w = 1 / (1 + F.col("raw"))
     cells = V.tracks(spark, d).groupBy("contig", "bin").agg(F.sum(w).alias("info"), F.sum(F.col("x") * w).alias("weighted"))
@@ -411,7 +411,7 @@ def r6_x2_selected_peaks(spark, d):
     return found.select("contig", (F.col("first_bin") * WIDTH).alias("start"), ((F.col("last_bin") + 1) * WIDTH).alias("end"))
 
 
-@query()
+@query(f"WITH RECURSIVE {TRACKS}, mt AS MATERIALIZED (SELECT contig, bin, avg(x) AS x FROM tracks GROUP BY ALL), f AS MATERIALIZED (SELECT contig, bin, x AS e FROM mt WHERE bin = 0 UNION ALL SELECT m.contig, m.bin, 0.2 * m.x + 0.8 * f.e FROM f JOIN mt m ON m.contig = f.contig AND m.bin = f.bin + 1), n AS (SELECT contig, max(bin) AS n FROM mt GROUP BY contig), b AS (SELECT f.contig, f.bin, e FROM f JOIN n ON f.contig = n.contig AND f.bin = n.n UNION ALL SELECT f.contig, f.bin, 0.2 * f.e + 0.8 * b.e FROM b JOIN f ON f.contig = b.contig AND f.bin = b.bin - 1) SELECT contig, bin, round(e, 4) AS ema FROM b")
 def w4_bidirectional_ema(spark, d):
     return scan.ema(V.mean_track(spark, d), ["contig"], "bin", "x", 0.2).select("contig", "bin", r4("ema").alias("ema"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import expr
-from gridloom.operators import counting, intervals, models, scan, statistics
+from gridloom.operators import counting, intervals, models, scan, statistics, trend
 from gridloom.plans import views as V
 from gridloom.plans.queries import query, r4
 from gridloom.plans.queries_more import _PEAKS, _peaks
@@ -395,3 +395,27 @@ def s13_effective_genome_size(spark, d):
     w = g.withColumn("want", F.explode(F.array(*(F.lit(x) for x in (36, 101, 250)))))
     best = F.min_by(F.struct("read_length", "size"), F.struct(F.abs(F.col("read_length") - F.col("want")), "read_length")).alias("b")
     return w.groupBy("genome", "want").agg(best).select("genome", "want", "b.read_length", "b.size")
+
+
+# ---- state models ---------------------------------------------------------------------------------------------------
+@query()
+def r2_level_trend_smoother(spark, d):
+    """Level and slope of the pooled signal; tests hold it against a dense solution."""
+    w = 1 / (1 + F.col("raw"))
+    cells = V.tracks(spark, d).groupBy("contig", "bin").agg(F.sum(w).alias("info"), F.sum(F.col("x") * w).alias("weighted"))
+    return trend.smooth_level_trend(cells, 0.05, 0.01).select("contig", "bin", r4("level").alias("level"), r4("trend").alias("trend"), r4("variance").alias("variance"))
+
+
+@query()
+def r3_robust_level(spark, d):
+    """Level under Student-t precision multipliers; tests hold it against a dense iteration."""
+    cells = V.tracks(spark, d).select("contig", "bin", "sample", "x", (0.2 + 1 / (1 + F.col("raw"))).alias("r"))
+    return trend.robust_level(cells, 0.05, rounds=2).select("contig", "bin", r4("level").alias("level"), r4("variance").alias("variance"))
+
+
+@query()
+def r6_budgeted_runs(spark, d):
+    """Runs under a budget of a tenth of a contig's bins: the penalty is searched, the selection exact for it."""
+    picked = trend.budgeted_runs(V.mean_track(spark, d).select("contig", "bin", F.col("x").alias("score")), 0.1, 0.3).filter("selected")
+    found = intervals.runs(picked.select("contig", "bin"))
+    return found.select("contig", (F.col("first_bin") * WIDTH).alias("start"), ((F.col("last_bin") + 1) * WIDTH).alias("end"))

@@ -192,12 +192,14 @@ def t4_largest_remainder_quotas(spark, d):
     return q.select("code", (F.col("base") + (F.col("k") <= F.col("rest")).cast("long")).cast("long").alias("quota"))
 
 
-@query()
+_U = "((CAST('0x' || substr(md5(concat_ws(':', '{seed}', contig, block)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
+@query(f"WITH {TRACKS}, {MEAN}, b AS (SELECT DISTINCT contig, bin // 25 AS block FROM mean_track) SELECT contig, block, CAST(floor(4 * {_U.format(seed=17)}) AS BIGINT) AS fold, {_U.format(seed=18)} < 0.2 AS target FROM b")
 def t9_t10_fold_spec(spark, d):
-    """Blocks dealt to 4 folds by hash rank within the contig; a fifth of them is the target split. No seedless randomness."""
+    """Blocks dealt to 4 folds by seeded draws; a fifth of them is the target split."""
     b = V.mean_track(spark, d).select("contig", F.floor(F.col("bin") / 25).alias("block")).distinct()
-    key = F.xxhash64(F.lit(17), "contig", "block")
-    return b.select("contig", "block", F.pmod(key, F.lit(4)).alias("fold"), (F.pmod(F.xxhash64(F.lit(18), "contig", "block"), F.lit(1000)) < 200).alias("target"))
+    return b.select("contig", "block", F.floor(4 * models.uniform(17, "contig", "block")).alias("fold"), (models.uniform(18, "contig", "block") < 0.2).alias("target"))
 
 
 @query(f"WITH {TRACKS}, h AS (SELECT sample, contig, bin, round(raw, 4) AS raw FROM tracks), p AS (SELECT a.sample AS a, b.sample AS b, count(*) FILTER (WHERE a.raw <> b.raw) AS differing FROM h a JOIN h b ON a.contig = b.contig AND a.bin = b.bin AND a.sample < b.sample GROUP BY ALL) SELECT a, b, differing, differing = 0 AS same FROM p")

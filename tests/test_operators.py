@@ -174,3 +174,90 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     want = counting.count_bins(spark.createDataFrame(rows, schema), 10)
     key = lambda r: (r["contig"], r["sample"], r["bin"])
     assert {key(r): round(r["value"], 6) for r in spark.table("counts").collect()} == {key(r): round(r["value"], 6) for r in want.collect()}
+
+
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_level_trend_smoother(spark, tile):
+    """Against the dense Gaussian posterior of the same state-space model."""
+    from gridloom.operators import trend
+
+    rng, n, ql, qt = np.random.default_rng(8), 25, 0.3, 0.05
+    info = np.where(rng.random(n) < 0.2, 0.0, rng.uniform(0.5, 3, n))
+    weighted = info * rng.normal(2, 1, n)
+    step, precision = np.array([[1.0, 1.0], [0.0, 1.0]]), np.zeros((2 * n + 2, 2 * n + 2))
+    precision[:2, :2] += np.eye(2) / 1e6
+    for k in range(n):
+        block = np.hstack([-step, np.eye(2)])
+        precision[2 * k : 2 * k + 4, 2 * k : 2 * k + 4] += block.T @ np.diag([1 / ql, 1 / qt]) @ block
+        precision[2 * k + 2, 2 * k + 2] += info[k]
+    right = np.zeros(2 * n + 2)
+    right[2::2] = weighted
+    cov = np.linalg.inv(precision)
+    mean = cov @ right
+    rows = spark.createDataFrame([("c", k, float(info[k]), float(weighted[k])) for k in range(n)], "contig string, bin long, info double, weighted double")
+    got = sorted(trend.smooth_level_trend(rows, ql, qt, tile=tile).collect(), key=lambda r: r["bin"])
+    assert np.allclose([r["level"] for r in got], mean[2::2], atol=1e-5) and np.allclose([r["trend"] for r in got], mean[3::2], atol=1e-5)
+    assert np.allclose([r["variance"] for r in got], np.diag(cov)[2::2], atol=1e-5)
+
+
+def test_robust_level(spark):
+    from gridloom.operators import trend
+
+    rng, n, m, q = np.random.default_rng(9), 20, 3, 0.1
+    x, r = rng.normal(0, 1, (n, m)), rng.uniform(0.5, 2, (n, m))
+    x[4, 1] = 30.0
+    w = np.ones((n, m))
+    for turn in range(3):
+        if turn:
+            w = np.clip(9 / (8 + ((x - level[:, None]) ** 2 + var[:, None]) / r), 0.2, 5)
+        diff = np.diff(np.eye(n), axis=0)
+        precision = diff.T @ diff / q + np.diag((w / r).sum(axis=1))
+        precision[0, 0] += 1 / (1e6 + q)
+        cov = np.linalg.inv(precision)
+        level, var = cov @ (w * x / r).sum(axis=1), np.diag(cov)
+    rows = spark.createDataFrame([("c", i, f"s{j}", float(x[i, j]), float(r[i, j])) for i in range(n) for j in range(m)], "contig string, bin long, sample string, x double, r double")
+    got = sorted(trend.robust_level(rows, q, rounds=2, tile=6).collect(), key=lambda r: r["bin"])
+    assert np.allclose([r["level"] for r in got], level, atol=1e-6)
+
+
+def test_budgeted_runs(spark):
+    from gridloom.operators import tiles as t
+    from gridloom.operators import trend
+
+    rng = np.random.default_rng(10)
+    rows = [(c, i, float(x)) for c in ("a", "b") for i, x in enumerate(np.convolve(rng.normal(0, 1, 60), np.ones(4) / 4, "same"))]
+    table = spark.createDataFrame(rows, "contig string, bin long, score double")
+    got = trend.budgeted_runs(table, 0.2, 0.3, tile=16).filter("selected").groupBy("contig").count().collect()
+    most = {r["contig"]: r["count"] for r in got}
+    assert set(most) == {"a", "b"} and all(0 < n <= 12 for n in most.values())
+    x = [s for c, _, s in rows if c == "a"]
+    lo, hi = min(x), max(x) + 0.3
+    for _ in range(2):
+        grid = [lo + (hi - lo) * k / 8 for k in range(1, 9)]
+        fits = [p for p in grid if t.select_runs(table.filter("contig = 'a'"), p, 0.3).filter("selected").count() <= 12]
+        lo, hi = fits[0] - (hi - lo) / 8, fits[0]
+    assert t.select_runs(table.filter("contig = 'a'"), hi, 0.3).filter("selected").count() == most["a"]
+
+
+def test_quantiles_and_models(spark):
+    from gridloom.operators import models
+
+    rng = np.random.default_rng(11)
+    data = [("a", float(v)) for v in rng.normal(0, 1, 501)] + [("b", 0.0)] * 300 + [("b", float(v)) for v in rng.integers(0, 5, 200)] + [("c", 7.0), ("d", None)]
+    got = {r["k"]: r for r in statistics.quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q99": 0.99, "q100": 1.0}).collect()}
+    for k in "abc":
+        v = [x for key, x in data if key == k]
+        assert np.allclose([got[k][c] for c in ("q0", "q1", "q5", "q99", "q100")], np.quantile(v, [0, 0.1, 0.5, 0.99, 1]))
+    assert [models.pac_index(n, 0.95, 0.05) for n in (59, 100, 200, 500, 58)] == [59, 99, 196, 484, None]
+    for row, want in (((1.0, 100.0, 3.0, 5.0, 7.0), (2, 2, 4, 5, 5)), ((2.0, 4.0, 8.0, 16.0, 32.0), (5, 5, 12, 56 / 3, 56 / 3))):
+        t = spark.createDataFrame([("c", i, v, i != 1) for i, v in enumerate(row)], "contig string, bin long, x double, ok boolean")
+        assert np.allclose([r["m"] for r in models.sliding_mean(t, ["contig"], "bin", "x", "ok", 3, "m").orderBy("bin").collect()], want)
+    bins = sorted(set(rng.integers(0, 400, 150).tolist()))
+    want, last = [], -99
+    for b in bins:
+        if b >= last + 10:
+            want.append(b)
+            last = b
+    for tile in (13, 64, 5000):
+        t = spark.createDataFrame([("c", b) for b in bins], "contig string, bin long")
+        assert [r["bin"] for r in scan.spaced(t, ["contig"], "bin", 10, tile).orderBy("bin").collect()] == want
