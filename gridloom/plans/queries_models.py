@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import expr
-from gridloom.operators import counting, intervals, models, scan, statistics, trend
+from gridloom.operators import counting, intervals, models, scan, statistics, trend, variance
 from gridloom.plans import views as V
 from gridloom.plans.queries import query, r4
 from gridloom.plans.queries_more import _PEAKS, _peaks
@@ -419,3 +419,27 @@ def r6_budgeted_runs(spark, d):
     picked = trend.budgeted_runs(V.mean_track(spark, d).select("contig", "bin", F.col("x").alias("score")), 0.1, 0.3).filter("selected")
     found = intervals.runs(picked.select("contig", "bin"))
     return found.select("contig", (F.col("first_bin") * WIDTH).alias("start"), ((F.col("last_bin") + 1) * WIDTH).alias("end"))
+
+
+# ---- variance model -------------------------------------------------------------------------------------------------
+def _variance_blocks(spark, d):
+    return V.tracks(spark, d).groupBy("sample", "contig", F.floor(F.col("bin") / 8).alias("block")).agg(F.avg("raw").alias("m"), F.var_samp("raw").alias("v"), F.count(F.lit(1)).alias("k")).filter("k >= 4 AND v > 0")
+
+
+@query()
+def m1_p23_variance_trend(spark, d):
+    """Log-variance trend of the blocks of all samples, evaluated at every block; tests hold the fit against a dense one."""
+    b = _variance_blocks(spark, d)
+    trend_ = variance.fit_trend(b, "m", "v", F.col("k"))
+    return b.select("sample", "contig", "block", r4(trend_.log_variance(expr.signed_log1p(F.col("m")))).alias("log_v"))
+
+
+@query()
+def m4_m5_sample_variance(spark, d):
+    """Pooled trend as the prior, its strength from the blocks, and each block's variance drawn to it."""
+    b = _variance_blocks(spark, d)
+    trend_ = variance.fit_trend(b, "m", "v", F.col("k"))
+    prior = F.exp(trend_.log_variance(expr.signed_log1p(F.col("m"))))
+    nu = variance.prior_strength(b, "v", prior, 7.0)
+    blended = expr.eb_blend(F.col("v"), prior, 7.0, nu, F.lit(0.05), 0.01, 1e4)
+    return b.select("sample", "contig", "block", F.round(F.lit(nu), 3).alias("nu_prior"), r4(blended).alias("variance"))

@@ -261,3 +261,26 @@ def test_quantiles_and_models(spark):
     for tile in (13, 64, 5000):
         t = spark.createDataFrame([("c", b) for b in bins], "contig string, bin long")
         assert [r["bin"] for r in scan.spaced(t, ["contig"], "bin", 10, tile).orderBy("bin").collect()] == want
+
+
+def test_variance_trend(spark):
+    """The spline against a dense penalised fit; degrees of freedom of a known prior are found again."""
+    from gridloom.operators import variance
+
+    rng = np.random.default_rng(12)
+    mean = rng.gamma(2, 3, 400) - 1
+    true = 0.3 + 0.5 * np.sign(mean) * np.log1p(abs(mean))
+    local = np.exp(true) * rng.chisquare(8, 400) / 8
+    table = spark.createDataFrame([(float(m), float(v)) for m, v in zip(mean, local, strict=True)] + [(1.0, 0.0), (None, 1.0)], "m double, v double")
+    trend = variance.fit_trend(table, "m", "v", F.lit(1.0))
+    z = np.sign(mean) * np.log1p(abs(mean))
+    design = np.array([variance.basis_by_hand(x, trend.knots) for x in z])
+    assert np.allclose(design.sum(axis=1), 1)
+    rough = np.diff(np.eye(design.shape[1]), n=2, axis=0)
+    want = np.linalg.solve(design.T @ design + trend.penalty * rough.T @ rough, design.T @ np.log(local))
+    assert np.allclose(trend.coefficients, want, atol=1e-6)
+    at = [r["y"] for r in table.filter("v > 0 AND m IS NOT NULL").select(trend.log_variance(F.signum("m") * F.log1p(F.abs("m"))).alias("y")).collect()]
+    assert np.allclose(at, design @ want, atol=1e-6) and np.abs(at - true).max() < 0.6
+    drawn = np.exp(0.2) * (rng.chisquare(10, 8000) / 10) / (rng.chisquare(12, 8000) / 12)
+    found = variance.prior_strength(spark.createDataFrame([(float(v),) for v in drawn], "v double"), "v", F.lit(float(np.exp(0.2))), 10, winsor=0.0)
+    assert 10 < found < 15 and variance.prior_strength(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v", F.lit(1.0), 10) == 500
