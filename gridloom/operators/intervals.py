@@ -13,7 +13,8 @@ def merge_intervals(regions: DataFrame, tile: int = 1 << 20) -> DataFrame:
     d = regions.select("contig", "start", "end").withColumn("_e", F.struct("start", "end"))
     d = running(d, ["contig"], ["start", "end"], F.col("end"), "_reach", "max", exclusive=True, position=F.col("start"), tile=tile)
     d = d.withColumn("_new", (F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).cast("int"))
-    d = running(d.drop("_e"), ["contig"], ["start", "end"], F.col("_new"), "_island", position=F.col("start"), tile=tile)
+    # of equal intervals the one that opens an island comes first
+    d = running(d.drop("_e"), ["contig"], ["start", "end", F.col("_new").desc()], F.col("_new"), "_island", position=F.col("start"), tile=tile)
     return d.groupBy("contig", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 

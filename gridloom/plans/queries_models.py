@@ -443,3 +443,46 @@ def m4_m5_sample_variance(spark, d):
     nu = variance.prior_strength(b, "v", prior, 7.0)
     blended = expr.eb_blend(F.col("v"), prior, 7.0, nu, F.lit(0.05), 0.01, 1e4)
     return b.select("sample", "contig", "block", F.round(F.lit(nu), 3).alias("nu_prior"), r4(blended).alias("variance"))
+
+
+# ---- peaks and spans ------------------------------------------------------------------------------------------------
+_LEVELS = f"{TRACKS}, {MEAN}, lt AS (SELECT CAST(z AS DOUBLE) AS z, contig, bin, x FROM mean_track, (SELECT unnest([5.0, 5.1, 5.2]) AS z) WHERE x > z), lg AS (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY z, contig ORDER BY bin) = 1 THEN 0 ELSE 1 END AS n FROM lt), li AS (SELECT *, sum(n) OVER (PARTITION BY z, contig ORDER BY bin) AS k FROM lg), seg AS (SELECT z, contig, min(bin) AS a, max(bin) AS b, sum(x - z) AS score FROM li GROUP BY z, contig, k)"
+
+
+@query(f"WITH {_LEVELS} SELECT p.contig, p.a AS first_bin, p.b AS last_bin, count(c.z) AS candidates, round(max(c.score), 4) AS best FROM seg p LEFT JOIN seg c ON c.contig = p.contig AND c.a = p.a AND c.b = p.b AND c.z <> p.z WHERE p.z = 5.1 GROUP BY ALL")
+def j14_span_lookup(spark, d):
+    """Candidate scores of a peak by its exact span: an equi-join on contig, first and last bin."""
+    t = V.mean_track(spark, d).withColumn("z", F.explode(F.array(*(F.lit(x) for x in (5.0, 5.1, 5.2))))).filter("x > z")
+    t = t.select(F.concat_ws("|", F.col("z").cast("string"), "contig").alias("contig"), F.col("contig").alias("name"), "z", "bin", (F.col("x") - F.col("z")).alias("excess"))
+    seg = intervals.runs(t, 0, (F.first("z").alias("z"), F.first("name").alias("name"), F.sum("excess").alias("score"))).drop("contig").withColumnRenamed("name", "contig")
+    span = ["contig", "first_bin", "last_bin"]
+    c = seg.filter("z <> 5.1").select(*span, F.col("score").alias("s"))
+    return seg.filter("z = 5.1").select(*span).join(c, span, "left").groupBy(*span).agg(F.count("s").alias("candidates"), r4(F.max("s")).alias("best"))
+
+
+@query(f"WITH {_PEAKS}, c AS (SELECT pk.contig, a, b, summit, bin, x > 0.985 * top AS ok FROM pk JOIN mean_track m ON pk.contig = m.contig AND m.bin BETWEEN a AND b) SELECT contig, a AS peak, coalesce(max(CASE WHEN NOT ok AND bin < summit THEN bin + 1 END), a) AS first_bin, coalesce(min(CASE WHEN NOT ok AND bin > summit THEN bin - 1 END), b) AS last_bin FROM c GROUP BY contig, a, b")
+def p29_trimmed_peaks(spark, d):
+    """The part of a peak around its summit where the score stays above a floor: the nearest cells below it on both sides."""
+    p = _peaks(spark, d).select("contig", "a", "b", "summit", "top", F.explode(F.sequence("a", "b")).alias("bin"))
+    c = p.join(V.mean_track(spark, d), ["contig", "bin"]).withColumn("low", F.col("x") <= 0.985 * F.col("top"))
+    left = F.max(F.when(F.col("low") & (F.col("bin") < F.col("summit")), F.col("bin") + 1))
+    right = F.min(F.when(F.col("low") & (F.col("bin") > F.col("summit")), F.col("bin") - 1))
+    return c.groupBy("contig", "a", "b").agg(left.alias("l"), right.alias("r")).select("contig", F.col("a").alias("peak"), F.coalesce("l", "a").alias("first_bin"), F.coalesce("r", "b").alias("last_bin"))
+
+
+@query(f"WITH {FRAGMENTS}, {REGIONS}, every AS (SELECT contig, s, e FROM regions WHERE e - s <= 3 UNION ALL SELECT contig, s, e FROM fragments WHERE e - s <= 2), o AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM every), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT contig, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY contig, k")
+def u1_merged_sources(spark, d):
+    """Short regions of two sources in one union, merged."""
+    n = F.col("end") - F.col("start")
+    both = V.regions(spark, d).filter(n <= 3).unionByName(V.fragments(spark, d).filter(n <= 2).select("contig", "start", "end"))
+    return intervals.merge_intervals(both)
+
+
+@query(f"WITH {_DRAWS}, s AS (SELECT contig, stddev_pop(v) AS s FROM nul GROUP BY contig), o AS (SELECT draw, z, count(*) FILTER (WHERE v > z * s) / CAST(count(*) AS DOUBLE) AS occ FROM nul JOIN s USING (contig), (SELECT unnest([1.0, 1.5, 2.0]) AS z) WHERE regexp_matches(contig, '^[A-Z]O$') GROUP BY ALL) SELECT CAST(z AS DOUBLE) AS z, round(quantile_cont(occ, 0.9), 4) AS floor FROM o GROUP BY z")
+def m19_pooled_null_floor(spark, d):
+    """Null occupancy per threshold over the standard contigs pooled (here those that end in O)."""
+    n = _draws(spark, d)
+    s = n.groupBy("contig").agg(F.stddev_pop("null").alias("s"))
+    v = n.join(s, "contig").filter(F.col("contig").rlike("^[A-Z]O$")).withColumn("z", F.explode(F.array(*(F.lit(x) for x in (1.0, 1.5, 2.0)))))
+    o = v.groupBy("draw", "z").agg((F.count_if(F.col("null") > F.col("z") * F.col("s")) / F.count(F.lit(1))).alias("occ"))
+    return o.groupBy("z").agg(r4(F.percentile("occ", 0.9)).alias("floor"))  # one row per draw

@@ -284,3 +284,9 @@ def test_variance_trend(spark):
     drawn = np.exp(0.2) * (rng.chisquare(10, 8000) / 10) / (rng.chisquare(12, 8000) / 12)
     found = variance.prior_strength(spark.createDataFrame([(float(v),) for v in drawn], "v double"), "v", F.lit(float(np.exp(0.2))), 10, winsor=0.0)
     assert 10 < found < 15 and variance.prior_strength(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v", F.lit(1.0), 10) == 500
+
+
+def test_merge_repeated_intervals(spark):
+    rows = [("c", 0, 2)] * 3 + [("c", 5, 6)] * 4 + [("c", 6, 9)] * 2 + [("c", 20, 21)] * 3
+    got = intervals.merge_intervals(spark.createDataFrame(rows, "contig string, start long, end long").repartition(4)).collect()
+    assert sorted((r["start"], r["end"]) for r in got) == [(0, 2), (5, 9), (20, 21)]
