@@ -53,7 +53,7 @@ def store_of(uri: str):
 
 
 def freed(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more. Where pyarrow does not know the store, they stay."""
+    """Delete staged tables that nothing reads any more. Where pyarrow cannot reach the store, they stay."""
     import pyarrow as pa
 
     for table in tables:
@@ -61,9 +61,9 @@ def freed(*tables: DataFrame) -> None:
         if path and path.startswith(f"{workspace(table.sparkSession)}/gridloom-"):
             try:
                 store, where = store_of(path)
-            except pa.ArrowInvalid:
+                store.delete_dir(where)
+            except (pa.ArrowInvalid, OSError):
                 continue
-            store.delete_dir(where)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
