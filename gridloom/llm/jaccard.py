@@ -408,7 +408,7 @@ def _candidates(docs: DataFrame, size: int, percent: int):
     picked, passed = _rows_of(src, wanted.select("node", "low"))
     ranges = max(least, -(-grams // RANGE_GRAMS))
     packed = picked.mapInArrow(_packed_grams(size, passed, ranges), "range int, grams binary, counts binary, nodes binary")
-    alone = packed.groupBy("range").applyInArrow(_unshared(least), "bucket int, nodes binary, counts binary").groupBy("bucket").applyInArrow(_added, "node long, alone long")
+    alone = packed.groupBy("range").applyInArrow(_unshared(max(least, rows // 200_000 + 1)), "bucket int, nodes binary, counts binary").groupBy("bucket").applyInArrow(_added, "node long, alone long")
     stats = wanted.drop("low").join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     stats = staged(stats.filter(100 * F.col("shared") >= percent * F.col("n")), "stats")  # the others link with nothing
 
