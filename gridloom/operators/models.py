@@ -169,3 +169,22 @@ def read_geometry(flag: Column, start: Column, end: Column, tlen: Column, shift:
 def flag_exclusion(mode: Column, exclude: int = 3844) -> Column:
     """read1 input also drops mate-unmapped (8) and second reads (128)."""
     return F.when(mode == "read1", F.lit(exclude).bitwiseOR(F.lit(8 | 128))).otherwise(F.lit(exclude))
+
+
+def block_length(n: Column, interval: int, least_bp: int, multiple: int, folds: int, least: int) -> Column:
+    """Bins of a hold-out block: enough base pairs, at most what ``folds`` blocks leave of ``n`` bins, within [least, n]."""
+    wanted = round(max(least_bp, multiple * interval) / interval)
+    most = F.greatest(F.floor((n + folds - 1) / folds), F.lit(least))
+    return F.least(F.greatest(F.least(F.lit(wanted), most), F.lit(least)), F.greatest(n, F.lit(1)))
+
+
+def odd_bins(window: Column, interval: int, least: int = 3) -> Column:
+    """An odd number of bins that covers ``window`` base pairs."""
+    n = F.greatest(F.lit(least), F.ceil(window / interval))
+    return n + F.when(n % 2 == 0, 1).otherwise(0)
+
+
+def remaining_gap(path: Column) -> Column:
+    """Of an array of objectives: (f - last) / (first - last) per pass, 0 where nothing was gained."""
+    first, last = F.element_at(path, 1), F.element_at(path, -1)
+    return F.transform(path, lambda f: F.when(F.abs(first - last) <= 1e-12, 0.0).otherwise((f - last) / (first - last)))

@@ -486,3 +486,20 @@ def m19_pooled_null_floor(spark, d):
     v = n.join(s, "contig").filter(F.col("contig").rlike("^[A-Z]O$")).withColumn("z", F.explode(F.array(*(F.lit(x) for x in (1.0, 1.5, 2.0)))))
     o = v.groupBy("draw", "z").agg((F.count_if(F.col("null") > F.col("z") * F.col("s")) / F.count(F.lit(1))).alias("occ"))
     return o.groupBy("z").agg(r4(F.percentile("occ", 0.9)).alias("floor"))  # one row per draw
+
+
+@query(f"WITH {TRACKS}, {MEAN}, n AS (SELECT contig, count(*) AS n FROM mean_track GROUP BY contig), w AS (SELECT contig, n, unnest([25, 60, 133, 400]) AS bp FROM n) SELECT contig, bp, least(greatest(least(40, greatest((n + 3) // 4, 5)), 5), n) AS block, CASE WHEN greatest(3, CAST(ceil(bp / {WIDTH}.0) AS BIGINT)) % 2 = 0 THEN greatest(3, CAST(ceil(bp / {WIDTH}.0) AS BIGINT)) + 1 ELSE greatest(3, CAST(ceil(bp / {WIDTH}.0) AS BIGINT)) END AS bins FROM w")
+def a27_p35_block_lengths(spark, d):
+    """Hold-out block length and odd windows in bins, from base pairs and the contig's number of bins."""
+    n = V.mean_track(spark, d).groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
+    w = n.withColumn("bp", F.explode(F.array(*(F.lit(x) for x in (25, 60, 133, 400)))))
+    return w.select("contig", "bp", models.block_length(F.col("n"), WIDTH, 400, 12, 4, 5).alias("block"), models.odd_bins(F.col("bp"), WIDTH).alias("bins"))
+
+
+@query("WITH f AS (SELECT c_nationkey AS run, c_custkey % 6 AS pass, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS f FROM customer GROUP BY ALL), e AS (SELECT *, first_value(f) OVER w AS f0, last_value(f) OVER w AS f1 FROM f WINDOW w AS (PARTITION BY run ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT run, pass, round(f, 2) AS objective, round(CASE WHEN abs(f0 - f1) <= 1e-12 THEN 0 ELSE (f - f1) / (f0 - f1) END, 4) AS gap FROM e")
+def a49_convergence_paths(spark, d):
+    """Nested diagnostics of runs flattened to a row per pass, with the remaining share of the first gap."""
+    c = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").alias("run"), (F.col("c_custkey") % 6).alias("pass")).agg(F.round(F.sum("c_acctbal"), 2).cast("double").alias("f"))
+    nested = c.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("pass", "f"))).alias("path"))  # a handful of passes
+    rows = nested.select("run", F.explode(F.arrays_zip("path", models.remaining_gap(F.col("path.f")).alias("gap"))).alias("p"))
+    return rows.select("run", "p.path.pass", F.round("p.path.f", 2).alias("objective"), r4("p.gap").alias("gap"))
