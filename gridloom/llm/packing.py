@@ -16,21 +16,20 @@ columns are left behind; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from gridloom.llm.common import lookup_join, pick, staged
 from gridloom.llm.tokens import SLICE, binary_array, byte_batches, encoder
 
 SEQUENCE = 1024
 END_ID = 0
-DTYPE = "<u2"
+#: 32 bits, so that pieces can be cut and their checksums taken by SQL functions.
+DTYPE = "<u4"
 #: Column generation ends when the sequences are within this share of the lower bound.
 GAP = 1e-3
 STALL = 12
@@ -249,7 +248,7 @@ def slots(histogram: dict[int, int], size: int = SEQUENCE, gap: float = GAP) ->
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 16-bit)."""
+    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     spark, width = docs.sparkSession, np.dtype(DTYPE).itemsize
     tokens = staged(tokenised(docs, tokenizer, size, end_id), "tokens")
     counts = staged(tokens.groupBy("part", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("doc_tokens") / size)).alias("fulls")), "counts")
@@ -281,13 +280,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = EN
     return full.unionByName(tail)
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids):
-    return ids.map(lambda b: zlib.crc32(np.frombuffer(b, dtype=DTYPE).astype("<u4").tobytes()))
-
-
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_pack_sequences(spark, sf_dir: str) -> DataFrame:

@@ -245,11 +245,11 @@ def test_html_odd_markup(spark):
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    want = Counter((r[0], zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u2").tobytes())) for r in rows())
+    want = Counter((r[0], zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes())) for r in rows())
     got = packing.pack(docs, path, size=64).collect()
     pieces, sequences = {}, {}
     for r in got:
-        assert len(r["ids"]) == 2 * r["length"] and 0 < r["length"] <= 64
+        assert len(r["ids"]) == 4 * r["length"] and 0 < r["length"] <= 64
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
     for parts in sequences.values():
