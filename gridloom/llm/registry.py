@@ -16,6 +16,9 @@ MODULES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_quality_rules": "quality",
     "op10_token_files": "token_files",
+    "op11_vector_codes": "vector_codes",
+    "op12_repair_chats": "chat_repair",
+    "op13_language_id": "language_id",
 }
 
 
