@@ -6,7 +6,7 @@ learned from. Centroids are fitted on a bounded sample: at most SAMPLE documents
 of their ids; spherical k-means finds CENTROIDS of them per language, one Spark job per round.
 
 A text gets the language of the centroid with the largest cosine. Its ``rejected`` flag says that the cosine is below what
-REJECT of the sample's documents of its length class (a power of two of n-grams) reach, times SLACK: the text looks like no
+all but REJECT of the sample's documents of its length class (a power of two of n-grams) reach, times SLACK: the text looks like no
 learned language, though the nearest one is still named. The score is the softmax share of the nearest language at TEMPERATURE
 times, if rejected, the ratio of the cosine to that bound.
 
@@ -154,8 +154,9 @@ class Model:
         return self.langs[top], min(1.0, max(0.0, share * (float(best[top]) / bound if rejected else 1.0))), rejected
 
     def _bound(self, cls: int) -> float:
-        """That of the class, or of the nearest shorter one; 0 below all."""
-        return max(((c, b) for c, b in self.least.items() if c <= cls), default=(0, 0.0))[1]
+        """That of the class, or of the nearest shorter one; half of the shortest one's below all."""
+        shorter = [c for c in self.least if c <= cls]
+        return self.least[max(shorter)] if shorter else 0.5 * self.least[min(self.least)] if self.least else 0.0
 
 
 def _sample(docs: DataFrame, size: int) -> DataFrame:

@@ -136,10 +136,11 @@ def fit_codes(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     """The kept rows (vec_id, label, x, code, dist), staged, and the final codebooks. ``entries`` at most 2^31 / parts."""
     kept = staged(integers(rows), "vectors")
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "x").select(F.size("x").alias("n")).first()
-    cuts = bounds(first["n"] if first else 0, parts)
-    same = kept.filter(F.size("x") == (first["n"] if first else 0))
+    dim = first["n"] if first else 0
+    cuts = bounds(dim, parts)
+    same = kept.filter(F.size("x") == dim)
     start = [r["x"] for r in same.orderBy(F.col("vec_id").asc_nulls_last(), "x").select("x").limit(entries).collect()]  # at most ``entries`` rows
-    books = [np.array(start, dtype=np.int64).reshape(len(start), -1)[:, a:b] for a, b in cuts]
+    books = [np.array(start, dtype=np.int64).reshape(len(start), dim)[:, a:b] for a, b in cuts]
     state = staged(same.mapInArrow(_assigning(books, None, cuts), _STATE), "codes")
     freed(kept)
     for _ in range(rounds):
