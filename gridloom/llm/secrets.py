@@ -2,16 +2,19 @@
 
 Patterns: assignments, access keys and long hex runs, leftmost and non-overlapping per kind. They are always reported.
 
-Battery: every other run of token characters (``CANDIDATE``) is a candidate. Its encoding is inferred from its characters;
-three tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity (Wilson-Hilferty), runs above
-and below the median code, and lag-1 serial correlation. The smallest p-value times three is its randomness score.
-Ordinary text gives the null: windows of every text with the blanks taken out, one per NULL_STEP characters and length
-class, get the same score. A candidate's p-value is the share of null windows of its length class that look at least as
-random; Benjamini-Hochberg over all candidates picks the discoveries at level FDR. Histograms of scores (a few thousand
-cells) are all that is gathered.
+Battery: every other run of token characters (``CANDIDATE``) that could hold MIN_BITS is a candidate. Its encoding is the
+smallest alphabet that has all its characters; three tests ask whether it looks drawn at random from that alphabet: chi-squared
+uniformity (Wilson-Hilferty), runs above and below the median code, and lag-1 serial correlation. The smallest p-value times
+three is its randomness score.
+Ordinary text gives the null: windows of every text with blanks and pattern hits taken out, one per NULL_STEP characters and
+length class. The p-value of a candidate is the share of null windows of its length class that fall into its encoding and look
+at least as random, times the number of encodings: ordinary text rarely gets into an encoding with digits and both cases, so
+tokens of 20 characters on stand out although their letters alone prove little. Benjamini-Hochberg over all candidates picks the
+discoveries at level FDR. What is gathered are histograms of scores (classes x encodings x bins). The smallest p-value
+is the number of encodings over that of windows, so discoveries need a corpus of some MB.
 
 Cases: null text is empty; offsets are code points, end exclusive; no candidates or no text give no discoveries; repeated
-rows are scanned row by row; an empty table gives an empty result.
+rows are scanned row by row; an empty table gives an empty result; a text of any length is scanned in one pass over its spans.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from string import ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
 import pyarrow as pa
@@ -34,66 +38,78 @@ HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-ALPHABETS = tuple(
-    (name, frozenset(chars))
-    for name, chars in (
-        ("hex", "0123456789abcdef"),
-        ("HEX", "0123456789ABCDEF"),
-        ("lower", "abcdefghijklmnopqrstuvwxyz"),
-        ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-        ("base36", "abcdefghijklmnopqrstuvwxyz0123456789"),
-        ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-        ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="),
-    )
+ALPHABETS = (
+    ("decimal", digits),
+    ("hex", digits + "abcdef"),
+    ("HEX", digits + "ABCDEF"),
+    ("lower", ascii_lowercase),
+    ("base32", ascii_uppercase + "234567"),
+    ("base36", ascii_lowercase + digits),
+    ("letters", ascii_uppercase + ascii_lowercase),
+    ("base62", ascii_uppercase + ascii_lowercase + digits),
+    ("base64", ascii_uppercase + ascii_lowercase + digits + "+/_-="),
 )
-CODES = {name: {c: i for i, c in enumerate(sorted(chars))} for name, chars in ALPHABETS}
+SIZES = np.array([len(chars) for _, chars in ALPHABETS])
+#: By byte: its code in each alphabet, and a bit for each alphabet that has it.
+CODES = np.zeros((len(ALPHABETS), 256), dtype=np.int64)
+MEMBER = np.zeros(256, dtype=np.int64)
+for _i, (_, _chars) in enumerate(ALPHABETS):
+    for _code, _c in enumerate(sorted(_chars)):
+        CODES[_i, ord(_c)] = _code
+        MEMBER[ord(_c)] |= 1 << _i
 #: Length classes: a candidate belongs to the longest one that it reaches.
 CLASSES = (16, 20, 24, 32, 48, 64)
-NULL_STEP = 997
+MIN_BITS = 64
+NULL_STEP = 61
 FDR = 0.01
 BINS = 400
+#: Windows that are tested at a time.
+ROWS = 8192
 _BLANK = re.compile(r"[^A-Za-z0-9+/_=-]+")
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _tail(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(z / math.sqrt(2)).astype(np.float64)
 
 
-def infer(token: str) -> str:
-    present = set(token)
-    return next(name for name, chars in ALPHABETS if present <= chars)
+def encodings(tokens: np.ndarray) -> np.ndarray:
+    """Of byte rows: the first alphabet that has all characters."""
+    shared = np.bitwise_and.reduce(MEMBER[tokens], axis=1)
+    return np.log2(shared & -shared).astype(np.int64)
 
 
-def battery(token: str) -> tuple[float, float, float]:
-    """p-values of uniformity, runs and serial correlation under randomness."""
-    name = infer(token)
-    codes, n, k = CODES[name], len(token), len(CODES[name])
-    counts = Counter(token)
-    chi = sum(c * c for c in counts.values()) * k / n - n
-    d = k - 1
-    p_chi = _tail(((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
-    x = [codes[c] for c in token]
-    mid = (k - 1) / 2
-    high = [v > mid for v in x]
-    a = sum(high)
-    b = n - a
-    if a == 0 or b == 0:
-        p_runs = 0.5 ** (n - 1)
-    else:
-        runs = 1 + sum(u != v for u, v in zip(high, high[1:], strict=False))
-        mean = 1 + 2 * a * b / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = 2 * _tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0
-    m = sum(x) / n
-    spread = sum((v - m) ** 2 for v in x)
-    serial = sum((u - m) * (v - m) for u, v in zip(x, x[1:], strict=False)) / spread if spread else 1.0
-    return p_chi, p_runs, 2 * _tail(abs(serial + 1 / n) * math.sqrt(n))
+def battery(tokens: np.ndarray, encoding: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p-values of uniformity, runs and serial correlation of byte rows under randomness."""
+    x, (m, n), k = CODES[encoding][tokens], tokens.shape, int(SIZES[encoding])
+    counts = np.bincount((np.arange(m)[:, None] * k + x).ravel(), minlength=m * k).reshape(m, k)
+    chi, d = (counts * counts).sum(1) * (k / n) - n, k - 1
+    p_chi = _tail((np.cbrt(chi / d) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+    high = x > (k - 1) / 2
+    a = high.sum(1)
+    mean = 1 + 2 * a * (n - a) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    p_runs = np.where(var > 0, 2 * _tail(np.abs(runs - mean) / np.sqrt(np.where(var > 0, var, 1.0))), 1.0)
+    p_runs = np.where((a == 0) | (a == n), 0.5 ** (n - 1), p_runs)
+    off = x - x.mean(1, keepdims=True)
+    spread = (off * off).sum(1)
+    serial = np.where(spread > 0, (off[:, :-1] * off[:, 1:]).sum(1) / np.where(spread > 0, spread, 1.0), 1.0)
+    return p_chi, p_runs, 2 * _tail(np.abs(serial + 1 / n) * math.sqrt(n))
 
 
-def badness(token: str) -> int:
-    """Bin of -log10 of the combined p-value: 0 looks random."""
-    p = min(1.0, 3 * min(battery(token)))
-    return min(BINS - 1, int(-10 * math.log10(max(p, 1e-45))))
+def scores(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of byte rows of one length: encoding, and bin of -log10 of the combined p-value (0 looks random)."""
+    encoding, bins = encodings(tokens), np.zeros(len(tokens), dtype=np.int64)
+    for e in np.unique(encoding):
+        at = np.flatnonzero(encoding == e)
+        p = np.minimum(1.0, 3 * np.minimum.reduce(battery(tokens[at], int(e))))
+        bins[at] = np.minimum(BINS - 1, (-10 * np.log10(np.maximum(p, 1e-45))).astype(np.int64))
+    return encoding, bins
+
+
+def as_bytes(token: str) -> np.ndarray:
+    return np.frombuffer(token.encode("ascii"), dtype=np.uint8)
 
 
 def length_class(n: int) -> int:
@@ -112,25 +128,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def null_windows(text: str):
-    """(class, window) of ordinary text, spread over the whole of it."""
-    if len(text) < 64:
-        return
-    for at in range(0, len(text) - 63, NULL_STEP):
-        plain = _BLANK.sub("", text[at : at + 160])
-        for i, n in enumerate(CLASSES):
-            if len(plain) >= n:
-                yield i, plain[:n]
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs that no base span meets, in one pass over both sorted lists, and that can hold MIN_BITS."""
+    out, at, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= a and (b - a) * math.log2(SIZES[int(encodings(as_bytes(m[0])[None, :])[0])]) >= MIN_BITS:
+            out.append((a, b))
+    return out
+
+
+def null_windows(text: str, spans: list[tuple[int, int, int]]) -> dict[int, np.ndarray]:
+    """By class: byte rows of ordinary text, spread over the whole of it."""
+    pieces, at = [], 0
+    for s, _, e in spans:
+        if s > at:
+            pieces.append(text[at:s])
+        at = max(at, e)
+    plain = np.frombuffer(_BLANK.sub("", " ".join([*pieces, text[at:]])).encode("ascii"), dtype=np.uint8)
+    out = {}
+    for i, n in enumerate(CLASSES):
+        starts = np.arange(0, len(plain) - n + 1, NULL_STEP)
+        if len(plain) >= CLASSES[-1] and len(starts):
+            out[i] = plain[starts[:, None] + np.arange(n)]
+    return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cls", pa.int32()), ("bin", pa.int32())])
-_CELL = pa.struct([("cls", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
-_KIND = "doc_id long, is_doc boolean, base array<struct<start: long, kind: int, end: long>>, cands array<struct<start: long, end: long, cls: int, bin: int>>, nulls array<struct<cls: int, bin: int, n: long>>"
+_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cell", pa.int32()), ("bin", pa.int32())])
+_CELL = pa.struct([("cell", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+_KIND = "doc_id long, is_doc boolean, base array<struct<start: long, kind: int, end: long>>, cands array<struct<start: long, end: long, cell: int, bin: int>>, nulls array<struct<cell: int, bin: int, n: long>>"
 
 
 def _scan(batches):
-    cells: Counter = Counter()
+    """A cell is a length class and an encoding: class * encodings + encoding."""
+    null = np.zeros((len(CLASSES) * len(ALPHABETS), BINS), dtype=np.int64)
+    waiting: dict[int, list[np.ndarray]] = {i: [] for i in range(len(CLASSES))}
+
+    def count(i: int) -> None:
+        for at in range(0, len(rows := np.concatenate(waiting[i])), ROWS):
+            encoding, bins = scores(rows[at : at + ROWS])
+            np.add.at(null, (i * len(ALPHABETS) + encoding, bins), 1)
+        waiting[i].clear()
 
     def batch_of(ids, flags, base, cands, nulls):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(base, pa.list_(_SPAN)), pa.array(cands, pa.list_(_CAND)), pa.array(nulls, pa.list_(_CELL))], names=["doc_id", "is_doc", "base", "cands", "nulls"])
@@ -141,33 +183,36 @@ def _scan(batches):
             text = text or ""
             spans = base_spans(text)
             more = []
-            for m in CANDIDATE.finditer(text):
-                a, b = m.span()
-                if not any(s < b and a < e for s, _, e in spans):
-                    more.append({"start": a, "end": b, "cls": length_class(b - a), "bin": badness(m[0])})
-            for cls, window in null_windows(text):
-                cells[cls, badness(window)] += 1
+            for a, b in candidates(text, spans):
+                encoding, bins = scores(as_bytes(text[a:b])[None, :])
+                more.append({"start": a, "end": b, "cell": length_class(b - a) * len(ALPHABETS) + int(encoding[0]), "bin": int(bins[0])})
+            for i, rows in null_windows(text, spans).items():
+                waiting[i].append(rows)
+                if sum(map(len, waiting[i])) >= ROWS:
+                    count(i)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             cands.append(more)
         yield batch_of(batch.column(0).to_pylist(), [True] * batch.num_rows, base, cands, [[]] * batch.num_rows)
-    yield batch_of([None], [False], [[]], [[]], [[{"cls": c, "bin": b, "n": n} for (c, b), n in cells.items()]])
+    for i in waiting:
+        if waiting[i]:
+            count(i)
+    yield batch_of([None], [False], [[]], [[]], [[{"cell": int(c), "bin": int(b), "n": int(null[c, b])} for c, b in zip(*np.nonzero(null), strict=True)]])
 
 
 def cutoffs(null: dict[tuple[int, int], int], seen: dict[tuple[int, int], int], fdr: float = FDR) -> list[int]:
-    """Per length class the largest bin that is a discovery (-1: none), by Benjamini-Hochberg over all candidates."""
-    table, total = [], sum(seen.values())
-    for cls in range(len(CLASSES)):
-        counts = np.array([null.get((cls, b), 0) for b in range(BINS)])
-        p = (1 + np.cumsum(counts)) / (1 + counts.sum())
-        table += [(p[b], cls, b, seen[cls, b]) for b in range(BINS) if seen.get((cls, b))]
-    table.sort()
-    ranks = np.cumsum([n for *_, n in table])
+    """Per cell the largest bin that is a discovery (-1: none), by Benjamini-Hochberg over all candidates."""
+    counts = np.zeros((len(CLASSES), len(ALPHABETS), BINS))
+    for (cell, b), n in null.items():
+        counts[*divmod(cell, len(ALPHABETS)), b] = n
+    p = np.minimum(1.0, len(ALPHABETS) * (1 + counts.cumsum(2)) / (1 + counts.sum((1, 2)))[:, None, None]).reshape(-1, BINS)
+    table = sorted((p[cell, b], cell, b, n) for (cell, b), n in seen.items())
+    total, ranks = sum(seen.values()), np.cumsum([n for *_, n in table])
     passing = [i for i, row in enumerate(table) if row[0] <= fdr * ranks[i] / total]
     limit = table[passing[-1]][0] if passing else -1.0
-    out = [-1] * len(CLASSES)
-    for p, cls, b, _ in table:
-        if p <= limit:
-            out[cls] = max(out[cls], b)
+    out = [-1] * (len(CLASSES) * len(ALPHABETS))
+    for q, cell, b, _ in table:
+        if q <= limit:
+            out[cell] = max(out[cell], b)
     return out
 
 
@@ -176,12 +221,12 @@ def scan_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     scanned = staged(pick(docs, doc_id="long", text="string").mapInArrow(_scan, _KIND), "scanned")
 
     def cells(column: str, n) -> dict:
-        rows = scanned.select(F.explode(column).alias("c")).groupBy("c.cls", "c.bin").agg(n.alias("n")).collect()  # at most classes x bins
-        return {(r["cls"], r["bin"]): r["n"] for r in rows}
+        rows = scanned.select(F.explode(column).alias("c")).groupBy("c.cell", "c.bin").agg(n.alias("n")).collect()  # at most cells x bins
+        return {(r["cell"], r["bin"]): r["n"] for r in rows}
 
     limits = cutoffs(cells("nulls", F.sum("c.n")), cells("cands", F.count(F.lit(1))), fdr)
     limit = F.array(*(F.lit(b) for b in limits))
-    found = F.transform(F.filter("cands", lambda c: c["bin"] <= F.element_at(limit, c["cls"] + 1)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    found = F.transform(F.filter("cands", lambda c: c["bin"] <= F.element_at(limit, c["cell"] + 1)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.filter("is_doc").select("doc_id", "base", found.alias("found"))
 
 
