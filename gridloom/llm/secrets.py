@@ -6,8 +6,8 @@ Battery: every other run of token characters (``CANDIDATE``) that could hold MIN
 smallest alphabet that has all its characters; three tests ask whether it looks drawn at random from that alphabet: chi-squared
 uniformity (Wilson-Hilferty), runs above and below the median code, and lag-1 serial correlation. The smallest p-value times
 three is its randomness score.
-Ordinary text gives the null: windows of every text with blanks and pattern hits taken out, one per NULL_STEP characters and
-length class. The p-value of a candidate is the share of null windows of its length class that fall into its encoding and look
+Ordinary text gives the null: windows of every text with blanks, pattern hits and candidates taken out, one per NULL_STEP
+characters and length class. The p-value of a candidate is the share of null windows of its length class that fall into its encoding and look
 at least as random, times the number of encodings: ordinary text rarely gets into an encoding with digits and both cases, so
 tokens of 20 characters on stand out although their letters alone prove little. Benjamini-Hochberg over all candidates picks the
 discoveries at level FDR. What is gathered are histograms of scores (classes x encodings x bins). The smallest p-value
@@ -141,10 +141,10 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def null_windows(text: str, spans: list[tuple[int, int, int]]) -> dict[int, np.ndarray]:
-    """By class: byte rows of ordinary text, spread over the whole of it."""
+def null_windows(text: str, taken: list[tuple[int, int]]) -> dict[int, np.ndarray]:
+    """By class: byte rows of ordinary text, spread over the whole of it, without the spans that are ``taken``."""
     pieces, at = [], 0
-    for s, _, e in spans:
+    for s, e in sorted(taken):
         if s > at:
             pieces.append(text[at:s])
         at = max(at, e)
@@ -183,10 +183,11 @@ def _scan(batches):
             text = text or ""
             spans = base_spans(text)
             more = []
-            for a, b in candidates(text, spans):
+            runs = candidates(text, spans)
+            for a, b in runs:
                 encoding, bins = scores(as_bytes(text[a:b])[None, :])
                 more.append({"start": a, "end": b, "cell": length_class(b - a) * len(ALPHABETS) + int(encoding[0]), "bin": int(bins[0])})
-            for i, rows in null_windows(text, spans).items():
+            for i, rows in null_windows(text, runs + [(s, e) for s, _, e in spans]).items():
                 waiting[i].append(rows)
                 if sum(map(len, waiting[i])) >= ROWS:
                     count(i)
