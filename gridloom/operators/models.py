@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.scan import halo_window, running
+from gridloom.operators.statistics import cumulative
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -113,8 +114,7 @@ def pac_bounds(scores: DataFrame, key: str, score: str, coverage: float, delta:
     index = [(k, n, pac_index(n, coverage, delta)) for k, n in sizes.items()]
     kind = scores.schema[key].dataType.simpleString()
     table = scores.sparkSession.createDataFrame(index, f"`{key}` {kind}, n_blocks long, order_index long")
-    per = scores.groupBy(key, score).agg(F.count(F.lit(1)).alias("_m"))
-    cum = running(per, [key], [score], F.col("_m"), "_c", position=F.col(score), tile=4)
+    cum = cumulative(scores.groupBy(key, score).agg(F.count(F.lit(1)).alias("_m")), [key], score, {"_c": "_m"})
     found = cum.join(F.broadcast(table), key).filter("_c >= order_index").groupBy(key).agg(F.min(score).alias("bound"))
     return table.join(found, key, "left").withColumn("scale", F.col("bound") / z)
 
@@ -123,12 +123,16 @@ def wild_bootstrap(rows: DataFrame, keys: list[str], position: str, residual: st
     """keys, position, draw, null: residuals times a smooth Gaussian multiplier (Bartlett weights, unit variance inside) per
     draw, less the draw's mean. Noise depends on (seed, keys, position, draw) only; the weights are two box sums."""
     d = rows.select(*keys, position, residual, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    d = d.withColumn("_e", normal(seed, *keys, position, "draw"))
-    reach = F.explode(F.sequence(F.col(position) - (span - 1), F.col(position) + (span - 1)))
-    near = d.select(*keys, "draw", "_e", reach.alias("_at"), F.col(position).alias("_p"))
-    smooth = near.groupBy(*keys, "draw", F.col("_at").alias(position)).agg(F.sum(F.col("_e") * (span - F.abs(F.col("_at") - F.col("_p")))).alias("_g"))
+    by, d = [*keys, "draw"], d.withColumn("_e", normal(seed, *keys, position, "draw"))
+    # sums of e and of position * e over the left and the right half of the triangle give its weights, gaps or not
+    d, at = d.withColumn("_pe", F.col(position) * F.col("_e")), F.col(position)
+    left, right = (1 - span, 0), (1, span - 1)
+    sums = {f"_{side}{c}": (lambda w, c=c, ends=ends: F.sum(c).over(w.rangeBetween(*ends))) for side, ends in (("l", left), ("r", right)) for c in ("_e", "_pe") if ends[0] <= ends[1]}
+    smooth = halo_window(d, by, position, span - 1, span - 1, sums)
+    side = lambda name: F.coalesce(F.col(name), F.lit(0.0)) if span > 1 else F.lit(0.0)
+    smooth = smooth.withColumn("_g", (span - at) * F.col("_l_e") + F.col("_l_pe") + (span + at) * side("_r_e") - side("_r_pe"))
     norm = math.sqrt(sum((span - abs(k)) ** 2 for k in range(1 - span, span)))
-    out = d.join(smooth, [*keys, "draw", position]).withColumn("_n", F.col(residual) * F.col("_g") / norm)
+    out = smooth.withColumn("_n", F.col(residual) * F.col("_g") / norm)
     mean = out.groupBy(*keys, "draw").agg(F.avg("_n").alias("_mu"))
     return out.join(mean, [*keys, "draw"]).select(*keys, position, "draw", (F.col("_n") - F.col("_mu")).alias("null"))
 
