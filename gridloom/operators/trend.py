@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import tiles
 from gridloom.schema import TILE
+from gridloom.staging import freed, staged
 
 _STEP = np.array([[1.0, 1.0], [0.0, 1.0]])
 _UNIT = np.eye(2)
@@ -127,13 +128,13 @@ def smooth_level_trend(cells: DataFrame, q_level: float, q_trend: float, start_v
 def robust_level(cells: DataFrame, q: float, nu: float = 8.0, low: float = 0.2, high: float = 5.0, rounds: int = 3, tile: int = TILE) -> DataFrame:
     """Level smoother with Student-t precision multipliers: ``rounds`` times, cells get lambda = (nu + 1) / (nu + u), with u
     the squared residual and the level's variance over R, clipped. ``cells``: contig, bin, sample, x, r (variance)."""
-    weight, level = F.lit(1.0), None
-    weighed = cells.withColumn("_w", weight)
-    for _ in range(rounds + 1):
+    level, weighed = None, cells.withColumn("_w", F.lit(1.0))
+    for _ in range(rounds + 1):  # each round reads the level that the one before has written
         if level is not None:
             u = (F.pow(F.col("x") - F.col("level"), 2) + F.col("variance")) / F.col("r")
             weighed = cells.join(level, ["contig", "bin"]).withColumn("_w", F.least(F.lit(high), F.greatest(F.lit(low), (nu + 1) / (nu + u)))).drop("level", "variance")
-        level = tiles.smooth_level(weighed.groupBy("contig", "bin").agg(F.sum(F.col("_w") / F.col("r")).alias("info"), F.sum(F.col("_w") * F.col("x") / F.col("r")).alias("weighted")), q, tile=tile)
+        before, level = level, staged(tiles.smooth_level(weighed.groupBy("contig", "bin").agg(F.sum(F.col("_w") / F.col("r")).alias("info"), F.sum(F.col("_w") * F.col("x") / F.col("r")).alias("weighted")), q, tile=tile), "level")
+        freed(before)
     return level
 
 
@@ -142,6 +143,7 @@ def budgeted_runs(scores: DataFrame, share: float, switch: float, rounds: int =
 
     The penalty is bisected ``steps`` ways at a time: all candidates of a round are selections of one job, keyed by (contig,
     candidate), and only their counts are compared. Ends of the search are the contig's least and largest score."""
+    scores = staged(scores.select("contig", "bin", "score"), "scores")
     ends = scores.groupBy("contig").agg(F.min("score").alias("_lo"), (F.max("score") + switch).alias("_hi"), F.floor(share * F.count(F.lit(1))).alias("_most"))
     for _ in range(rounds):
         tried = ends.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("_p", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_k") / steps)
@@ -150,6 +152,6 @@ def budgeted_runs(scores: DataFrame, share: float, switch: float, rounds: int =
         counts = counts.select(F.split("contig", "\x1f")[0].alias("contig"), F.split("contig", "\x1f")[1].cast("int").alias("_k"), "_n")
         fits = counts.join(ends.select("contig", "_most"), "contig").filter("_n <= _most").groupBy("contig").agg(F.min("_k").alias("_k"))
         width = (F.col("_hi") - F.col("_lo")) / steps
-        ends = ends.join(fits, "contig").select("contig", (F.col("_lo") + width * (F.col("_k") - 1)).alias("_lo"), (F.col("_lo") + width * F.col("_k")).alias("_hi"), "_most")
+        ends = staged(ends.join(fits, "contig").select("contig", (F.col("_lo") + width * (F.col("_k") - 1)).alias("_lo"), (F.col("_lo") + width * F.col("_k")).alias("_hi"), "_most"), "ends")
     shifted = scores.join(ends, "contig").select("contig", "bin", (F.col("score") - F.col("_hi")).alias("score"))
     return tiles.select_runs(shifted, 0.0, switch, tile)

@@ -229,9 +229,10 @@ def j8_x7_blacklist_filter(spark, d):
 
 @query(f"WITH {FRAGMENTS}, {REGIONS}, d AS (SELECT DISTINCT contig, s, e FROM regions), p AS (SELECT DISTINCT contig, s, e FROM fragments) SELECT p.contig, p.s AS start, p.e AS \"end\", count(*) AS segments, max(least(p.e, d.e) - greatest(p.s, d.s)) AS best FROM p JOIN d ON p.contig = d.contig AND p.s < d.e AND p.e > d.s GROUP BY ALL")
 def j10_overlap_join(spark, d):
-    p = V.fragments(spark, d).select("contig", "start", "end").distinct()
-    hits = intervals.range_join(p, V.regions(spark, d).distinct(), 64)
-    return hits.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("segments"), F.max(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("best"))
+    """Peaks with their number of overlapping segments and the largest overlap; only segments in no other one can have that."""
+    p, r = V.fragments(spark, d).select("contig", "start", "end").distinct(), V.regions(spark, d).distinct()
+    best = intervals.range_join(p, intervals.maximal_intervals(r), 64).groupBy("contig", "start", "end").agg(F.max(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("best"))
+    return intervals.overlap_counts(p, r).filter("n > 0").withColumnRenamed("n", "segments").join(best, ["contig", "start", "end"])
 
 
 @query(f"WITH {FRAGMENTS}, {REGIONS}, m AS (SELECT DISTINCT contig, s, e FROM regions), p AS (SELECT DISTINCT contig, s, s + 1 AS e FROM fragments) SELECT p.contig, p.s AS start, min(m.e - m.s) AS parent_width FROM p JOIN m ON p.contig = m.contig AND m.s <= p.s AND m.e >= p.e GROUP BY ALL")

@@ -35,12 +35,12 @@ def p3_p4_read_geometry(spark, d):
     return f.groupBy("sample", "contig").agg(F.sum(a).alias("ext_start"), F.sum(b).alias("ext_end"), F.sum(ta).alias("span_start"), F.sum(tb).alias("span_end"))
 
 
-@query(f"WITH {FRAGMENTS}, k AS (SELECT sample, 1e6 / sum(c) AS scale FROM fragments GROUP BY sample), h AS (SELECT *, unnest(range(s // {WIDTH}, (e - 1) // {WIDTH} + 1)) AS bin FROM fragments WHERE c <= 4) SELECT contig, sample, bin, round(sum(c * (least(e, (bin + 1) * {WIDTH}) - greatest(s, bin * {WIDTH})) / CAST(e - s AS DOUBLE)) * any_value(scale), 3) AS value FROM h JOIN k USING (sample) GROUP BY ALL")
+@query(f"WITH {FRAGMENTS}, k AS (SELECT sample, 1e6 / sum(c) AS scale FROM fragments GROUP BY sample), h AS (SELECT *, unnest(range(s // {WIDTH}, (e - 1) // {WIDTH} + 1)) AS bin FROM fragments) SELECT contig, sample, bin, round(sum(c * (least(e, (bin + 1) * {WIDTH}) - greatest(s, bin * {WIDTH})) / CAST(e - s AS DOUBLE)) * any_value(scale), 3) AS value FROM h JOIN k USING (sample) GROUP BY ALL")
 def a7_scaled_sources(spark, d):
-    """Scan to bins for all sources of the sheet at once: filter, count, times the source's scale factor."""
+    """Scan to bins for all sources of the sheet at once: count, times the source's scale factor."""
     f = V.fragments(spark, d)
     scale = f.groupBy("sample").agg((1e6 / F.sum("count")).alias("scale"))
-    c = counting.count_bins(f.filter("count <= 4"), WIDTH, "fractional")
+    c = counting.count_bins(f, WIDTH, "fractional")
     return c.join(scale, "sample").select("contig", "sample", "bin", F.round(F.col("value") * F.col("scale"), 3).alias("value"))
 
 
@@ -92,7 +92,7 @@ def p15_a23_delta_variance(spark, d):
 def p18_segment_factors(spark, d):
     """Log factors per segment applied to variances: exp, floor, root, never below the model's standard error."""
     f = V.mean_track(spark, d).withColumn("seg", F.floor(F.col("bin") * 5 / 256))
-    factors = spark.range(0, 64).select(F.col("id").alias("seg"), F.exp(0.1 * F.col("id") - 0.2).alias("factor"))
+    factors = f.groupBy("seg").agg(F.exp(0.1 * F.first("seg") - 0.2).alias("factor"))
     se = F.greatest(F.sqrt(F.greatest(F.col("factor") * (0.3 + F.col("x") / 20), F.lit(0.25))), F.lit(0.6))
     return f.join(factors, "seg").select("contig", "bin", r4(se).alias("se"))
 
@@ -243,12 +243,12 @@ def a50_scale_sanity(spark, d):
 _GAPS = f"{_PEAKS}, n AS (SELECT contig, b + 1 AS a, lead(a) OVER (PARTITION BY contig ORDER BY a) - 1 AS b FROM pk), gaps AS (SELECT contig, a, b FROM n WHERE b >= a), {REGIONS}"
 
 
-@query(f"WITH {_GAPS} SELECT contig, a AS first_bin, b AS last_bin, EXISTS (SELECT 1 FROM regions r WHERE r.contig = gaps.contig AND r.s % 40 = 0 AND r.s < (gaps.b + 1) * {WIDTH} AND r.e > gaps.a * {WIDTH}) AS blocked FROM gaps")
+@query(f"WITH {_GAPS} SELECT contig, a AS first_bin, b AS last_bin, EXISTS (SELECT 1 FROM regions r WHERE r.contig = gaps.contig AND r.s < (gaps.b + 1) * {WIDTH} AND r.e > gaps.a * {WIDTH}) AS blocked FROM gaps")
 def j9_blocked_gaps(spark, d):
-    """Gaps between neighbouring runs, and whether a blacklist region (those that start at a multiple of 40) lies in them."""
+    """Gaps between neighbouring runs, and whether a blacklist region lies in them."""
     n = scan.previous(_peaks(spark, d), ["contig"], "a", ["b"]).filter("prev_b IS NOT NULL AND a > prev_b + 1")
     g = n.select("contig", (F.col("prev_b") + 1).alias("first_bin"), (F.col("a") - 1).alias("last_bin")).withColumn("start", F.col("first_bin") * WIDTH).withColumn("end", (F.col("last_bin") + 1) * WIDTH)
-    hit = intervals.range_join(g, V.regions(spark, d).filter("start % 40 = 0"), 256, "left_semi").select("contig", "first_bin", F.lit(True).alias("_hit"))
+    hit = intervals.range_join(g, V.regions(spark, d), 256, "left_semi").select("contig", "first_bin", F.lit(True).alias("_hit"))
     return g.join(hit, ["contig", "first_bin"], "left").select("contig", "first_bin", "last_bin", F.coalesce("_hit", F.lit(False)).alias("blocked"))
 
 
@@ -470,20 +470,19 @@ def p29_trimmed_peaks(spark, d):
     return c.groupBy("contig", "a", "b").agg(left.alias("l"), right.alias("r")).select("contig", F.col("a").alias("peak"), F.coalesce("l", "a").alias("first_bin"), F.coalesce("r", "b").alias("last_bin"))
 
 
-@query(f"WITH {FRAGMENTS}, {REGIONS}, every AS (SELECT contig, s, e FROM regions WHERE e - s <= 3 UNION ALL SELECT contig, s, e FROM fragments WHERE e - s <= 2), o AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM every), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT contig, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY contig, k")
+@query(f"WITH {FRAGMENTS}, {REGIONS}, every AS (SELECT contig, s, e FROM regions UNION ALL SELECT contig, s, e FROM fragments), o AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM every), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT contig, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY contig, k")
 def u1_merged_sources(spark, d):
-    """Short regions of two sources in one union, merged."""
-    n = F.col("end") - F.col("start")
-    both = V.regions(spark, d).filter(n <= 3).unionByName(V.fragments(spark, d).filter(n <= 2).select("contig", "start", "end"))
+    """The regions of two sources in one union, merged."""
+    both = V.regions(spark, d).unionByName(V.fragments(spark, d).select("contig", "start", "end"))
     return intervals.merge_intervals(both)
 
 
-@query(f"WITH {_DRAWS}, s AS (SELECT contig, stddev_pop(v) AS s FROM nul GROUP BY contig), o AS (SELECT draw, z, count(*) FILTER (WHERE v > z * s) / CAST(count(*) AS DOUBLE) AS occ FROM nul JOIN s USING (contig), (SELECT unnest([1.0, 1.5, 2.0]) AS z) WHERE regexp_matches(contig, '^[A-Z]O$') GROUP BY ALL) SELECT CAST(z AS DOUBLE) AS z, round(quantile_cont(occ, 0.9), 4) AS floor FROM o GROUP BY z")
+@query(f"WITH {_DRAWS}, s AS (SELECT contig, stddev_pop(v) AS s FROM nul GROUP BY contig), o AS (SELECT draw, z, count(*) FILTER (WHERE v > z * s) / CAST(count(*) AS DOUBLE) AS occ FROM nul JOIN s USING (contig), (SELECT unnest([1.0, 1.5, 2.0]) AS z) GROUP BY ALL) SELECT CAST(z AS DOUBLE) AS z, round(quantile_cont(occ, 0.9), 4) AS floor FROM o GROUP BY z")
 def m19_pooled_null_floor(spark, d):
-    """Null occupancy per threshold over the standard contigs pooled (here those that end in O)."""
+    """Null occupancy per threshold over all contigs pooled."""
     n = _draws(spark, d)
     s = n.groupBy("contig").agg(F.stddev_pop("null").alias("s"))
-    v = n.join(s, "contig").filter(F.col("contig").rlike("^[A-Z]O$")).withColumn("z", F.explode(F.array(*(F.lit(x) for x in (1.0, 1.5, 2.0)))))
+    v = n.join(s, "contig").withColumn("z", F.explode(F.array(*(F.lit(x) for x in (1.0, 1.5, 2.0)))))
     o = v.groupBy("draw", "z").agg((F.count_if(F.col("null") > F.col("z") * F.col("s")) / F.count(F.lit(1))).alias("occ"))
     return o.groupBy("z").agg(r4(F.percentile("occ", 0.9)).alias("floor"))  # one row per draw
 

@@ -63,13 +63,13 @@ def p31_signal_strata(spark, d):
     return m.join(F.broadcast(cuts), F.lit(True)).groupBy("contig", code.alias("stratum")).agg(F.count(F.lit(1)).alias("bins"))
 
 
-@query(f"WITH {TRACKS}, g AS (SELECT contig, bin, sample, raw FROM tracks WHERE sample IN ('s0', 's1')), a AS (SELECT contig, bin, raw FROM g WHERE sample = 's0'), b AS (SELECT contig, bin, raw FROM g WHERE sample = 's1' AND bin % 50 <> 0) SELECT contig, count(*) AS bins, count(*) FILTER (WHERE b.bin IS NULL) AS unmatched FROM a FULL JOIN b USING (contig, bin) GROUP BY contig")
+@query(f"WITH {FRAGMENTS}, h AS (SELECT DISTINCT contig, sample, control, unnest(range(s // {WIDTH}, (e - 1) // {WIDTH} + 1)) AS bin FROM fragments), a AS (SELECT * FROM h WHERE NOT control), b AS (SELECT * FROM h WHERE control) SELECT contig, sample, count(*) AS bins, count(*) FILTER (WHERE a.bin IS NULL OR b.bin IS NULL) AS unmatched FROM a FULL JOIN b USING (contig, sample, bin) GROUP BY contig, sample")
 def j6_alignment_check(spark, d):
-    t = V.tracks(spark, d)
-    a = t.filter("sample = 's0'").select("contig", "bin", F.lit(True).alias("a"))
-    b = t.filter("sample = 's1' AND bin % 50 <> 0").select("contig", "bin", F.lit(True).alias("b"))
-    both = a.join(b, ["contig", "bin"], "full")
-    return both.groupBy("contig").agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"))
+    """Bins of treatment and control of every sample, and how many of them only one side has."""
+    f = V.fragments(spark, d).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / WIDTH), F.floor((F.col("end") - 1) / WIDTH))))
+    side = lambda on, c: f.filter(F.col("control") == on).select("contig", "sample", "bin").distinct().withColumn(c, F.lit(True))
+    both = side(False, "a").join(side(True, "b"), ["contig", "sample", "bin"], "full")
+    return both.groupBy("contig", "sample").agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"))
 
 
 @query(f"WITH {TRACKS}, m AS (SELECT contig, bin, max(CASE WHEN raw > 18 THEN 1 ELSE 0 END) AS support, max(CASE WHEN raw > 30 THEN 1 ELSE 0 END) AS anchor FROM tracks GROUP BY ALL), t AS (SELECT * FROM m WHERE support = 1), g AS (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY contig ORDER BY bin) = 1 THEN 0 ELSE 1 END AS n FROM t), i AS (SELECT *, sum(n) OVER (PARTITION BY contig ORDER BY bin) AS island FROM g) SELECT contig, min(bin) AS first_bin, max(bin) AS last_bin FROM i GROUP BY contig, island HAVING max(anchor) = 1")

@@ -22,7 +22,7 @@ def write_track(track: DataFrame, contigs: DataFrame, path: str) -> None:
 def track_violations(track: DataFrame, contigs: DataFrame, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Rows that break a rule, with the rule: contig unknown, bounds, beyond the contig, overlap with the row before (in order
     of start and end). ``keys`` tell tracks and contigs apart."""
-    order = track.withColumn("_order", F.col("start") * 2**20 + F.least(F.greatest(F.col("end") - F.col("start"), F.lit(0)), F.lit(2**20 - 1)))
+    order = track.withColumn("_order", F.struct("start", "end"))
     rows = previous(order, list(keys), "_order", ["end"], position=F.col("start"))
     rows = rows.join(contigs.select("contig", "size"), "contig", "left")
     rule = F.when(F.col("size").isNull(), "unknown contig").when((F.col("start") < 0) | (F.col("end") <= F.col("start")), "bounds").when(F.col("end") > F.col("size"), "beyond contig").when(F.col("start") < F.col("prev_end"), "overlap")
