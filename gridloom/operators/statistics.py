@@ -35,9 +35,11 @@ def cumulative(per: DataFrame, keys: list[str], value: str, sums: dict[str, str]
 
 def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
     """Smallest value whose running weight reaches q of the total, per key. Equal values are summed first."""
-    cum = cumulative(rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), keys, value, {"_c": "_w"})
-    total = rows.groupBy(*keys).agg(F.sum(weight).alias("_t"))
-    return cum.join(total, keys).filter(F.col("_c") >= q * F.col("_t") - 1e-9).groupBy(*keys).agg(F.min(value).alias("quantile"))
+    by = [*keys, "_all"]
+    per = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_weight")).withColumn("_all", F.lit(1))
+    cum = cumulative(per, by, value, {"_c": "_weight"})
+    total = cum.groupBy(*by).agg(F.max("_c").alias("_t"))
+    return cum.join(total, by).filter(F.col("_c") >= q * F.col("_t") - 1e-9).groupBy(*by).agg(F.min(value).alias("quantile")).drop("_all")
 
 
 def mid_ranks(rows: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:

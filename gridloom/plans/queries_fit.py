@@ -7,11 +7,11 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import background, consensus, dependence, intervals, null_model, refine, segment_factors, slab_prior, tiles, widths
+from gridloom.operators import background, calibration, consensus, dependence, fragment_length, heterogeneity, intervals, null_model, process_seed, refine, segment_factors, slab_prior, tiles, variance_terms, widths
 from gridloom.plans import views as V
 from gridloom.plans.queries import query, r4
 from gridloom.plans.queries_models import u
-from gridloom.plans.views import MEAN, TRACKS, WIDTH
+from gridloom.plans.views import CONTIGS, FRAGMENTS, MEAN, TRACKS, WIDTH
 
 # ---- background and consensus -------------------------------------------------------------------------------------------
 _FIRST, _SECOND = background.penalties(6.0)
@@ -251,3 +251,91 @@ def x4_x6_tamed_peaks(spark, d):
     policy = widths.width_policy(runs.select((F.col("last") - F.col("first") + 1).alias("width")), least=30, peaks_needed=5)
     threshold = int(policy["threshold"] or 30)
     return widths.tame(runs, m.withColumnRenamed("x", "score"), threshold, 20, 3, 0.5, child=5).select("contig", (F.col("first") * WIDTH).alias("start"), ((F.col("last") + 1) * WIDTH).alias("end"), "how")
+
+
+# ---- variance terms, process seed, fragment length, heterogeneity -------------------------------------------------------
+def _sample_blocks(spark, d):
+    t = V.tracks(spark, d).withColumn("block", F.floor(F.col("bin") / 8))
+    return t.groupBy("sample", "contig", "block").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.count(F.lit(1)).cast("double").alias("weight"), F.avg(F.col("bin") % 7 / 7).alias("gc"), F.avg(F.col("raw") / 100).alias("depth"))
+
+
+@query()
+def m2_sample_factors(spark, d):
+    """Variance factors of the samples around one pooled trend; tests hold them against samples of known factors."""
+    _, factors = variance_terms.pooled_trend(_sample_blocks(spark, d))
+    return spark.createDataFrame([(s, round(f, 4)) for s, f in sorted(factors.items())], "sample string, factor double")
+
+
+@query()
+def m3_m5_covariate_variance(spark, d):
+    """Added variance of every block by its covariates; tests hold the coefficients against the optimality conditions."""
+    b = _sample_blocks(spark, d)
+    terms = variance_terms.fit_covariates(b.withColumn("baseline", F.lit(0.02)), ["gc", "depth"], least=50)
+    return b.select("sample", "contig", "block", r4(terms.variance(F.col("mean"), F.col("sample"))).alias("added"))
+
+
+def _weighted(table: str, value: str, q: float) -> str:
+    return f"(SELECT min(v) FROM (SELECT {value} AS v, sum(sum(w)) OVER (ORDER BY {value}) AS run, sum(sum(w)) OVER () AS total FROM {table} GROUP BY {value}) WHERE run >= {q} * total - 1e-9)"
+
+
+@query(f"""WITH {TRACKS}, l AS (SELECT bin - lag(bin) OVER o AS step, x - lag(x) OVER o AS d, v + lag(v) OVER o AS s FROM (SELECT *, 0.05 + 0.2 / (1 + raw) AS v FROM tracks) WINDOW o AS (PARTITION BY contig, sample ORDER BY bin)),
+t AS MATERIALIZED (SELECT d, s, 1 / s AS w FROM l WHERE step = 1), c AS MATERIALIZED (SELECT {_weighted("t", "d", 0.5)} AS centre, {_weighted("t", "s", 0.5)} AS mid, {_weighted("t", "w", 0.5)} AS wmid),
+o AS (SELECT abs(d - centre) AS a, w FROM t, c), p AS MATERIALIZED (SELECT greatest(power(1.4826 * {_weighted("o", "a", 0.5)}, 2) - mid, 0.0001) AS prior, wmid FROM c),
+g AS MATERIALIZED (SELECT i, exp(ln(0.0001) + i * (ln(20.0) - ln(0.0001)) / 40) AS q FROM (SELECT unnest(range(41)) AS i)),
+k AS MATERIALIZED (SELECT i, q, sum(greatest(0.25, least(4.0, w / wmid)) * (-0.5 * ln(q + s) - 4.5 * ln(1 + d * d / (8 * (q + s))))) - 0.5 * power((ln(q) - ln(any_value(prior))) / 2, 2) AS post FROM g, t, p GROUP BY i, q),
+m AS (SELECT i, q, post, sum(exp(post - top)) OVER (ORDER BY i) / sum(exp(post - top)) OVER () AS upto FROM k, (SELECT max(post) AS top FROM k))
+SELECT (SELECT count(*) FROM t) AS transitions, round((SELECT prior FROM p), 5) AS prior, round(arg_max(q, post), 5) AS mode, round(min(q) FILTER (WHERE upto >= 0.5 - 1e-12), 5) AS median, round(min(q) FILTER (WHERE upto >= 0.05 - 1e-12), 5) AS low, round(min(q) FILTER (WHERE upto >= 0.95 - 1e-12), 5) AS high FROM m""")
+def m9_process_seed(spark, d):
+    """Grid posterior of the step variance from all neighbouring bins of all samples."""
+    cells = V.tracks(spark, d).withColumn("v", 0.05 + 0.2 / (1 + F.col("raw")))
+    p = process_seed.seed_posterior(process_seed.transitions(cells), 1e-4, cap=20.0, size=41)
+    return spark.createDataFrame([(p["transitions"], *(round(float(p[k]), 5) for k in ("prior", "mode", "median", "low", "high")))], "transitions long, prior double, mode double, median double, low double, high double")
+
+
+@query(f"""WITH {FRAGMENTS}, {CONTIGS}, grid AS (SELECT contig, size, unnest(range(size // 50)) AS chunk FROM contigs WHERE size >= 500),
+n AS (SELECT contig, s // 50 AS chunk, count(*) AS n FROM fragments GROUP BY ALL), l AS MATERIALIZED (SELECT contig, size, list(coalesce(n, 0) ORDER BY chunk) AS l FROM grid LEFT JOIN n USING (contig, chunk) GROUP BY contig, size),
+r AS (SELECT contig, size, len(l) AS k, chunk, list_sort([l[least(greatest(j, 0), len(l) - 1) + 1] FOR j IN range(chunk - 5, chunk + 6)])[6] AS level FROM l, LATERAL (SELECT unnest(range(len(l))) AS chunk)),
+top AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY contig ORDER BY level DESC, chunk) <= 4),
+b AS MATERIALIZED (SELECT DISTINCT contig, centre, least(greatest(centre * 50 + 25 - 250, 0), size - 500) AS lo FROM (SELECT contig, size, unnest(range(least(greatest(chunk - 5, 0), greatest(k - 11, 0)), least(least(greatest(chunk - 5, 0), greatest(k - 11, 0)) + 11, k))) AS centre FROM top)),
+c AS (SELECT contig, centre, control AS rev, CASE WHEN control THEN e - 1 ELSE s END - lo AS p, count(*) AS k FROM b JOIN fragments USING (contig) WHERE s >= lo AND e <= lo + 500 AND e > s GROUP BY ALL),
+v AS MATERIALIZED (SELECT contig, centre, list(f ORDER BY p) AS f, list(r ORDER BY p) AS r FROM (SELECT b.contig, b.centre, x.p, CAST(coalesce(sum(k) FILTER (WHERE NOT rev), 0) AS DOUBLE) AS f, CAST(coalesce(sum(k) FILTER (WHERE rev), 0) AS DOUBLE) AS r FROM b CROSS JOIN (SELECT unnest(range(500)) AS p) x LEFT JOIN c ON c.contig = b.contig AND c.centre = b.centre AND c.p = x.p GROUP BY ALL) GROUP BY ALL HAVING sum(f) >= 10 AND sum(r) >= 10),
+z AS MATERIALIZED (SELECT contig, centre, [y - list_avg(f) FOR y IN f] AS f, [y - list_avg(r) FOR y IN r] AS r FROM v),
+s AS (SELECT contig, centre, lag, round(list_dot_product(f[1 : 500 - lag], r[1 + lag : 500]), 6) AS score FROM z, (SELECT unnest(range(5, 81, 5)) AS lag))
+SELECT contig, centre, CAST(arg_max(lag, {{'s': score, 'l': -lag}}) AS BIGINT) AS lag, round(max(score) + 1e-5, 3) AS score FROM s GROUP BY ALL""")
+def a13_single_end_lags(spark, d):
+    """Best lag between forward and reverse 5' ends in the densest blocks. A contig of these tables has one strand only, so the control
+    column stands for it."""
+    f = V.fragments(spark, d).select("contig", "start", "end", F.col("control").alias("reverse"))
+    lags = fragment_length.best_lags(f, V.contigs(spark, d), 5, 80, 5, 500, 50, 4, 10)
+    return lags.select("contig", "centre", "lag", F.round(F.round("score", 6) + 1e-5, 3).alias("score"))
+
+
+_NOISE = "noise AS (SELECT contig, bin // 8 AS block, sample, var_samp(x) AS variance, 0.1 + avg(x) / 50 AS prior FROM tracks GROUP BY ALL HAVING var_samp(x) > 0)"
+
+
+@query(f"""WITH {TRACKS}, {_NOISE}, s AS (SELECT contig, block, sample, 0.5 * (ln(variance) - ln(prior)) AS s, count(*) OVER (PARTITION BY contig, block) AS n FROM noise), e AS MATERIALIZED (SELECT contig, block, sample, s - avg(s) OVER (PARTITION BY contig, block) AS e FROM s WHERE n = (SELECT count(DISTINCT sample) FROM noise)),
+o AS (SELECT max(abs(m)) AS statistic FROM (SELECT avg(e) AS m FROM e GROUP BY sample)), d AS (SELECT e, draw, row_number() OVER (PARTITION BY draw, contig, block ORDER BY {u(4, "draw", "contig", "block", "sample")}) AS r FROM e, (SELECT unnest(range(40)) AS draw)),
+p AS (SELECT draw, max(abs(m)) AS m FROM (SELECT draw, r, avg(e) AS m FROM d GROUP BY draw, r) GROUP BY draw)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT contig, block FROM e)) AS blocks, round(statistic, 5) AS statistic, (SELECT count(*) FROM p WHERE p.m >= statistic - 1e-12) AS exceeding, round(((SELECT count(*) FROM p WHERE p.m >= statistic - 1e-12) + 1) / 41.0, 5) AS p FROM o""")
+def a41_heterogeneity(spark, d):
+    """Do the samples' block noises differ? Permutations within blocks."""
+    t = V.tracks(spark, d).groupBy("contig", F.floor(F.col("bin") / 8).alias("block"), "sample").agg(F.var_samp("x").alias("variance"), (0.1 + F.avg("x") / 50).alias("prior"))
+    _, one = heterogeneity.permutation_test(t, 40, 4)
+    return one.select("blocks", F.round("statistic", 5).alias("statistic"), "exceeding", F.round("p", 5).alias("p"))
+
+
+# ---- calibration by deleted blocks --------------------------------------------------------------------------------------
+@query(f"""WITH {TRACKS}, b AS MATERIALIZED (SELECT DISTINCT contig, bin // 20 AS block, sample FROM tracks),
+f AS (SELECT contig, block, (row_number() OVER (PARTITION BY contig ORDER BY {u(5, "contig", "block")}, block) - 1) % 5 AS fold FROM (SELECT DISTINCT contig, block FROM b)),
+k AS (SELECT *, row_number() OVER (PARTITION BY contig, block ORDER BY u, sample) AS k, count(*) OVER (PARTITION BY contig, block) AS n FROM (SELECT *, {u(6, "contig", "block", "sample")} AS u FROM b))
+SELECT contig, block, fold, sample FROM k JOIN f USING (contig, block) WHERE k < n AND (k = 1 OR u < 0.5)""")
+def t9_deleted_folds(spark, d):
+    """Folds of permuted blocks, and the samples deleted in each block: one at least, not all."""
+    return calibration.fold_spec(V.tracks(spark, d), 20, 5, 5)
+
+
+@query()
+def m13_calibrated_states(spark, d):
+    """Standard errors of the level calibrated by refits without deleted blocks; tests hold every refit against sequential code."""
+    out, _ = calibration.calibrate(_cells(spark, d), consensus.Model((0.05,)), 20, folds=3, passes=4, replicates=16)
+    return out.select("contig", "bin", r4("level").alias("level"), r4("se").alias("se"), r4("calibrated").alias("calibrated"))

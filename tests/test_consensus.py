@@ -173,3 +173,43 @@ def test_empty(spark):
     none = spark.createDataFrame([], "contig string, bin long, sample string, x double, v double")
     out, history = C.consensus_fit(none.unionByName(none), C.Model((0.05,)), span=10, outer=2)
     assert out.count() == 0 and len(history) == 1
+
+
+def test_calibration(spark):
+    from gridloom.operators import calibration
+
+    model, named = C.Model((0.05,), start_var=100.0), {"a": tracks(7, 120, 4), "b": tracks(8, 61, 4)}
+    cells = cells_of(spark, named)
+    spec = calibration.fold_spec(cells, 10, 3, 5).collect()
+    per = {}
+    for r in spec:
+        per.setdefault((r["contig"], r["block"]), []).append(r)
+    assert len(per) == 12 + 7 and all(1 <= len(v) <= 3 and len({r["fold"] for r in v}) == 1 for v in per.values())
+    assert sorted(r[0]["fold"] for k, r in per.items() if k[0] == "a") == [0] * 4 + [1] * 4 + [2] * 4
+    out, factors = calibration.calibrate(cells, model, 10, segments=2, folds=3, passes=2, rtol=0.0, replicates=8, tile=32)
+    got = out.toPandas().sort_values("bin")
+    assert (got.calibrated >= got.se - 1e-12).all() and len(got) == 181 and factors.count() == 4
+    ratios = {}
+    for name, (x, v) in named.items():
+        n = x.shape[1]
+
+        def fit(z, n=n, v=v):
+            lam, kap = np.ones(n), np.ones(n)
+            for _ in range(2):
+                level, var, lam, kap, _ = sequential_pass(z, v, np.zeros(n), lam, kap, model)
+            return level, var
+
+        level, var = fit(x)
+        assert np.allclose(got[got.contig == name].level, level, atol=1e-6)
+        for fold in range(3):
+            z, held = x.copy(), np.zeros(n, dtype=bool)
+            for (c, b), rows in per.items():
+                if c == name and rows[0]["fold"] == fold:
+                    held[b * 10 : b * 10 + 10] = True
+                    for r in rows:
+                        z[int(r["sample"][1:]), b * 10 : b * 10 + 10] = np.nan
+            ratios[name, fold] = (fit(z), held)
+    deleted = calibration.deleted_fits(cells, spark.createDataFrame(spec), 10, model, 2, 0.0, 32).toPandas().sort_values("bin")
+    for (name, fold), ((level, var), _) in ratios.items():
+        mine = deleted[(deleted.contig == name) & (deleted.fold == fold)]
+        assert np.allclose(mine.level, level, atol=1e-6) and np.allclose(mine["var"], var, atol=1e-6)

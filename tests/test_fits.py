@@ -9,10 +9,14 @@ import numpy as np
 import pytest
 
 from gridloom.operators import dependence as D
+from gridloom.operators import fragment_length as L
+from gridloom.operators import heterogeneity as H
 from gridloom.operators import null_model as N
+from gridloom.operators import process_seed as G
 from gridloom.operators import segment_factors as S
 from gridloom.operators import slab_prior as P
 from gridloom.operators import statistics as Q
+from gridloom.operators import variance_terms as T
 from gridloom.operators import widths as W
 
 
@@ -360,3 +364,119 @@ def test_width_policy(spark):
     assert abs(told["centre"] - np.median(bulk)) < 1e-9 and abs(told["scale"] - 1.4826 * np.median(np.abs(bulk - np.median(bulk)))) < 1e-9
     assert told["threshold"] == 7500.0 and told["tail"] == 3
     assert W.width_policy(peaks.limit(5))["threshold"] is None
+
+
+# ---- variance terms, process seed, fragment length, heterogeneity -------------------------------------------------------
+def test_nonnegative_solution():
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        a, y = rng.normal(size=(30, 5)), rng.normal(size=30)
+        b = T.nonnegative_solution(a.T @ a, a.T @ y, 0.3)
+        slope = a.T @ y - (a.T @ a + 0.3 * np.eye(5)) @ b
+        assert (b >= 0).all() and np.abs(slope[b > 0]).max(initial=0) < 1e-7 and slope[b == 0].max(initial=-1) < 1e-7
+
+
+def test_fit_covariates(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for s in ("s0", "s1"):
+        for i in range(300 if s == "s0" else 40):
+            m, gc, rep = float(rng.gamma(2, 5)), float(rng.random()), float(rng.random())
+            rows.append((s, m, 1.0 + 2.0 * gc * (2 if m > 8 else 1) + 0.0 * rep + 0.05 * float(rng.random()), 1.0, 1.0 + float(rng.random()), gc, rep))
+    rows += [("s0", 1.0, 0.0, 1.0, 1.0, 0.1, 0.1), ("s0", 1.0, 2.0, 1.0, 1.0, None, 0.1)]
+    df = spark.createDataFrame(rows, "sample string, mean double, variance double, baseline double, weight double, gc double, rep double").repartition(3)
+    fit = T.fit_covariates(df, ["gc", "rep"], bins=3, ridge=0.5, least=100)
+    assert fit.samples.keys() == {"s0"} and fit.blocks == {"s0": 300, "s1": 40} and len(fit.edges) == 2
+    used = [r for r in rows if r[2] > 1e-12 and r[5] is not None]
+    z = lambda m: math.copysign(math.log1p(abs(m)), m)
+    for name, mine in (("pooled", fit.pooled), ("s0", fit.samples["s0"])):
+        chosen = [r for r in used if name in ("pooled", r[0])]
+        for b in range(3):
+            part = [r for r in chosen if sum(e <= z(r[1]) for e in fit.edges) == b]
+            x, y, w = np.array([r[5:7] for r in part]), np.array([max(r[2] - r[3], 0) for r in part]), np.array([r[4] for r in part])
+            beta, slope = mine[:, b], x.T @ (w * y) - ((x.T * w) @ x + 0.5 * np.eye(2)) @ mine[:, b]
+            assert (beta >= 0).all() and np.abs(slope[beta > 0]).max(initial=0) < 1e-6 and slope[beta == 0].max(initial=-1) < 1e-6
+    got = df.select("sample", "mean", "gc", "rep", fit.variance(df["mean"], df["sample"]).alias("v")).collect()
+    for r in got:
+        b = sum(e <= z(r["mean"]) for e in fit.edges)
+        table = fit.samples.get(r["sample"], fit.pooled)
+        want = table[0, b] * r["gc"] + table[1, b] * r["rep"] if r["gc"] is not None else 0.0
+        assert abs(r["v"] - want) < 1e-9
+
+
+def test_pooled_trend(spark):
+    rng = np.random.default_rng(14)
+    rows = [(s, float(m), float(f * (0.5 + 0.2 * m) * rng.gamma(20, 1 / 20)), 1.0) for s, f in (("a", 1.0), ("b", 2.0), ("c", 4.0)) for m in rng.gamma(2, 4, 250)]
+    trend, factors = T.pooled_trend(spark.createDataFrame(rows, "sample string, mean double, variance double, weight double"))
+    assert abs(factors["b"] / factors["a"] - 2) < 0.2 and abs(factors["c"] / factors["a"] - 4) < 0.4
+    assert abs(sum(math.log(v) for v in factors.values())) < 1e-9 and trend.edf > 1
+
+
+def test_seed_posterior(spark):
+    rng = np.random.default_rng(15)
+    rows = [(float(d), float(s), float(1 / s)) for s in rng.uniform(0.05, 0.2, 400) for d in [rng.normal() * math.sqrt(0.3 + s)]]
+    df = spark.createDataFrame(rows, "delta double, s double, weight double").repartition(3)
+    got = G.seed_posterior(df, 1e-4, cap=50.0, size=61)
+    grid = np.exp(np.linspace(math.log(1e-4), math.log(50.0), 61))
+    w = np.array([r[2] for r in rows])
+    order = lambda v, q: (lambda s, c: s[int(np.searchsorted(c, q * c[-1] - 1e-9))])(np.sort(v), np.cumsum(w[np.argsort(v)]))
+    d, s = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    prior = max((1.4826 * order(np.abs(d - order(d, 0.5)), 0.5)) ** 2 - order(s, 0.5), 1e-4)
+    use = np.clip(w / order(w, 0.5), 0.25, 4)
+    post = np.array([(use * (-0.5 * np.log(q + s) - 4.5 * np.log1p(d * d / (8 * (q + s))))).sum() for q in grid]) - 0.5 * ((np.log(grid) - math.log(prior)) / 2.0) ** 2
+    assert abs(got["prior"] - prior) < 1e-9 and got["mode"] == grid[int(post.argmax())] and 0.15 < got["median"] < 0.5 and got["low"] < got["median"] < got["high"]
+    assert not G.seed_posterior(df.limit(9), 1e-4)["ok"]
+    cells = spark.createDataFrame([("a", "s", 0, 1.0, 0.1), ("a", "s", 1, 3.0, 0.2), ("a", "s", 3, 9.0, 0.2)], "contig string, sample string, bin long, x double, v double")
+    assert [(r["delta"], round(r["s"], 9)) for r in G.transitions(cells).collect()] == [(2.0, 0.3)]
+
+
+def test_single_end_length(spark):
+    rng = np.random.default_rng(16)
+    reads = []
+    for at in rng.choice(np.concatenate([np.arange(2000, 2600), np.arange(5200, 5500)]), 1500):
+        n = 80 if rng.random() < 0.8 else int(rng.integers(60, 120))
+        reads += [("a", int(at), int(at) + 20, False)] if rng.random() < 0.5 else [("a", int(at) + n - 20, int(at) + n, True)]
+    df = spark.createDataFrame(reads, "contig string, start long, end long, reverse boolean").repartition(3)
+    sizes = spark.createDataFrame([("a", 8000), ("tiny", 100)], "contig string, size long")
+    lags = L.best_lags(df, sizes, 40, 150, step=1, block=600, chunk=50, top=8).collect()
+    assert lags and all(r["score"] > 0 for r in lags)
+    for r in lags[:6]:
+        begin = min(max(r["centre"] * 50 + 25 - 300, 0), 8000 - 600)
+        f, v = np.zeros(600), np.zeros(600)
+        for _, a, b, rev in reads:
+            if a >= begin and b <= begin + 600:
+                (v if rev else f)[(b - 1 if rev else a) - begin] += 1
+        f, v = f - f.mean(), v - v.mean()
+        scores = [round(float((f[: 600 - k] * v[k:]).sum()), 9) for k in range(40, 151)]
+        assert r["lag"] == 40 + int(np.argmax(scores))
+    assert abs(L.single_end_length(df, sizes, 40, 150, step=1, block=600, chunk=50, top=8) - 79) <= 2
+    assert L.single_end_length(df.filter("false"), sizes, 40, 150) == 147
+
+
+def test_rolling_median(spark):
+    v = [5, 1, 9, 2, 2, 8, 0]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "contig string, chunk long, n long")
+    got = {r["chunk"]: r["level"] for r in L.rolling_median(df, 5).collect()}
+    padded = [v[0]] * 2 + v + [v[-1]] * 2
+    assert got == {i: sorted(padded[i : i + 5])[2] for i in range(7)}
+
+
+def test_permutation_test(spark):
+    rng = np.random.default_rng(17)
+    rows = [("a", b, s, float(np.exp(rng.normal(0.5 if s == "s2" else 0.0, 0.6))), 1.0) for b in range(40) for s in ("s0", "s1", "s2") if not (b == 7 and s == "s1")]
+    df = spark.createDataFrame(rows, "contig string, block long, sample string, variance double, prior double")
+    effects, one = H.permutation_test(df, 30, 4)
+    by = {}
+    for _, b, s, v, _ in rows:
+        by.setdefault(b, {})[s] = 0.5 * math.log(v)
+    full = {b: {s: x - sum(m.values()) / 3 for s, x in m.items()} for b, m in by.items() if len(m) == 3}
+    want = {s: np.mean([m[s] for m in full.values()]) for s in ("s0", "s1", "s2")}
+    assert all(abs(r["effect"] - want[r["sample"]]) < 1e-12 for r in effects.collect())
+    stat, over = max(map(abs, want.values())), 0
+    for draw in range(30):
+        sums = np.zeros(3)
+        for b, m in full.items():
+            sums += [m[s] for s in sorted(m, key=lambda s: uniform(4, draw, "a", b, s))]
+        over += np.abs(sums / len(full)).max() >= stat - 1e-12
+    r = one.first()
+    assert (r["blocks"], r["exceeding"]) == (39, over) and abs(r["p"] - (over + 1) / 31) < 1e-12
