@@ -7,10 +7,10 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import background, calibration, consensus, dependence, fragment_length, heterogeneity, intervals, null_model, process_seed, refine, segment_factors, slab_prior, tiles, variance_terms, widths
+from gridloom.operators import background, calibration, consensus, dependence, fragment_length, heterogeneity, intervals, null_model, peak_scores, process_seed, refine, segment_factors, slab_prior, tiles, variance_terms, widths
 from gridloom.plans import views as V
 from gridloom.plans.queries import query, r4
-from gridloom.plans.queries_models import u
+from gridloom.plans.queries_models import _DRAWS, _draws, u
 from gridloom.plans.views import CONTIGS, FRAGMENTS, MEAN, TRACKS, WIDTH
 
 # ---- background and consensus -------------------------------------------------------------------------------------------
@@ -339,3 +339,25 @@ def m13_calibrated_states(spark, d):
     """Standard errors of the level calibrated by refits without deleted blocks; tests hold every refit against sequential code."""
     out, _ = calibration.calibrate(_cells(spark, d), consensus.Model((0.05,)), 20, folds=3, passes=4, replicates=16)
     return out.select("contig", "bin", r4("level").alias("level"), r4("se").alias("se"), r4("calibrated").alias("calibrated"))
+
+
+# ---- peak scores ----------------------------------------------------------------------------------------------------------
+@query(f"""WITH {_DRAWS}, tr AS MATERIALIZED (SELECT contig, -1 AS draw, bin, r AS v FROM e WHERE draw = 0 UNION ALL SELECT contig, draw, bin, v FROM nul),
+y AS (SELECT contig, draw, bin, 1 AS sc, v AS y FROM tr UNION ALL SELECT contig, draw, bin, 3, avg(v) OVER (PARTITION BY contig, draw ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) FROM tr),
+a AS (SELECT *, y - z AS x FROM y, (SELECT unnest([CAST(0.5 AS DOUBLE), 1.0]) AS z) WHERE y > z), b AS (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY contig, draw, sc, z ORDER BY bin) = 1 THEN 0 ELSE 1 END AS n FROM a),
+i AS (SELECT *, sum(n) OVER (PARTITION BY contig, draw, sc, z ORDER BY bin) AS k FROM b), s AS (SELECT contig, draw, min(bin) AS first, max(bin) AS last, sum(x) / sqrt(count(*)) AS adjusted FROM i GROUP BY contig, draw, sc, z, k),
+cand AS MATERIALIZED (SELECT contig, draw, first, last, max(adjusted) AS adjusted FROM s GROUP BY ALL),
+o AS MATERIALIZED (SELECT contig, first, last, adjusted FROM cand WHERE draw < 0), m AS MATERIALIZED (SELECT adjusted FROM cand WHERE draw >= 0),
+f AS MATERIALIZED (SELECT DISTINCT adjusted, (SELECT count(*) FROM m WHERE m.adjusted >= o.adjusted) AS above, (SELECT count(*) FROM o o2 WHERE o2.adjusted >= o.adjusted) AS seen FROM o),
+q AS (SELECT adjusted, (1 + above) / ((SELECT count(*) FROM m) + 1.0) AS p, min(least(1.0, (above / 6.0 + 1 / 7.0) / seen)) OVER (ORDER BY adjusted) AS q FROM f),
+pk AS (SELECT DISTINCT contig, first, last FROM (SELECT contig, min(bin) AS first, max(bin) AS last FROM i WHERE draw < 0 AND sc = 1 AND z = 1.0 GROUP BY contig, k))
+SELECT contig, first, last, round(adjusted, 4) AS adjusted, round(p, 5) AS p, round(greatest(p, q), 5) AS q FROM pk JOIN o USING (contig, first, last) JOIN q USING (adjusted)""")
+def x13_peak_scores(spark, d):
+    """Runs of the centred track scored by observed and replayed candidate segments at two scales and two thresholds."""
+    m = V.mean_track(spark, d)
+    mu = m.groupBy("contig").agg(F.avg("x").alias("mu"))
+    track = peak_scores.staged(m.join(mu, "contig").select("contig", "bin", (F.col("x") - F.col("mu")).alias("y")), "track")
+    null = peak_scores.staged(_draws(spark, d).select("contig", "draw", "bin", F.col("null").alias("y")), "null")
+    called = intervals.runs(track.filter("y > 1.0").select("contig", "bin")).select("contig", F.col("first_bin").alias("first"), F.col("last_bin").alias("last"))
+    out = peak_scores.score_peaks(called, track, null, "y", (1, 3), (0.5, 1.0), 6, metrics=("adjusted",))
+    return out.select("contig", "first", "last", r4("adjusted").alias("adjusted"), F.round("p_adjusted", 5).alias("p"), F.round("q_adjusted", 5).alias("q"))
