@@ -48,7 +48,7 @@ def test_stretch(n):
     assert np.allclose(s.filled(np.concatenate([np.zeros_like(end), end]))[:, 0], dense_background(w, r, first, second), atol=1e-8)
 
 
-@pytest.mark.parametrize(("tile", "zero_sum", "negative"), [(7, True, 1.0), (64, False, 1.0), (64, True, None), (4096, False, None)])
+@pytest.mark.parametrize(("tile", "zero_sum", "negative"), [(7, True, 1.0), (64, False, None)])
 def test_background(spark, tile, zero_sum, negative):
     rng, cells, want = np.random.default_rng(5), [], {}
     for name, n in (("a", 300), ("b", 65), ("one", 1), ("dark", 20)):
@@ -121,7 +121,7 @@ def cells_of(spark, named):
     return spark.createDataFrame(rows, "contig string, bin long, sample string, x double, v double").repartition(3)
 
 
-@pytest.mark.parametrize(("q", "tile"), [((0.05,), 37), ((0.05, 0.001), 64), ((0.05,), 4096)])
+@pytest.mark.parametrize(("q", "tile"), [((0.05,), 37), ((0.05, 0.001), 64)])
 def test_robust_fit(spark, q, tile):
     model, named = C.Model(q, start_var=100.0), {"a": tracks(1, 210), "b": tracks(2, 90), "c": tracks(3, 3)}
     state, told = C.robust_fit(C.staged(C.packed(cells_of(spark, named), tile), "state"), model, passes=4, rtol=1e-12)

@@ -26,7 +26,7 @@ def uniform(seed, *values):
 
 
 # ---- running sums and ranks --------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("cells", [2, 64])
+@pytest.mark.parametrize("cells", [3])
 def test_cumulative(spark, cells):
     rng = np.random.default_rng(1)
     rows = [(k, float(v), int(w)) for k in ("a", "b") for v, w in zip(np.unique(np.round(rng.exponential(1e-3, 300), 6)), rng.integers(1, 9, 300), strict=False)]
@@ -56,7 +56,7 @@ def plain_mode(v):
     return plain_mode(v[best : best + w])
 
 
-@pytest.mark.parametrize("small", [8, 4096])
+@pytest.mark.parametrize("small", [64])
 def test_half_sample_mode(spark, small):
     rng, rows, want = np.random.default_rng(2), [], {}
     for name, n in (("a", 501), ("b", 64), ("c", 3), ("d", 1), ("e", 200)):
@@ -253,7 +253,7 @@ def test_expectation_and_posterior(spark):
 @pytest.mark.parametrize("student", [True, False])
 def test_fit_prior(spark, student):
     df = spark.createDataFrame([*slab_rows(2), ("c", 5000, None, 1.0), ("c", 5001, 1.0, 0.0)], "contig string, bin long, state double, variance double").repartition(3)
-    fits = [P.fit_prior(df, student=student, df=5.0, steps=k) for k in (1, 12)]
+    fits = [P.fit_prior(df, student=student, df=5.0, steps=k) for k in (1, 6)]
     assert fits[1].loglik > fits[0].loglik and 0.55 < fits[1].share < 0.9 and abs(sum(fits[1].weight) - 1) < 1e-9
     spread = sum(w * v for w, v in zip(fits[1].weight, fits[1].variance, strict=True))
     assert 2.0 < spread < 14.0
