@@ -7,7 +7,8 @@ taken while the exact binomial tail P(Bin(n, alpha) <= k) <= delta / strata, wit
 by any rule of the step. So, with probability 1 - delta over all strata together, no stratum loses more than ``alpha`` of
 its good documents to the soft rules: within a ladder by fixed-sequence testing, over the strata by Bonferroni. All rules
 share one ladder, so a stratum of 85 good labels can certify; one with too few certifies nothing and keeps what passes the
-base rule. Beyond EXACT_TERMS rejections Chernoff's bound stands for the tail; it is never smaller.
+base rule. The SQL sums the tail up to 10 000 rejections and takes Chernoff's bound, which is never smaller, beyond; there a
+step between tail and bound is taken here and not in SQL.
 
 Cases: null or empty text has zero words and fails the base rule; null language is a stratum of its own; a document id
 that occurs several times is judged row by row; several labels of one id count as good if any says so; null labels are
@@ -47,7 +48,6 @@ LADDER: tuple[tuple[float, ...], ...] = (
 )
 ALPHA = 0.05
 DELTA = 0.05
-EXACT_TERMS = 10_000
 #: Labelled ids that are broadcast to pick the rows for certification; with more of them all rows are measured for it.
 LABEL_IDS = 1_000_000
 
@@ -91,21 +91,32 @@ def _value(rule: str) -> Column:
     return F.expr(RULES[rule])  # division by zero does not arise: base_failed rows are never put to a rule
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed exactly in log space; 1 when k / n > p, where it could certify nothing."""
+def _log_factorial_rest(m: Column) -> Column:
+    """ln(m!) - m ln(m) + m: listed below 16, from there on by Stirling's series, whose rest is lost in doubles."""
     import math
 
-    first = n * F.lit(math.log1p(-p))
-    odds = math.log(p) - math.log1p(-p)
-    summed = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.least(k, F.lit(EXACT_TERMS).cast("long"))),
-        F.struct(first.alias("lp"), F.lit(0.0).alias("s")),
-        lambda a, i: F.struct(F.when(i == 0, a["lp"]).otherwise(a["lp"] + F.log((n - i + 1) / F.greatest(i, F.lit(1))) + odds).alias("lp"), (a["s"] + F.exp(F.when(i == 0, a["lp"]).otherwise(a["lp"] + F.log((n - i + 1) / F.greatest(i, F.lit(1))) + odds))).alias("s")),
+    listed = F.array(*(F.lit(math.lgamma(i + 1) - (i * math.log(i) - i if i else 0.0)) for i in range(16)))
+    x = F.greatest(m, F.lit(16)).cast("double")
+    series = 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(m < 16, F.element_at(listed, (F.least(m, F.lit(15)) + 1).cast("int"))).otherwise(series)
+
+
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(Bin(n, p) <= k), exact for all k; 1 when k / n > p, where it could certify nothing.
+
+    The probability of k times the sum of the terms from k downward, each as a share of the first. For k <= n p the j-th is
+    at most exp(-j (j - 1) / (2 n p)), so those after sqrt(200 n p) are under e^-100 each and together lost in doubles."""
+    share = k / n
+    divergence = F.when(k > 0, share * F.log(share / p)).otherwise(0.0) + (1 - share) * F.log((1 - share) / (1 - p))
+    first = F.exp(_log_factorial_rest(n) - _log_factorial_rest(k) - _log_factorial_rest(n - k) - n * divergence)
+    next_ = lambda a, i: a["t"] * ((k - i) * (1 - p) / ((n - k + i + 1) * p))
+    shares = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), F.least(k, F.ceil(F.sqrt(200 * p * n)) + 2)),
+        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+        lambda a, i: F.struct(next_(a, i).alias("t"), (a["s"] + next_(a, i)).alias("s")),
         lambda a: a["s"],
     )
-    share = k / n
-    chernoff = F.exp(-n * (share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p))))
-    return F.when((n <= 0) | (k > n * p), F.lit(1.0)).when(k > EXACT_TERMS, chernoff).otherwise(summed)
+    return F.when((n <= 0) | (k > n * p), F.lit(1.0)).otherwise(first * shares)
 
 
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -189,7 +200,7 @@ v AS (SELECT rid, lang, doc_id, step, bool_or({value} > cutoff) AS hit FROM (SEL
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
 held AS (SELECT lang, step, count(*) AS n, count(*) FILTER (WHERE hit) AS k FROM v WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
 tail AS (SELECT *, CASE WHEN k > n * {p!r} THEN 1.0
-           WHEN k > {EXACT_TERMS} THEN exp(-n * (k / n * ln(k / n / {p!r}) + (1 - k / n) * ln((1 - k / n) / (1 - {p!r}))))
+           WHEN k > 10000 THEN exp(-n * (k / n * ln(k / n / {p!r}) + (1 - k / n) * ln((1 - k / n) / (1 - {p!r}))))
            ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS t,
            (SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) AS strata FROM held),
 ok AS (SELECT lang, step, bool_and(t <= {DELTA!r} / strata) OVER (PARTITION BY lang ORDER BY step) AS pass FROM tail),

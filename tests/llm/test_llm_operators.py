@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import chat, exact_dedup, html_text, jaccard, mixing, packing, quality, secrets, suffix_dedup, token_files
@@ -478,6 +480,17 @@ def test_quality_ladder_stops(spark):
     assert row["n"] == 1000 and row["steps"] == sum(step[0] > share for step in quality.LADDER) < len(quality.LADDER)
 
 
+def test_quality_tail_is_exact_at_any_size(spark):
+    def tail(k, n, p=quality.ALPHA):
+        return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+    cases = [(0, 59), (1, 59), (15, 320), (16, 340), (50, 1000), (9_999, 205_000), (10_000, 205_000), (10_001, 205_000), (12_238, 250_000), (12_500, 250_000)]
+    got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), quality.ALPHA).alias("t")).collect()
+    assert len(got) == len(cases) and all(r["t"] == pytest.approx(tail(r["k"], r["n"]), rel=1e-7) for r in got)
+    far = spark.createDataFrame([(49_985_000, 10**9)], "k long, n long").select(quality.binomial_tail(F.col("k"), F.col("n"), quality.ALPHA)).first()[0]
+    assert far == pytest.approx(0.01476, rel=1e-3)  # by the normal approximation
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
