@@ -10,13 +10,18 @@ from gridloom.operators.statistics import cumulative
 
 
 def merge_intervals(regions: DataFrame, tile: int = 1 << 20) -> DataFrame:
-    """Union of overlapping and touching intervals per contig."""
-    d = regions.select("contig", "start", "end").withColumn("_e", F.struct("start", "end"))
+    """Union of overlapping and touching intervals per contig.
+
+    Of the intervals with one start only the longest can open or extend an island, so a tile holds no more rows than it has
+    positions, however many intervals pile up. Those that end before they start, or nowhere, stand alone unless covered."""
+    alone = F.coalesce(F.col("end") < F.col("start"), F.lit(False))
+    d = regions.groupBy("contig", "start", F.when(alone, F.col("end")).alias("_back")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("_n"))
     d = running(d, ["contig"], ["start", "end"], F.col("end"), "_reach", "max", exclusive=True, position=F.col("start"), tile=tile)
-    d = d.withColumn("_new", (F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).cast("int"))
-    # of equal intervals the one that opens an island comes first
-    d = running(d.drop("_e"), ["contig"], ["start", "end", F.col("_new").desc()], F.col("_new"), "_island", position=F.col("start"), tile=tile)
-    return d.groupBy("contig", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    copies = F.when(F.col("end") >= F.col("start"), F.lit(1)).otherwise(F.col("_n"))
+    d = d.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), copies).otherwise(0))
+    d = running(d, ["contig"], ["start", "end"], F.col("_new"), "_island", position=F.col("start"), tile=tile)
+    d = d.groupBy("contig", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("_new").alias("_new"))
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_new"))).select("contig", "start", "end")
 
 
 def runs(bins: DataFrame, gap: int = 0, extra: tuple = (), tile: int = 4096) -> DataFrame:

@@ -290,3 +290,20 @@ def test_merge_repeated_intervals(spark):
     rows = [("c", 0, 2)] * 3 + [("c", 5, 6)] * 4 + [("c", 6, 9)] * 2 + [("c", 20, 21)] * 3
     got = intervals.merge_intervals(spark.createDataFrame(rows, "contig string, start long, end long").repartition(4)).collect()
     assert sorted((r["start"], r["end"]) for r in got) == [(0, 2), (5, 9), (20, 21)]
+
+
+def test_merge_orders_one_row_per_start(spark, monkeypatch):
+    """Piled-up intervals are gathered before anything is ordered; those that end before they start stay rows of their own."""
+    ordered, inner = [], intervals.running
+
+    def counted(df, *args, **kwargs):
+        ordered.append(df.count())
+        return inner(df, *args, **kwargs)
+
+    monkeypatch.setattr(intervals, "running", counted)
+    pile = spark.range(20_000).select(F.lit("c").alias("contig"), (F.col("id") % 40 * 3).alias("start"), (F.col("id") % 40 * 3 + 1 + F.col("id") % 7 % 2).alias("end"))
+    odd = spark.createDataFrame([("c", 500, 490), ("c", 500, 490), ("c", 500, 510), ("c", 505, 501), ("c", 520, None), ("c", 530, None), ("c", 530, 540)], REGIONS)
+    got = intervals.merge_intervals(pile.unionByName(odd.select("contig", "start", "end"))).collect()
+    assert ordered == [45, 45]
+    assert sorted((r["start"], r["end"]) for r in got if r["start"] < 500) == [(3 * i, 3 * i + 2) for i in range(40)]
+    assert sorted(((r["start"], r["end"]) for r in got if r["start"] >= 500), key=str) == [(500, 490), (500, 490), (500, 510), (520, None), (530, 540)]
