@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -285,7 +286,7 @@ def _digesting(batches):
         return batch
 
     for batch in batches:
-        segs = iter(batch.filter(pa.compute.is_valid(batch["seg"]))["seg"].to_pylist())
+        segs = iter(batch.filter(pc.is_valid(batch["seg"]))["seg"].to_pylist())
         for conv, kind, role, text in zip(batch["conv_id"].to_pylist(), batch["kind"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
             if now is None or now.conv != conv:
                 if now:

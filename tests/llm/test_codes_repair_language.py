@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -15,6 +19,7 @@ import pytest
 from gridloom.llm import chat_repair, language_id, registry, vector_codes
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 
 
 # ---- vector codes -----------------------------------------------------------------------------------------------------
@@ -152,6 +157,17 @@ def test_chat_repair_query(spark):
     assert got == {c: plain_repair(x) for c, x in want.items()}
 
 
+def test_chat_repair_in_new_workers(tmp_path):
+    """Every task in a Python process of its own: no step leans on modules that another one has loaded."""
+    conf = {"spark.python.worker.reuse": "false", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": str(tmp_path), "spark.pyspark.python": sys.executable}
+    run = f"""from pyspark.sql import SparkSession
+from gridloom.llm import registry
+spark = SparkSession.builder.master("local[2]").config(map={conf}).getOrCreate()
+print("conversations:", registry.queries()["op12_repair_chats"](spark, "{SF}").count())"""
+    said = subprocess.run([sys.executable, "-c", run], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
+    assert "conversations: 20" in said.stdout, said.stderr[-2000:]
+
+
 def test_least_paths_against_exhaustive_search():
     rng = np.random.default_rng(2)
     lists = [rng.integers(0, 12, int(n)) for n in rng.integers(0, 12, 300)]
