@@ -39,6 +39,10 @@ from gridloom.llm.common import pick, staged
 
 #: Rows of a tile; a power of two that divides the rows of a partition in monotonically_increasing_id.
 TILE = 4096
+#: Rows that are folded or ranked at once, but for one longer segment; ranking takes some 1.3 kB a row.
+ROWS = 1 << 15
+#: Tiles of a partition that ranks them. Their bytes, by which adaptive execution merges partitions, say little of the work.
+TILES = 64
 SPACES = " \t\n\x0b\x0c\r"
 DELETE, RETYPE, INSERT, CUT = 3, 2, 2, 1
 #: State after an inserted or reroled turn, by the state before: start, system, user, assistant.
@@ -192,8 +196,20 @@ def _appended(batch: pa.RecordBatch, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
 
-def _folding(batches):
+def _pieces(batches):
+    """The segments in slices of at most ROWS rows, or of one segment."""
     for batch in batches:
+        at, held = 0, 0
+        for i, n in enumerate(pc.utf8_length(batch["codes"]).to_pylist()):
+            if i > at and held + n + 1 > ROWS:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n + 1
+        yield batch.slice(at)
+
+
+def _folding(batches):
+    for batch in _pieces(batches):
         yield _appended(batch, m=pa.array(fold(_codes(batch["codes"])).reshape(-1, 16).tolist(), pa.list_(pa.int64())))
 
 
@@ -213,14 +229,12 @@ def _chaining(batches):
 
 
 def _ranking(batches):
-    for whole in batches:
-        for at in range(0, max(whole.num_rows, 1), 512):
-            batch = whole.slice(at, 512)
-            last, ahead = batch["last"].to_pylist(), np.array(batch["ahead"].to_pylist(), dtype=np.int64).reshape(-1, 4)
-            codes = [np.append(c, END) if end else c for c, end in zip(_codes(batch["codes"]), last, strict=True)]
-            ahead[np.array(last, dtype=bool)] = 0
-            found = least_paths(codes, ahead)
-            yield _appended(batch, exits=pa.array([f[0] for f in found], pa.list_(pa.int32())), audits=pa.array([f[1] for f in found], pa.list_(pa.string())))
+    for batch in _pieces(batches):
+        last, ahead = batch["last"].to_pylist(), np.array(batch["ahead"].to_pylist(), dtype=np.int64).reshape(-1, 4)
+        codes = [np.append(c, END) if end else c for c, end in zip(_codes(batch["codes"]), last, strict=True)]
+        ahead[np.array(last, dtype=bool)] = 0
+        found = least_paths(codes, ahead)
+        yield _appended(batch, exits=pa.array([f[0] for f in found], pa.list_(pa.int32())), audits=pa.array([f[1] for f in found], pa.list_(pa.string())))
 
 
 _OUT = {"conv_id": pa.int64(), "gaps": pa.int64(), "blank": pa.int64(), "duplicate": pa.int64(), "truncated": pa.int64(), "illegal": pa.int64(), "cost": pa.int64(), "audit": pa.string(), "repaired_sha256": pa.string()}
@@ -305,11 +319,13 @@ def _digesting(batches):
 def repair(rows: DataFrame) -> DataFrame:
     """One row per conversation of ``rows`` (conv_id, turn, role, text, gone): its faults, the least cheapest audit, its cost
     and the digest of what it repairs to."""
-    segs = _segments(_judged(rows))
+    ordered = _judged(rows)
+    segs, spark = _segments(ordered), rows.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ordered.count() // (TILES * TILE)))
     kinds = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     folded = segs.mapInArrow(_folding, f"{kinds(segs)}, m array<long>")
     chained = folded.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("tile")).mapInArrow(_chaining, f"{kinds(folded)}, ahead array<long>, cost long, last boolean").drop("m")
-    ranked = chained.repartition("tile").mapInArrow(_ranking, f"{kinds(chained)}, exits array<int>, audits array<string>")
+    ranked = chained.repartition(partitions, "tile").mapInArrow(_ranking, f"{kinds(chained)}, exits array<int>, audits array<string>")
     info = F.struct(*(c for c in ranked.columns if c not in ("conv_id", "tile", "ahead", "last")))
     none = lambda kind: F.lit(None).cast(kind)
     ahead = ranked.select("conv_id", F.lit(0).alias("kind"), "tile", none("long").alias("turn"), none("string").alias("role"), none("binary").alias("h"), none("string").alias("text"), info.alias("seg"))

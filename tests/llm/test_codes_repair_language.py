@@ -13,6 +13,7 @@ from functools import cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -168,6 +169,22 @@ print("conversations:", registry.queries()["op12_repair_chats"](spark, "{SF}").c
     assert "conversations: 20" in said.stdout, said.stderr[-2000:]
 
 
+def test_chat_repair_ranks_few_rows_at_once(monkeypatch):
+    """Long segments are ranked in slices whose memory is bounded by their rows, with the same results."""
+    rng = np.random.default_rng(3)
+    codes = ["".join(chr(65 + c) for c in rng.integers(0, 12, n)) for n in [chat_repair.TILE] * 40 + [0, 1, 7] * 30]
+    ahead, last = [[0, 9, 9, 0]] * len(codes), [i % 3 > 0 for i in range(len(codes))]
+    batch = pa.record_batch([pa.array(codes), pa.array(ahead, pa.list_(pa.int64())), pa.array(last)], ["codes", "ahead", "last"])
+    sizes, plain = [], chat_repair.least_paths
+    monkeypatch.setattr(chat_repair, "least_paths", lambda codes, ahead: sizes.append(sum(map(len, codes))) or plain(codes, ahead))
+    got = pa.Table.from_batches(chat_repair._ranking(iter([batch, batch.slice(0, 0)])))
+    assert max(sizes) <= 10 * chat_repair.TILE and got["codes"].to_pylist() == codes
+    one = [x for i in range(len(codes)) for b in chat_repair._ranking(iter([batch.slice(i, 1)])) for x in b.to_pylist()]
+    assert got.to_pylist() == one
+    folded = pa.Table.from_batches(chat_repair._folding(iter([batch, batch.slice(0, 0)])))
+    assert folded["m"].to_pylist() == chat_repair.fold(chat_repair._codes(batch["codes"])).reshape(-1, 16).tolist()
+
+
 def test_least_paths_against_exhaustive_search():
     rng = np.random.default_rng(2)
     lists = [rng.integers(0, 12, int(n)) for n in rng.integers(0, 12, 300)]
